@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import canonical_text, chunking, grouping, mixing, packing
+from . import canonical_text, chunking, grouping, language, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,9 @@ def queries() -> dict[str, Query]:
         "p1_found": _over(canonical_text.entities_to_mend, "predictions", "documents"),
         "p1_entities": _over(canonical_text.canonical_entities, "predictions", "documents"),
         "p1_documents": _over(canonical_text.canonical_documents, "documents"),
+        "p2_found": _over(language.mislabelled, "documents"),
+        "p2_documents": _over(language.document_languages, "documents"),
+        "p2_segments": _over(language.language_segments, "documents"),
         "p3_found": _over(chunking.oversized, "documents", "encoder_configs"),
         "p3_pieces": _over(chunking.split_documents, "documents", "encoder_configs"),
         "p4_found": _over(grouping.grouped_records, "match_pairs"),
