@@ -185,7 +185,7 @@ def _own_script(word: str, token: str, text: str, start: int, end: int) -> str |
         return None
     # No letter of the token settles it: the words before and behind must agree.
     near = [s for s in (_near(text, start, -1), _near(text, end, 1)) if s]
-    if near and len(set(near)) == 1 and (len(scripts) > 1 or len(near) == 2 and len(word) > 1 or len(word) > 2):
+    if near and len(set(near)) == 1 and (len(scripts) > 1 or len(near) == 2 and len(word) > 1 or len(word) > 2 or word.isupper()):
         if len(scripts) > 1 or near[0] == "L":
             return near[0]
     if any(c in RARE_CYRILLIC for c in word):
@@ -219,7 +219,7 @@ def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
             token = m.group()
             for w in _LETTERS.finditer(token):
                 word = w.group()
-                if len(_scripts(word)) < 2 and (_anchors(word) or len(word) < 2 and not _LATIN.search(token)):
+                if len(_scripts(word)) < 2 and (_anchors(word) or len(word) < 2 and not _LATIN.search(token) and not (word.isupper() and "." in token)):
                     continue
                 own = _own_script(word, token, text, m.start(), m.end())
                 if own:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import canonical_text, chunking, grouping, language, mixing, packing
+from . import canonical_text, chunking, grouping, language, mixing, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,8 @@ def queries() -> dict[str, Query]:
         "p6_containers": lambda spark, d: _packed(spark, d),
         "p6_report": lambda spark, d: packing.packing_report(_packed(spark, d), read_table(spark, d, "pack_specs")),
         "p7_found": _over(mixing.sources_falling_short, "documents", "mix_targets"),
+        "p8_found": _over(pii.personal_information, "documents", "kb_entities"),
+        "p8_documents": _over(pii.masked_documents, "documents", "kb_entities"),
         "p7_report": _over(mixing.mix_report, "documents", "mix_targets"),
     }
 
