@@ -23,7 +23,7 @@ NICKNAMES = {
 # Short forms that are also common words or syllables: names only with a capital.
 ALSO_WORDS = set("art bill bob dan deb dick ed frank fred gen gus hal isa jack jim jo joe kat kit leo max mick mina ned nell nick pat rich rick rob ron ros sam sally sue ted tim tom vic vin will".split())
 
-TITLES = set("dr prof professor judge mx mr mrs ms miss sir dame lady lord rev fr herr frau hr fru m mme mlle sr sra srta don doña dott sig sig.ra mevr dhr ing mag".split())
+TITLES = set("dr prof professor judge capt captain col mx mr mrs ms miss sir dame lady lord rev fr herr frau hr fru mme mlle sr sra srta don doña dott sig sig.ra mevr dhr ing mag".split())
 
 ARABIC_GIVEN = set("محمد أحمد علي حسن حسين خالد عمر يوسف إبراهيم سليم رائد نديم ميسم شاهين كريم سامي طارق فارس جمال هاني ليلى مريم فاطمة سارة نور هدى بهنود آرمان مهرنوش رضا مهدی کاوه".split())
 CHINESE_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤柳郁闻"

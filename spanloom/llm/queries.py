@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import canonical_text, chunking, grouping, language, mixing, packing, pii
+from . import canonical_text, chunking, grouping, language, mixing, name_linking, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "p3_pieces": _over(chunking.split_documents, "documents", "encoder_configs"),
         "p4_found": _over(grouping.grouped_records, "match_pairs"),
         "p4_entities": _over(grouping.group_entities, "match_pairs", "predictions"),
+        "p5_found": _over(name_linking.misspelt_records, "length_examples", "predictions", "kb_entities"),
+        "p5_links": _over(name_linking.linked_records, "length_examples", "predictions", "kb_entities"),
         "p6_found": lambda spark, d: packing.cut_documents(_packed(spark, d)),
         "p6_containers": lambda spark, d: _packed(spark, d),
         "p6_report": lambda spark, d: packing.packing_report(_packed(spark, d), read_table(spark, d, "pack_specs")),
