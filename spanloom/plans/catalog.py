@@ -1 +1,3 @@
 """All modules that register queries."""
+
+from . import text_queries  # noqa: F401
