@@ -1,3 +1,3 @@
 """All modules that register queries."""
 
-from . import text_queries  # noqa: F401
+from . import span_queries, text_queries  # noqa: F401
