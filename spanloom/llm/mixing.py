@@ -190,5 +190,6 @@ def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def sources_falling_short(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source)"""
-    return mix_report(documents, targets).where("falls_short").select("mix_id", "source")
+    """(mix_id, source), read off the finished mix: a source that falls short is there at most as often as allowed."""
+    kept = F.col("mixed_tokens") <= F.col("max_repeats") * F.col("available_tokens")
+    return mix_report(documents, targets).where(F.col("falls_short") & kept).select("mix_id", "source")
