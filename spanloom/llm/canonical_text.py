@@ -84,8 +84,7 @@ _SPACE = re.compile(f"[{cls(SPACES)}]")
 _HYPHEN = re.compile(f"[{cls(HYPHENS)}]")
 _TWO_SCRIPTS = re.compile(f"[{cls(GREEK)}{cls(CYRILLIC)}]")
 _LATIN = re.compile(f"[{cls(LATIN)}{cls('FF21-FF3A FF41-FF5A')}]")
-_MIXED_TOKEN = re.compile(rf"[^\s]*[{cls(GREEK)}{cls(CYRILLIC)}][^\s]*")
-_YEH = re.compile(f"[{cls(ARABIC)}{ZWNJ}]*{chr(0x6CC)}(?=[{cls(ARABIC)}])[{cls(ARABIC)}{ZWNJ}]*")
+_TOKEN = re.compile(r"\S+")
 _ARABIC_WORD = re.compile(f"[{cls(ARABIC)}{ZWNJ}]+")
 _ARABIC = re.compile(f"[{cls(ARABIC)}]")
 _LETTERS = re.compile(f"[{cls(LATIN)}{cls(GREEK)}{cls(CYRILLIC)}{cls('251 261 585')}]+")
@@ -215,8 +214,10 @@ def _persian(word: str) -> bool:
 def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
     out = []
     if _TWO_SCRIPTS.search(text) and (_LATIN.search(text) or any(c in RARE_CYRILLIC for c in text)):
-        for m in _MIXED_TOKEN.finditer(text):
+        for m in _TOKEN.finditer(text):
             token = m.group()
+            if not _TWO_SCRIPTS.search(token):
+                continue
             for w in _LETTERS.finditer(token):
                 word = w.group()
                 if len(_scripts(word)) < 2 and (_anchors(word) or len(word) < 2 and not _LATIN.search(token) and not (word.isupper() and "." in token)):
@@ -225,14 +226,16 @@ def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
                 if own:
                     fold = FOLD_TO[own]
                     out += [(m.start() + w.start() + k, m.start() + w.start() + k + 1, fold[c]) for k, c in enumerate(word) if c in fold]
-    if "ی" in text:
-        for m in _YEH.finditer(text):
-            around = [m.group()]
-            before = _ARABIC_WORD.findall(text[max(0, m.start() - 30) : m.start()])
-            after = _ARABIC_WORD.findall(text[m.end() : m.end() + 30])
-            around += before[-1:] + after[:1]
-            if not any(map(_persian, around)) and not m.group().endswith("ک"):
-                out += [(m.start() + k, m.start() + k + 1, "ي") for k, c in enumerate(m.group()) if c == "ی" and k + 1 < len(m.group())]
+    yeh = chr(0x6CC)
+    if yeh in text:
+        words = list(_ARABIC_WORD.finditer(text))
+        for k, m in enumerate(words):
+            w = m.group()
+            if yeh not in w[:-1]:
+                continue
+            around = [x.group() for x in words[max(0, k - 1) : k + 2] if abs(x.start() - m.start()) < 60]
+            if not any(map(_persian, around)):
+                out += [(m.start() + i, m.start() + i + 1, chr(0x64A)) for i, c in enumerate(w[:-1]) if c == yeh and _ARABIC.match(w[i + 1])]
     return out
 
 

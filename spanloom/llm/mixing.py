@@ -60,7 +60,7 @@ def mix_plan(documents: DataFrame, targets: DataFrame) -> list[dict]:
     """One entry a mix and source: target, available tokens, blocks, and whether the source falls short."""
     sizes = source_sizes(documents)
     total = int(sizes.agg(F.sum("tokens")).first()[0] or 0)
-    wanted = targets.where(F.col("source").isNotNull() & F.col("mix_id").isNotNull())
+    wanted = targets.where(F.col("source").isNotNull() & F.col("mix_id").isNotNull()).select("mix_id", "source", "target_share", "max_repeats")
     # Bounded by the table of targets, not by the data; totals of sources in no mix stay where they are.
     rows = wanted.join(sizes.where(F.col("source").isNotNull()), "source", "left").select("mix_id", "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens")).limit(100_001).collect()
     if len(rows) > 100_000:

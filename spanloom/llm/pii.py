@@ -171,7 +171,7 @@ class NameParts:
         f = folded(word)
         if f in self.given:
             return 2
-        if len(f) < 4 or f in self.org_words or f in _NOT_SURNAMES or word.lower() in _NOT_SURNAMES:
+        if not 4 <= len(f) <= 30 or f in self.org_words or f in _NOT_SURNAMES or word.lower() in _NOT_SURNAMES:
             return 0
         for k in (f, *(f[:i] + f[i + 1 :] for i in range(len(f)))):
             for g in self._near.get(k, ()):
@@ -224,7 +224,7 @@ def _find_names(text: str, parts: NameParts) -> list[tuple[int, int]]:
             continue
         level = parts.is_given_or_near(w)
         joined = None
-        if cap[k] and not level:
+        if cap[k] and not level and len(w) <= 60:
             for i in range(3, len(w) - 3):
                 if w[i].isupper() and w[i - 1].islower() and parts.is_given_or_near(w[:i]) == 2:
                     joined = i
