@@ -1,3 +1,3 @@
 """All modules that register queries."""
 
-from . import evaluation_queries, graph_queries, sequence_queries, span_queries, statistics_queries, text_queries  # noqa: F401
+from . import evaluation_queries, extraction_queries, graph_queries, sequence_queries, span_queries, statistics_queries, text_queries  # noqa: F401
