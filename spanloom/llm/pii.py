@@ -78,6 +78,9 @@ _AGAINST = re.compile(r"(?:order|orders|isbn|version|batch|total|invoice|dataset
 _DIGIT_WORDS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789"))
 SPELLED = re.compile(rf"(?<!\w)(?:(?:double |triple )?(?:{'|'.join(_DIGIT_WORDS)})[ ,-]+){{6,}}(?:{'|'.join(_DIGIT_WORDS)})(?!\w)", re.I)
 
+_DIGITS = re.compile(r"\d(?:[ ()./-]{0,3}\d){5,}")
+_DIGIT_WORD = re.compile(r"\b(?:zero|seven|eight|nine)\b", re.I)
+
 _NAME_WORD = r"[A-ZÀ-ÞŠŽ][\w'’-]*"
 _PARTICLE = r"(?:de la |de l['’]|de los |de las |del |dei |delle |della |degli |dell['’]|des |du |de |do |da |dos |das |d['’]|di )?"
 _NUMBER = r"\d{1,4}(?: ?[a-z](?![a-z]))?"
@@ -212,6 +215,9 @@ def _find_names(text: str, parts: NameParts) -> list[tuple[int, int]]:
     k = 0
     while k < n:
         s, e, w = tokens[k]
+        if not cap[k] and (w if w.isascii() else folded(w)) not in parts.given:
+            k += 1
+            continue
         if len(w) == 1:
             # N. Surname; N Surname if the surname is known; Q. at the start of a line is a speaker
             if cap[k] and k + 1 < n and cap[k + 1] and (gap[k] == ". " and surname(k + 1, False) and not org_next(k + 1) or gap[k] == " " and surname(k + 1, True) and not org_next(k + 1)) and not (s and (text[s - 1] == "-" or text[s - 1].isascii() and text[s - 1].isalnum())):
@@ -310,13 +316,17 @@ def find(text: str, parts: NameParts) -> list[Span]:
 
     for m in EMAIL.finditer(text):
         add("email", *m.span())
+    # Every number that can be one of these has six digits or more, close together: only those stretches are read closely.
+    stretches = [(max(0, m.start() - 8), min(len(text), m.end() + 6)) for m in _DIGITS.finditer(text)]
     for kind, pattern in (("identity", IDENTITY), ("phone", PHONE)):
-        for m in pattern.finditer(text):
-            digits = sum(c.isdigit() for c in m.group())
-            if (kind == "identity" or 9 <= digits <= 15) and not _AGAINST.search(text[max(0, m.start() - 16) : m.start()]):
-                add(kind, *m.span())
-    for m in SPELLED.finditer(text):
-        add("phone", *m.span())
+        for s, e in stretches:
+            for m in pattern.finditer(text, s, e):
+                digits = sum(c.isdigit() for c in m.group())
+                if (kind == "identity" or 9 <= digits <= 15) and not _AGAINST.search(text[max(0, m.start() - 16) : m.start()]):
+                    add(kind, *m.span())
+    if _DIGIT_WORD.search(text):
+        for m in SPELLED.finditer(text):
+            add("phone", *m.span())
     for m in ADDRESS.finditer(text):
         add("address", *m.span())
     if _ANY_CUE.search(text):
