@@ -194,3 +194,77 @@ def ceaf(key: DataFrame, response: DataFrame, dice: bool = False) -> DataFrame:
     return a.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+
+
+# --- further comparisons ---------------------------------------------------------------------------------
+
+
+def relation_counts(gold: DataFrame, predicted: DataFrame, directed: bool = True) -> DataFrame:
+    """(n_gold, n_predicted, n_correct) of relations (doc_id, head_start, head_end, tail_start, tail_end, relation): spans
+    equal, relation without case; undirected ones are put in reading order first."""
+
+    def keyed(df: DataFrame) -> DataFrame:
+        h, t = F.struct(F.col("head_start").alias("s"), F.col("head_end").alias("e")), F.struct(F.col("tail_start").alias("s"), F.col("tail_end").alias("e"))
+        if not directed:
+            h, t = F.least(h, t), F.greatest(h, t)
+        return df.select("doc_id", h.alias("h"), t.alias("t"), F.lower("relation").alias("relation"))
+
+    return exact_counts(keyed(gold), keyed(predicted), ["doc_id", "h", "t", "relation"], [])
+
+
+def discontinuous_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(n_gold, n_predicted, n_exact, n_hull) of entities (doc_id, segments array<struct<start,end>>, label): equal segments,
+    and equal first and last character."""
+
+    def keyed(df: DataFrame) -> DataFrame:
+        s = F.array_sort("segments")
+        return df.select("doc_id", s.alias("segments"), "label", F.array_min(F.transform(s, lambda x: x["start"])).alias("low"), F.array_max(F.transform(s, lambda x: x["end"])).alias("high"))
+
+    g, p = keyed(gold), keyed(predicted)
+    exact = exact_counts(g, p, ["doc_id", "segments", "label"], [])
+    hull = exact_counts(g, p, ["doc_id", "low", "high", "label"], []).select(F.col("n_correct").alias("n_hull"))
+    return exact.join(hull).select("n_gold", "n_predicted", F.col("n_correct").alias("n_exact"), "n_hull")  # one row each
+
+
+def box_iou(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Of two rectangles (left, top, right, bottom)."""
+    side = lambda l1, r1, l2, r2: F.greatest(F.lit(0.0), F.least(r1, r2) - F.greatest(l1, l2))
+    common = side(a[0], a[2], b[0], b[2]) * side(a[1], a[3], b[1], b[3])
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    union = area(a) + area(b) - common
+    return F.when(union > 0, common / union).otherwise(F.lit(0.0))
+
+
+def muc_counts(compared: DataFrame) -> DataFrame:
+    """(mode, correct, incorrect, partial, missed, spurious) from `compare_spans`, under four modes: strict wants span and
+    label, exact the span, partial and type (alike) take an overlap as half."""
+    n = {k: F.count_if(F.col("kind") == k) for k in ("correct", "type_mismatch", "boundary", "missed", "spurious")}
+    zero = F.lit(0).cast("long")
+    modes = [
+        ("strict", n["correct"], n["type_mismatch"] + n["boundary"], zero), ("exact", n["correct"] + n["type_mismatch"], n["boundary"], zero),
+        ("partial", n["correct"], n["type_mismatch"], n["boundary"]), ("type", n["correct"], n["type_mismatch"], n["boundary"]),
+    ]
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), c.alias("correct"), i.alias("incorrect"), p.alias("partial"), n["missed"].alias("missed"), n["spurious"].alias("spurious")) for m, c, i, p in modes])
+    return compared.agg(rows.alias("x")).select(F.inline("x"))
+
+
+def purity(key: DataFrame, response: DataFrame) -> DataFrame:
+    """(purity, completeness): the majority's share of response clusters, and of key clusters, weighted by size."""
+    j, _, _ = _common(key, response)
+    cells = j.groupBy("doc_id", "k", "r").agg(F.count(F.lit(1)).alias("c"))
+    side = lambda by, name: cells.groupBy("doc_id", by).agg(F.max("c").alias("m"), F.sum("c").alias("n")).agg(ratio(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).alias(name))
+    return side("r", "purity").join(side("k", "completeness"))  # one row each
+
+
+def chain_strata(key: DataFrame) -> DataFrame:
+    """(stratum, n_chains, n_mentions): chains of one mention, two to ten, more."""
+    n = key.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    s = F.when(F.col("n") == 1, "singleton").when(F.col("n") <= 10, "short").otherwise("long")
+    return n.groupBy(s.alias("stratum")).agg(F.count(F.lit(1)).alias("n_chains"), F.sum("n").alias("n_mentions"))
+
+
+def per_document(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """(n_docs, mean_f1, sd_f1, low, high): F1 of each document, with an interval of 1.96 standard errors within [0, 1]."""
+    d = precision_recall(exact_counts(gold, predicted, keys, ["doc_id"])).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("sd_f1"))
+    e = 1.96 * F.col("sd_f1") / F.sqrt("n_docs")
+    return d.select("n_docs", "mean_f1", "sd_f1", F.greatest(F.lit(0.0), F.col("mean_f1") - e).alias("low"), F.least(F.lit(1.0), F.col("mean_f1") + e).alias("high"))

@@ -100,3 +100,37 @@ def test_chunks_cover(spark):
     seen = sorted((r.offset, r.text) for r in rows if r.doc_id == 1)
     assert all(text[o : o + len(x)] == x for o, x in seen) and seen[-1][0] + len(seen[-1][1]) == len(text)
     assert {r.doc_id for r in rows} == {1, 2, 4}
+
+
+def test_boxes(spark):
+    from spanloom.operators import boxes as B
+    from spanloom.operators import vectors as V
+
+    arr = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    row = spark.range(1).select(
+        V.volume(arr(0, 0), arr(2, 3)).alias("v"), V.intersection(arr(0, 0), arr(2, 2), arr(1, 1), arr(3, 3)).alias("i"), V.box_coref(arr(0, 0), arr(2, 2), arr(1, 1), arr(3, 3)).alias("c"),
+        B.box_at(arr(0, 0), arr(1, 2), F.lit(1.0), F.lit(5.0), F.lit(3.0)).alias("at"), B.box_at(arr(0, 0), arr(1, 2), F.lit(1.0), F.lit(5.0), F.lit(5.0)).alias("after"),
+        B.box_confidence(arr(0), arr(1)).alias("s"), B.soft_membership(arr(0.5), arr(0), arr(1), 0.01).alias("m"), B.interaction(arr(0), arr(2), (arr(1), arr(3)), (arr(0), arr(5))).alias("k"),
+    ).first()
+    assert (row.v, row.i, row.c, row["at"], row.after, row.s, row.k) == (6.0, 1.0, 0.25, [2.0, 4.0], None, 0.5, 0.5) and row.m > 0.99
+    vec = spark.createDataFrame([(i, [float(i % 2) * 3 + 0.2 * i, 0.1 * i]) for i in range(8)], "id bigint, vector array<double>")
+    pairs = spark.createDataFrame([(i, j, i % 2 == j % 2) for i in range(8) for j in range(i)], "left bigint, right bigint, same boolean")
+    got = B.train_boxes(pairs, vec, epochs=60)
+    share = lambda a, b: (max(0.0, min(got[a][1][0], got[b][1][0]) - max(got[a][0][0], got[b][0][0])) * max(0.0, min(got[a][1][1], got[b][1][1]) - max(got[a][0][1], got[b][0][1])))
+    same = [share(i, j) for i in range(8) for j in range(i) if i % 2 == j % 2]
+    other = [share(i, j) for i in range(8) for j in range(i) if i % 2 != j % 2]
+    assert min(same) > max(other)
+    assert B.train_boxes(pairs, vec.limit(0)) == {}
+
+
+def test_further_comparisons(spark):
+    schema = "doc_id bigint, segments array<struct<start:int,end:int>>, label string"
+    g = spark.createDataFrame([(1, [(0, 3), (8, 9)], "A"), (1, [(20, 22)], "A")], schema)
+    p = spark.createDataFrame([(1, [(8, 9), (0, 3)], "A"), (1, [(20, 21), (21, 22)], "A")], schema)
+    assert tuple(E.discontinuous_counts(g, p).first()) == (2, 2, 1, 2)
+    r = "doc_id bigint, head_start int, head_end int, tail_start int, tail_end int, relation string"
+    a = spark.createDataFrame([(1, 0, 3, 5, 8, "Knows")], r)
+    b = spark.createDataFrame([(1, 5, 8, 0, 3, "knows")], r)
+    assert E.relation_counts(a, b).first().n_correct == 0 and E.relation_counts(a, b, directed=False).first().n_correct == 1
+    box = lambda *x: tuple(F.lit(float(v)) for v in x)
+    assert spark.range(1).select(E.box_iou(box(0, 0, 2, 2), box(1, 1, 3, 3)).alias("v")).first().v == 1 / 7
