@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import read_table
+from ..session import read_table, read_texts
 from . import canonical_text, chunking, grouping, language, mixing, name_linking, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _over(f: Callable[..., DataFrame], *tables: str) -> Query:
-    return lambda spark, sf_dir: f(*[read_table(spark, sf_dir, t) for t in tables])
+    return lambda spark, sf_dir: f(*[read_texts(spark, sf_dir) if t == "documents" else read_table(spark, sf_dir, t) for t in tables])
 
 
 def queries() -> dict[str, Query]:
@@ -41,7 +41,7 @@ def queries() -> dict[str, Query]:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pack_specs"))
+    return packing.pack_documents(read_texts(spark, sf_dir), read_table(spark, sf_dir, "pack_specs"))
 
 
 def oracle_sql() -> dict[str, str]:
