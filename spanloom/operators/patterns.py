@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,14 +78,36 @@ def pattern_spans(documents: DataFrame, pattern: str, unicode: bool = True) -> D
     return d.select("doc_id", F.col("m.start").alias("start_char"), F.col("m.end").alias("end_char"), F.expr("substring(text, m.start + 1, m.end - m.start)").alias("surface"))
 
 
+# Literals (lower case) of which a text must hold one for a pattern to match at all; months are read off the pattern.
+_NEEDS = {
+    "DATE_ISO": ["-"], "DATE_US": ["/"], "DATE_EU": ["."], "DATE_JAPANESE": ["年"], "DATE_KOREAN": ["년"], "TIME_12H": ["m"], "TIME_24H": [":"], "TIME_SIMPLE": ["am", "pm", "a.m.", "p.m."], "MONEY_SYMBOL": ["$", "€", "£", "¥"],
+    "MONEY_WRITTEN": ["dollar", "usd", "euro", "eur", "pound", "gbp", "yen", "jpy"], "MONEY_MAGNITUDE": ["illion"], "PERCENT": ["%", "percent", "pct"], "EMAIL": ["@"], "URL": ["://"], "PHONE_INTL": ["+"], "MENTION": ["@"], "HASHTAG": ["#"],
+}
+
+
+def needs(name: str, pattern: str) -> list[str]:
+    if name in _NEEDS:
+        return _NEEDS[name]
+    return sorted({w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(r"\\[a-z]", " ", pattern))}) if name.startswith("DATE_") else []
+
+
 STACKED = "doc_id bigint, start_char int, end_char int, surface string, label string, pattern string, confidence double"
 
 
+@lru_cache(256)
+def _needed(name: str, pattern: str) -> tuple[str, ...]:
+    return tuple(needs(name, pattern))
+
+
 def claim(text: str, compiled: list[tuple[re.Pattern, str, str, float]]) -> list[tuple[int, int, str, str, str, float]]:
     """The spans of one text: patterns in order, a match that touches a claimed character is dropped."""
     taken: list[tuple[int, int]] = []
     out = []
+    low = text.lower()
     for p, name, label, sure in compiled:
+        literals = _needed(name, p.pattern)
+        if literals and not any(x in low for x in literals):
+            continue
         for m in p.finditer(text):
             s, e = m.span()
             k = bisect_left(taken, (s, e))

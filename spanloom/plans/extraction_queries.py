@@ -5,36 +5,37 @@ from pyspark.sql import functions as F
 from ..operators import extractors as X
 from ..queries import query
 from ..session import read_table as t
+from ..session import read_texts
 
 
 @query("heuristic_entities")
 def heuristic_entities(spark, d):
-    return X.heuristic_entities(t(spark, d, "documents"))
+    return X.heuristic_entities(read_texts(spark, d))
 
 
 @query("rule_entities")
 def rule_entities(spark, d):
-    return X.rule_entities(t(spark, d, "documents"))
+    return X.rule_entities(read_texts(spark, d))
 
 
 @query("stacked_entities")
 def stacked_entities(spark, d):
-    return X.stacked_entities(t(spark, d, "documents"))
+    return X.stacked_entities(read_texts(spark, d))
 
 
 @query("stacked_entities_longest")
 def stacked_entities_longest(spark, d):
-    return X.stacked_entities(t(spark, d, "documents"), "longest")
+    return X.stacked_entities(read_texts(spark, d), "longest")
 
 
 @query("document_events")
 def document_events(spark, d):
-    return X.events(t(spark, d, "documents"))
+    return X.events(read_texts(spark, d))
 
 
 @query("event_types")
 def event_types(spark, d):
-    return X.events(t(spark, d, "documents")).groupBy("event_type", "polarity", "tense").agg(F.count(F.lit(1)).alias("n"))
+    return X.events(read_texts(spark, d)).groupBy("event_type", "polarity", "tense").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("coreference_clusters")
@@ -56,7 +57,7 @@ def span_candidates(spark, d):
 
 @query("entity_prompts", "SELECT doc_id, length('Find every entity of these types: PER, ORG.' || chr(10) || 'Answer with a JSON array of objects with text, type, start and end.' || chr(10) || 'Text:' || chr(10) || text) AS n FROM documents WHERE text IS NOT NULL")
 def entity_prompts(spark, d):
-    return X.prompts(t(spark, d, "documents"), ["PER", "ORG"]).select("doc_id", F.length("prompt").alias("n"))
+    return X.prompts(read_texts(spark, d), ["PER", "ORG"]).select("doc_id", F.length("prompt").alias("n"))
 
 
 @query("parsed_responses", "SELECT doc_id, text, label AS type, start_char AS start, end_char AS end_ FROM predictions WHERE start_char IS NOT NULL AND end_char IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL")

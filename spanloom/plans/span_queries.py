@@ -6,21 +6,23 @@ from ..operators import patterns as P
 from ..operators import spans as S
 from ..queries import query
 from ..session import read_table as t
+from ..session import read_texts
 
 
-def _pattern(name: str, pattern: str) -> None:
+def _pattern(name: str, pattern: str, spark_pattern: str | None = None) -> None:
     p = pattern.replace("'", "''")
     sql = f"""WITH d AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '{p}'), lambda x: length(x)) AS g, regexp_extract_all(text, '{p}') AS m FROM documents WHERE text IS NOT NULL),
         x AS (SELECT doc_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM d)
         SELECT doc_id, (list_sum(g[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start_char, m[i] AS surface FROM x"""
 
     @query(name, sql)
-    def run(spark, d, pattern=pattern):
-        return P.pattern_spans(t(spark, d, "documents"), pattern, unicode=False).select("doc_id", F.col("start_char").cast("long").alias("start_char"), "surface")
+    def run(spark, d, pattern=spark_pattern or pattern):
+        return P.pattern_spans(read_texts(spark, d), pattern, unicode=False).select("doc_id", F.col("start_char").cast("long").alias("start_char"), "surface")
 
 
 # Disjoint from one another and free of dialect differences between Java's regex and RE2.
-_pattern("extract_emails", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
+# The look-behind keeps long encoded runs from being tried at each of their characters; RE2 needs and knows none.
+_pattern("extract_emails", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
 _pattern("extract_dates_iso", r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _pattern("extract_dates_numeric", r"[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}")
 _pattern("extract_percent", r"[0-9]+(?:\.[0-9]+)? ?%")
@@ -34,12 +36,12 @@ _pattern("extract_phones_intl", r"\+[0-9]{1,3} [0-9]{1,5} [0-9]{3,6}")
 
 @query("pattern_stack")
 def pattern_stack(spark, d):
-    return P.pattern_stack(t(spark, d, "documents"))
+    return P.pattern_stack(read_texts(spark, d))
 
 
 @query("pattern_stack_counts")
 def pattern_stack_counts(spark, d):
-    return P.pattern_stack(t(spark, d, "documents")).groupBy("label", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    return P.pattern_stack(read_texts(spark, d)).groupBy("label", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("query_filter_range", "SELECT pred_id, text, label FROM predictions WHERE lower(label) IN ('per', 'person') AND contains(lower(text), 'an') AND confidence >= 0.6 AND start_char >= 100 AND end_char <= 900")

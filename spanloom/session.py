@@ -29,6 +29,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table of texts for operators that read every text in Python. If its files give fewer partitions than there are
+    cores (a single small file), the rows are spread by their key; larger tables are left where they lie."""
+    df = read_table(spark, sf_dir, name)
+    n = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage: `spark.checkpoint.dir` of the session.
 
