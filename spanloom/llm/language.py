@@ -2,10 +2,10 @@
 
 Method: sparse multinomial logistic regression on TF-IDF character n-grams (one to three characters, hashed),
 trained with follow-the-regularised-leader and elastic-net penalties, then temperature-calibrated on held-out
-sentences. The classifier is fitted on at most TRAIN_DOCUMENTS labelled documents (those that come first in
-hash order, plus the short seed sentences below, so that each language is known at any size); after a first
-pass, sentences whose label the model contradicts strongly are left out, as labels may be wrong. Document
-frequencies are counted over all documents.
+sentences. The classifier is fitted on about TRAIN_DOCUMENTS labelled documents (a hash sample,
+plus the short seed sentences below, so that each language is known at any size). As labels may be
+wrong, a document is learned from only if a model fitted on other documents agrees with its label on the whole.
+Document frequencies are counted over all documents.
 
 A document is read sentence by sentence. A sentence counts as whole if it ends like one and has letters
 enough; only whole sentences can give a document a language. Shorter pieces take the language around them.
@@ -281,11 +281,15 @@ def calibrate(model: Model, found: Occurrences, which: np.ndarray, labels: np.nd
 
 
 def fit(documents: DataFrame) -> Model:
-    """The classifier for these documents; the driver holds at most TRAIN_DOCUMENTS texts."""
+    """The classifier for these documents; the driver holds about TRAIN_DOCUMENTS texts, twice as many at most."""
     df, n = document_frequencies(documents)
     idf = np.minimum(np.log((1.0 + n) / (1.0 + df)) + 1.0, MAX_IDF)  # rare n-grams come from names
     labelled = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.lower(F.split(F.trim("lang"), "[-_ .;(]")[0]).isin(list(_NOTATION)))
-    rows = labelled.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(TRAIN_DOCUMENTS).collect()
+    # a hash sample of the wanted share: no task sorts or gathers more than its own part of it
+    labelled = labelled.withColumn("__h", F.xxhash64("doc_id", F.lit(3)))
+    share = F.pmod("__h", F.lit(1 << 20))
+    wanted = (1 << 20) * min(1.0, TRAIN_DOCUMENTS / max(1, labelled.count()))
+    rows = sorted(labelled.where(share < F.lit(int(np.ceil(wanted)))).limit(2 * TRAIN_DOCUMENTS).collect(), key=lambda r: (r["__h"], r.doc_id))
     pieces, labels, fold, doc = [], [], [], []
     count: dict[str, int] = {}
     for c, text in SEEDS.items():

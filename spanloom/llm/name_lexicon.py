@@ -5,18 +5,18 @@ NICKNAMES = {
     "abby": "abigail", "alex": "alexander", "andy": "andrew", "archie": "archibald", "bart": "bartholomew", "becky": "rebecca", "bella": "isabella",
     "ben": "benjamin", "benny": "benjamin", "beth": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert",
     "bobby": "robert", "charlie": "charles", "chris": "christopher", "chuck": "charles", "cathy": "katherine", "dan": "daniel", "danny": "daniel",
-    "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "ed": "edward", "eddie": "edward", "ellie": "eleanor",
+    "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "ed": "edward", "eddie": "edward", "ella": "eleanor", "ellie": "eleanor",
     "frank": "francis", "fred": "frederick", "freddy": "frederick", "fritz": "frederick", "gabe": "gabriel", "gen": "genevieve", "ginny": "virginia", "gus": "augustus",
     "hal": "harold", "hannes": "johannes", "hank": "henry", "harry": "harold", "isa": "isabella", "izzy": "isabella", "jack": "john",
-    "jackie": "jacqueline", "jim": "james", "jimmy": "james", "jo": "josephine", "josie": "josephine", "joe": "joseph", "johnny": "john", "kat": "katherine", "kate": "katherine",
-    "kathy": "katherine", "kit": "christopher", "larry": "lawrence", "leo": "leopold", "lisa": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "lola": "dolores",
+    "jackie": "jacqueline", "jim": "james", "jimmy": "james", "jo": "josephine joanna", "josie": "josephine", "joe": "joseph", "johnny": "john", "kat": "katherine", "kate": "katherine",
+    "kathy": "katherine", "katie": "katherine", "kit": "christopher", "larry": "lawrence", "lena": "milena jelena helena", "leo": "leopold", "lisa": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "lola": "dolores",
     "lupe": "guadalupe", "maggie": "margaret", "matt": "matthias", "max": "maximilian", "meg": "margaret", "mick": "michael", "mike": "michael", "mina": "wilhelmina",
     "minnie": "wilhelmina", "nacho": "ignacio", "ned": "edward", "nell": "eleanor penelope", "nick": "nicholas", "nico": "nicholas", "nora": "eleanor", "ollie": "oliver",
     "paco": "francisco", "pat": "patricia", "patty": "patricia", "peggy": "margaret", "penny": "penelope", "pete": "peter", "pippa": "philippa", "rafa": "rafael",
     "rick": "richard", "rich": "richard", "rob": "robert", "ron": "ronald", "ros": "rosalind", "roz": "rosalind", "sally": "sarah", "sam": "samuel",
     "sammy": "samuel", "sasha": "alexander", "steve": "stephen", "sue": "susannah", "susie": "susannah", "suzy": "susannah", "ted": "theodore edward", "teddy": "theodore",
     "theo": "theodore", "tim": "timothy", "timmy": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "tori": "victoria", "trish": "patricia",
-    "uli": "ulrich", "vic": "victor", "vicky": "victoria", "vin": "vincent", "vince": "vincent", "vinny": "vincent", "viv": "vivian", "walt": "walter", "will": "william",
+    "uli": "ulrich", "vic": "victor", "vicky": "victoria", "vin": "vincent", "vince": "vincent", "vinny": "vincent", "viv": "genevieve vivian", "walt": "walter", "will": "william",
     "zach": "zachary", "zack": "zachary", "zhenya": "yevgenia",
 }
 
