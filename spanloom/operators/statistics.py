@@ -52,14 +52,11 @@ def gini(counts: DataFrame, column: str) -> DataFrame:
 def count_windows(rows: DataFrame, order: list[str], size: int, windows: int) -> DataFrame:
     """Rows of the last `windows` windows of `size` rows, aligned to the end, as column `window` (0 the oldest).
 
-    The position is counted in two levels, by range partition and inside it, so that no task holds all rows."""
-    keyed = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    parts = keyed.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
-    ends = parts.select("__part", (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy(F.lit(1))).alias("__all"))
-    n = keyed.withColumn("__i", inside).join(ends, "__part").withColumn("__back", F.col("__all") - (F.col("__before") + F.col("__i")))
-    w = F.expr(f"{windows - 1} - (__back div {size})")
-    return n.withColumn("window", w.cast("int")).where(F.col("window") >= 0).drop("__part", "__i", "__before", "__all", "__back")
+    Only the last size x windows rows are ordered (each partition keeps its own last ones first), so the numbering
+    runs over a set bounded by the parameters. `order` must tell all rows apart."""
+    last = rows.orderBy(*[F.col(c).desc() for c in order]).limit(size * windows)
+    back = F.row_number().over(Window.orderBy(*[F.col(c).desc() for c in order])) - 1
+    return last.withColumn("__back", back).withColumn("window", F.expr(f"{windows - 1} - (__back div {size})").cast("int")).drop("__back")
 
 
 def kl_from_first(distributions: DataFrame, by: str, value: str) -> DataFrame:
