@@ -54,11 +54,11 @@ def leakage(spark, d):
     return x.where("doc_id % 5 = 0").join(x.where("doc_id % 5 <> 0").select("h"), "h", "left_semi").select("doc_id")
 
 
-@query("vocabulary_overlap", "WITH w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang IN ('en', 'de', 'fr', 'nl') AND text IS NOT NULL), n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang), c AS (SELECT a.lang AS a, b.lang AS b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.lang < b.lang GROUP BY ALL) SELECT c.a AS lang_a, c.b AS lang_b, round(c / (x.n + y.n - c)::DOUBLE, 9) AS jaccard FROM c JOIN n x ON x.lang = c.a JOIN n y ON y.lang = c.b")
+@query("vocabulary_overlap", "WITH w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL), n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang), c AS (SELECT a.lang AS a, b.lang AS b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.lang < b.lang GROUP BY ALL) SELECT c.a AS lang_a, c.b AS lang_b, round(c / (x.n + y.n - c)::DOUBLE, 9) AS jaccard FROM c JOIN n x ON x.lang = c.a JOIN n y ON y.lang = c.b")
 def vocabulary_overlap(spark, d):
-    w = t(spark, d, "documents").where("text IS NOT NULL AND lang IN ('en', 'de', 'fr', 'nl')").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
+    w = t(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
     n = w.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # a word's languages are at most as many as asked for: pairs of them, without a self-join
+    # a word's language labels are a small set: pairs of them, without a self-join of words
     langs = w.groupBy("w").agg(F.array_sort(F.collect_set("lang")).alias("l")).where(F.size("l") > 1)
     c = langs.select(F.explode("l").alias("lang_a"), "l").select("lang_a", F.explode("l").alias("lang_b")).where("lang_a < lang_b").groupBy("lang_a", "lang_b").agg(F.count(F.lit(1)).alias("c"))
     j = c.join(n.withColumnsRenamed({"lang": "lang_a", "n": "x"}), "lang_a").join(n.withColumnsRenamed({"lang": "lang_b", "n": "y"}), "lang_b")
@@ -163,12 +163,12 @@ def binary_hash_topk(spark, d):
     return V.search(e, e.where("vec_id % 20 = 0"), 5, max_hamming=int(n * 0.4), dimensions=n).select("query_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("box_overlap", "WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_transform(range(1, 5), lambda i: greatest(0, least(a.embedding[i] + 0.5::DOUBLE, b.embedding[i] + 0.5::DOUBLE) - greatest(a.embedding[i] - 0.5::DOUBLE, b.embedding[i] - 0.5::DOUBLE))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT left_id, right_id, round(list_product(s), 6) AS score FROM p")
+@query("box_overlap", "WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_transform(range(1, len(a.embedding) + 1), lambda i: greatest(0, 4 - abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)) / 4) AS s FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT left_id, right_id, round(list_product(s), 6) AS score FROM p")
 def box_overlap(spark, d):
-    """Coreference score of the boxes (radius .5, four dimensions) around neighbouring vectors."""
-    e = t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    """Coreference score of the boxes (radius 2) around neighbouring vectors."""
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     j = e.select(F.col("vec_id").alias("left_id"), F.col("v").alias("a")).join(e.select(F.col("vec_id").alias("right_id"), (F.col("vec_id") - 1).alias("left_id"), F.col("v").alias("b")), "left_id")
-    return j.select("left_id", "right_id", F.round(V.box_coref(*V.box_around(F.col("a"), 0.5), *V.box_around(F.col("b"), 0.5)), 6).alias("score"))
+    return j.select("left_id", "right_id", F.round(V.box_coref(*V.box_around(F.col("a"), 2.0), *V.box_around(F.col("b"), 2.0)), 6).alias("score"))
 
 
 @query("centroid_distance", "WITH x AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(v::DOUBLE) AS m FROM x GROUP BY ALL) SELECT a.label AS label_a, b.label AS label_b, round(sqrt(sum((a.m - b.m) * (a.m - b.m))), 6) AS distance FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
