@@ -107,14 +107,14 @@ def draw_counts(mix_id: int, shard: int, shares: np.ndarray) -> np.ndarray:
 
 
 def mix_slots(documents: DataFrame, plan: list[dict]) -> DataFrame:
-    """(mix_id, shard, slot, source, epoch, block): every slot of every output shard; block is null where the
+    """(mix_id, shard, source, epoch, block, draw): every slot of every output shard; block is null where the
     source has no more blocks to give. The last shard is whole, so a mix is at most a shard larger than asked for."""
     spark = documents.sparkSession
     by_mix: dict[int, list[dict]] = {}
     for p in plan:
         by_mix.setdefault(p["mix_id"], []).append(p)
     shards = [(m, max(1, -(-ps[0]["total"] // (BLOCK_TOKENS * SHARD_SLOTS)))) for m, ps in by_mix.items() if ps[0]["total"] and sum(p["target_share"] for p in ps) > 0]
-    empty = spark.createDataFrame([], "mix_id int, shard bigint, slot int, source string, epoch bigint, block bigint")
+    empty = spark.createDataFrame([], "mix_id int, shard bigint, source string, epoch bigint, block bigint, draw bigint")
     if not shards:
         return empty
 
@@ -162,10 +162,23 @@ def mix_slots(documents: DataFrame, plan: list[dict]) -> DataFrame:
     return chosen.withColumn("block", F.when(F.col("block") >= 0, F.col("block")))
 
 
+def _character_start(at: str) -> str:
+    """SQL of the first byte at or after `at` of the UTF-8 bytes `b` that begins a character, or their end."""
+    inner = lambda k: f"(substring(b, INT({at}) + {k + 1}, 1) BETWEEN X'80' AND X'BF')"
+    return f"{at} + CASE WHEN NOT {inner(0)} THEN 0 WHEN NOT {inner(1)} THEN 1 WHEN NOT {inner(2)} THEN 2 ELSE 3 END"
+
+
 def mixed(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, shard, source, epoch, block, draw, doc_id, doc_from, doc_to): the contents of every filled slot."""
+    """(mix_id, shard, source, epoch, block, draw, doc_id, doc_from, doc_to, text): the contents of every filled slot.
+
+    doc_from and doc_to count tokens, which are bytes; text holds the characters that begin between them, so the
+    pieces of a document make up its text again. Each text is shuffled once, whatever the number of mixes."""
     plan = mix_plan(documents, targets)
-    return mix_slots(documents, plan).where(F.col("block").isNotNull()).join(source_blocks(documents, plan), ["source", "block"])
+    pieces = mix_slots(documents, plan).where(F.col("block").isNotNull()).join(source_blocks(documents, plan), ["source", "block"])
+    texts = documents.where(F.octet_length("text") > 0).select("doc_id", F.encode("text", "utf-8").alias("b"))
+    start, end = _character_start("doc_from"), _character_start("doc_to")
+    cut = F.expr(f"CAST(substring(b, CAST({start} + 1 AS INT), CAST(({end}) - ({start}) AS INT)) AS STRING)")
+    return pieces.join(texts, "doc_id").select("mix_id", "shard", "source", "epoch", "block", "draw", "doc_id", "doc_from", "doc_to", cut.alias("text"))
 
 
 def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:

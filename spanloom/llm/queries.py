@@ -37,6 +37,7 @@ def queries() -> dict[str, Query]:
         "p8_found": _over(pii.personal_information, "documents", "kb_entities"),
         "p8_documents": _over(pii.masked_documents, "documents", "kb_entities"),
         "p7_report": _over(mixing.mix_report, "documents", "mix_targets"),
+        "p7_mix": _over(mixing.mixed, "documents", "mix_targets"),
     }
 
 

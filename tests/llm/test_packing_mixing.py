@@ -57,3 +57,40 @@ def test_mixing(spark):
     assert whole == {d.doc_id: len(d.text.encode()) for d in docs.collect() if d.text and d.source}
     assert m.mix_report(docs.limit(0), targets).count() == 3
     assert m.mix_report(docs, targets.limit(0)).count() == 0
+
+
+def test_mixed_documents(spark):
+    """Against the bytes of each source laid end to end and sliced in plain Python."""
+    docs = _docs(spark).unionByName(spark.createDataFrame([(9100 + i, "aé€😀" * (700 + i), "wide", 1) for i in range(7)], "doc_id bigint, text string, source string, slot int"))
+    targets = spark.createDataFrame([(1, "big", 0.5, 2), (1, "wide", 0.2, 3), (1, "small", 0.3, 1), (2, "wide", 0.9, 1), (2, "gone", 0.1, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    rows = [r for r in docs.selectExpr("doc_id", "text", "source", "xxhash64(doc_id, 7) AS h").collect() if r.text and r.source]
+    streams = {s: b"".join(r.text.encode() for r in sorted(rows, key=lambda r: (r.h, r.doc_id)) if r.source == s) for s in ("big", "small", "wide", "gone")}
+    whole = sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+    plan = sorted((r.mix_id, r.source, r.target_share, r.max_repeats) for r in targets.collect())
+    want, n = {}, m.BLOCK_TOKENS
+    for mix in (1, 2):
+        drawn = dict.fromkeys(streams, 0)
+        for shard in range(-(-whole // (n * m.SHARD_SLOTS))):
+            mine = [(k, p) for k, p in enumerate(plan) if p[0] == mix]
+            shares = np.array([p[2] for _, p in mine])
+            for (k, (_, s, _, repeats)), count in zip(mine, m.draw_counts(mix, shard, shares / shares.sum())):
+                blocks = -(-len(streams[s]) // n)
+                for draw in range(drawn[s], drawn[s] + count):
+                    if blocks and draw // blocks < repeats:
+                        block = int(m.permuted(np.array([draw % blocks]), blocks, 1 + k * 1_000_003 + draw // blocks)[0])
+                        want[mix, shard, s, draw] = streams[s][block * n : (block + 1) * n]
+                drawn[s] += count
+    size = {r.doc_id: len(r.text.encode()) for r in rows}
+    text = {r.doc_id: r.text for r in rows}
+    got, order = {}, {r.doc_id: (r.h, r.doc_id) for r in rows}
+    mix = m.mixed(docs, targets).collect()
+    for r in sorted(mix, key=lambda r: order[r.doc_id]):
+        b = text[r.doc_id].encode()
+        assert 0 <= r.doc_from < r.doc_to <= size[r.doc_id]
+        got[r.mix_id, r.shard, r.source, r.draw] = got.get((r.mix_id, r.shard, r.source, r.draw), b"") + b[r.doc_from : r.doc_to]
+        starts = [i for i in range(r.doc_from, r.doc_to) if b[i] & 0xC0 != 0x80]
+        assert r.text == "".join(b[i : i + (1 if b[i] < 0x80 else 2 if b[i] < 0xE0 else 3 if b[i] < 0xF0 else 4)].decode() for i in starts)
+    assert got == want
+    report = {(r.mix_id, r.source): r.mixed_tokens for r in m.mix_report(docs, targets).collect()}
+    assert {k: sum(len(b) for (x, _, s, _), b in want.items() if (x, s) == k) for k in report} == report
+    assert m.mixed(docs.limit(0), targets).count() == 0 and m.mixed(docs, targets.limit(0)).count() == 0
