@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_label
 from ..operators import graph as G
 from ..operators import resolve as R
 from ..queries import query
 from ..session import read_table as t
-from .text_queries import LABEL
+from .text_queries import _S, LABEL
 
 _NODE = f"({LABEL}) || ':' || replace(lower(trim(text)), ' ', '_')"
 _NODE = "lower(label) || ':' || replace(lower(trim(text, ' ')), ' ', '_')"
@@ -113,3 +114,66 @@ def minhash_candidates(spark, d):
 def connected_identities(spark, d):
     n = _names(spark, d)
     return R.identities(n, R.jaccard_pairs(n, 0.7, block="entity_type")).select("identity", "n_mentions")
+
+
+_MENTIONS = f"m AS (SELECT coalesce({LABEL}, '') AS label, lower(text) AS text, min(pred_id) AS id, count(*) AS copies FROM predictions WHERE text IS NOT NULL GROUP BY 1, 2)"
+_MENTION_PAIRS = f"""x AS (SELECT id, label, unnest(w) AS x, len(w) AS n FROM (SELECT id, label, list_distinct(list_filter(regexp_split_to_array(text, '[{_S}]+'), lambda w: w <> '')) AS w FROM m)),
+    p AS (SELECT a.id AS l, b.id AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS similarity FROM x a JOIN x b ON a.label = b.label AND a.x = b.x AND a.id < b.id GROUP BY a.id, b.id)"""
+
+
+def _mentions(spark, d, label=True):
+    """(label, name, id, copies): equal mentions of all documents stand as one, so that a hot name is one row."""
+    p = t(spark, d, "predictions").where("text IS NOT NULL")
+    kind = F.coalesce(canonical_label(F.col("label")), F.lit("")) if label else F.lit("")
+    return p.groupBy(kind.alias("label"), F.lower("text").alias("name")).agg(F.min("pred_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+
+
+def _links(pairs, mentions):
+    n = mentions.select("id", "copies")
+    j = pairs.join(n.withColumnsRenamed({"id": "left", "copies": "a"}), "left").join(n.withColumnsRenamed({"id": "right", "copies": "b"}), "right")
+    return j.withColumn("links", F.col("a") * F.col("b")).drop("a", "b").withColumnsRenamed({"left": "left_id", "right": "right_id"})
+
+
+@query("mention_jaccard_pairs", f"WITH {_MENTIONS}, {_MENTION_PAIRS} SELECT l AS left_id, r AS right_id, round(similarity, 6) AS similarity, a.copies * b.copies AS links FROM p JOIN m a ON a.id = l JOIN m b ON b.id = r WHERE similarity >= 0.5")
+def mention_jaccard_pairs(spark, d):
+    """Pairs between representatives (the least pred_id) of equal mentions, with the number of links that they stand for."""
+    m = _mentions(spark, d)
+    return _links(R.jaccard_pairs(m, 0.5, block="label"), m).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "mention_candidates",
+    """WITH m AS (SELECT lower(text) AS text, min(pred_id) AS id, count(*) AS copies FROM predictions WHERE text IS NOT NULL GROUP BY 1),
+        g AS (SELECT id, list_distinct(CASE WHEN length(text) < 3 THEN [text] ELSE list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)) END) AS g FROM m),
+        h AS (SELECT id, unnest(range(5)) AS b, g FROM g), s AS (SELECT id, b || '-' || list_min(list_transform(g, lambda x: substring(md5((b * 3) || ':' || x), 1, 15))) || '-' || list_min(list_transform(g, lambda x: substring(md5((b * 3 + 1) || ':' || x), 1, 15))) || '-' || list_min(list_transform(g, lambda x: substring(md5((b * 3 + 2) || ':' || x), 1, 15))) AS h FROM h),
+        p AS (SELECT DISTINCT a.id AS l, b.id AS r FROM s a JOIN s b ON a.h = b.h AND a.id < b.id)
+        SELECT l AS left_id, r AS right_id, a.copies * b.copies AS links FROM p JOIN m a ON a.id = l JOIN m b ON b.id = r""",
+)
+def mention_candidates(spark, d):
+    """As mention_jaccard_pairs; candidates heed no label."""
+    m = _mentions(spark, d, label=False)
+    return _links(R.minhash_candidates(m), m)
+
+
+def _identities(spark, d):
+    """(label, name, copies, identity) of every representative."""
+    m = _mentions(spark, d)
+    pairs = R.jaccard_pairs(m, 0.7, block="label").select(F.col("left").alias("source"), F.col("right").alias("target"))
+    c = G.components(pairs, m.select(F.col("id").alias("node")))
+    return m.join(c.withColumnsRenamed({"node": "id", "component": "identity"}), "id")
+
+
+_MENTION_IDENTITIES = f"""{_MENTIONS}, {_MENTION_PAIRS}, e AS (SELECT l, r FROM p WHERE similarity >= 0.7 UNION ALL SELECT r, l FROM p WHERE similarity >= 0.7),
+    c AS (SELECT id AS node, id AS root FROM m UNION SELECT e.r, c.root FROM c JOIN e ON e.l = c.node WHERE c.root < e.r), i AS (SELECT node, min(root) AS identity FROM c GROUP BY node)"""
+
+
+@query("mention_identities", f"WITH RECURSIVE {_MENTION_IDENTITIES} SELECT pred_id, identity FROM predictions q JOIN m ON m.label = coalesce({LABEL.replace('label', 'q.label')}, '') AND m.text = lower(q.text) JOIN i ON i.node = m.id")
+def mention_identities(spark, d):
+    """The identity of every mention of all documents."""
+    p = t(spark, d, "predictions").where("text IS NOT NULL").select("pred_id", F.coalesce(canonical_label(F.col("label")), F.lit("")).alias("label"), F.lower("text").alias("name"))
+    return p.join(_identities(spark, d).select("label", "name", "identity"), ["label", "name"]).select("pred_id", "identity")
+
+
+@query("mention_clusters", f"WITH RECURSIVE {_MENTION_IDENTITIES} SELECT identity, sum(copies)::BIGINT AS n_mentions, count(*) AS n_names FROM m JOIN i ON i.node = m.id GROUP BY 1")
+def mention_clusters(spark, d):
+    return _identities(spark, d).groupBy("identity").agg(F.sum("copies").alias("n_mentions"), F.count(F.lit(1)).alias("n_names"))

@@ -134,3 +134,18 @@ def test_further_comparisons(spark):
     assert E.relation_counts(a, b).first().n_correct == 0 and E.relation_counts(a, b, directed=False).first().n_correct == 1
     box = lambda *x: tuple(F.lit(float(v)) for v in x)
     assert spark.range(1).select(E.box_iou(box(0, 0, 2, 2), box(1, 1, 3, 3)).alias("v")).first().v == 1 / 7
+
+
+def test_mentions_resolve_across_documents(spark, tmp_path):
+    """Equal mentions stand as one with their count; every mention, whatever its document and label notation, has an identity."""
+    from spanloom import queries as core
+
+    names = ["Ada Byron Lovelace"] * 300 + ["ada  byron lovelace", "Lovelace Byron Ada", "Ada Byron", "Paris", "Paris"]
+    labels = ["PER", "B-PER", "person"] * 100 + ["PER", "PER", "PER", "LOC", None]
+    rows = [(i, i % 7, n, x) for i, (n, x) in enumerate(zip(names, labels))] + [(900, 1, None, "PER"), (901, 1, " ", "PER")]
+    spark.createDataFrame(rows, "pred_id bigint, doc_id bigint, text string, label string").write.parquet(f"{tmp_path}/predictions.parquet")
+    run = lambda name: core.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.left_id, r.right_id, r.links) for r in run("mention_jaccard_pairs")} == {(0, 300, 300), (0, 301, 300), (300, 301, 1), (0, 302, 300), (300, 302, 1), (301, 302, 1)}
+    assert all(r.left_id < r.right_id for r in run("mention_candidates"))
+    assert {r.pred_id: r.identity for r in run("mention_identities")} == {**dict.fromkeys(range(302), 0), 302: 302, 303: 303, 304: 304, 901: 901}
+    assert {(r.identity, r.n_mentions, r.n_names) for r in run("mention_clusters")} == {(0, 302, 3), (302, 1, 1), (303, 1, 1), (304, 1, 1), (901, 1, 1)}
