@@ -1,10 +1,11 @@
 """Problem 7: sources combined to target shares of the tokens, with capped repeats and actual shares reported.
 
-Method: the tokens of each source are laid end to end (documents in hash order) and cut into blocks of fixed
-length; for every output shard the number of blocks of each source is drawn from a multinomial with the
-target shares; the slots of a source are mapped, one epoch of its blocks after the other, through a
-pseudorandom permutation of its block indices; slots and blocks are then joined by index. A slot beyond the
-last permitted epoch stays empty: the source falls short, and the report says so.
+Method: the tokens of each source are laid end to end (documents in hash order), as often as the source may be
+used, and cut into blocks of fixed length, so that the last block of an epoch goes on with the start of the next
+and only the very last one may be partly filled; for every output shard the number of blocks of each source is
+drawn from a multinomial with the target shares; the slots of a source are mapped, one epoch of its blocks after
+the other, through a pseudorandom permutation of its block indices; slots and blocks are then joined by index. A
+slot beyond the last permitted epoch stays empty: the source falls short, and the report says so.
 
 Scale: token offsets are prefix sums in two levels, (source, bucket) and inside a bucket, with a number of
 buckets that follows the size of the source, so a source with a third of all rows is no hot group. Slots are
@@ -70,19 +71,20 @@ def mix_plan(documents: DataFrame, targets: DataFrame) -> list[dict]:
         share, repeats = float(r.target_share or 0), int(r.max_repeats or 0)
         out.append({
             "mix_id": r.mix_id, "source": r.source, "target_share": share, "max_repeats": repeats, "tokens": r.tokens, "target_tokens": share * total,
-            "short": share * total > repeats * r.tokens, "blocks": -(-r.tokens // BLOCK_TOKENS), "total": total,
+            "short": share * total > repeats * r.tokens, "total": total,
         })
     return out
 
 
 def source_blocks(documents: DataFrame, plan: list[dict]) -> DataFrame:
-    """(source, block, doc_id, doc_from, doc_to): the stretch (in tokens) of each document in each block of its source.
+    """(source, block, doc_id, at, size, doc_from, doc_to): the stretch (in tokens) of each document in each block of
+    one epoch of its source, where the document begins at `at`.
 
     Documents lie in hash order. A document without tokens is in no block."""
     tokens = {p["source"]: p["tokens"] for p in plan}
     spark = documents.sparkSession
     if not tokens:
-        return spark.createDataFrame([], "source string, block bigint, doc_id bigint, doc_from bigint, doc_to bigint")
+        return spark.createDataFrame([], "source string, block bigint, doc_id bigint, at bigint, size bigint, doc_from bigint, doc_to bigint")
     buckets = F.create_map(*[F.lit(x) for s, n in tokens.items() for x in (s, max(1, -(-n // BUCKET_TOKENS)))])
     d = documents.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).where((F.col("size") > 0) & F.col("source").isin(list(tokens)))
     d = d.withColumn("h", F.xxhash64("doc_id", F.lit(7))).withColumn("bucket", F.pmod(F.col("h"), buckets[F.col("source")]))
@@ -93,12 +95,24 @@ def source_blocks(documents: DataFrame, plan: list[dict]) -> DataFrame:
     first, last = F.expr(f"at div {BLOCK_TOKENS}"), F.expr(f"(at + size - 1) div {BLOCK_TOKENS}")
     d = d.withColumn("block", F.explode(F.sequence(first, last)))
     return d.select(
-        "source", "block", "doc_id",
+        "source", "block", "doc_id", "at", "size",
         F.greatest(F.lit(0), F.col("block") * BLOCK_TOKENS - F.col("at")).alias("doc_from"),
         F.least(F.col("size"), (F.col("block") + 1) * BLOCK_TOKENS - F.col("at")).alias("doc_to"),
     )
 
 
+def epoch_block(draw: np.ndarray, epoch: int, tokens: int, repeats: int, seed: int) -> np.ndarray:
+    """The blocks of an epoch (those that begin in it) in pseudorandom order. A partly filled last one comes last, so
+    that every draw before it gets a full block."""
+    first, end = -(-epoch * tokens // BLOCK_TOKENS), -(-(epoch + 1) * tokens // BLOCK_TOKENS)
+    if epoch == repeats - 1:
+        end = repeats * tokens // BLOCK_TOKENS
+    out = draw.copy()
+    if (full := draw < end).any():
+        out[full] = first + permuted(draw[full] - first, end - first, seed)
+    return out
+
+
 SLOTS = "mix_id int, shard bigint, slot int, source string, draw bigint"
 
 
@@ -138,22 +152,22 @@ def mix_slots(documents: DataFrame, plan: list[dict]) -> DataFrame:
     inside = F.sum("n").over(Window.partitionBy("mix_id", "source", "g").orderBy("shard")) - F.col("n")
     slots = counts.withColumn("inside", inside).join(before, ["mix_id", "source", "g"])
     slots = slots.select("mix_id", "shard", "source", F.explode(F.sequence(F.col("before") + F.col("inside"), F.col("before") + F.col("inside") + F.col("n") - 1)).alias("draw"))
-    blocks = {(p["mix_id"], p["source"]): (p["blocks"], p["max_repeats"], k) for k, p in enumerate(plan)}
+    sources = {(p["mix_id"], p["source"]): (p["tokens"], p["max_repeats"], k) for k, p in enumerate(plan)}
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["epoch"], b["block"] = 0, -1
             for (m, s), g in b.groupby(["mix_id", "source"]):
-                n, repeats, k = blocks[(m, s)]
+                n, repeats, k = sources[(m, s)]
                 if not n:
                     continue
                 draw = g["draw"].to_numpy(np.int64)
-                epoch = draw // n
+                epoch = draw * BLOCK_TOKENS // n
                 chosen = np.full(len(g), -1, np.int64)
                 for e in np.unique(epoch):
                     if e < repeats:
                         at = epoch == e
-                        chosen[at] = permuted(draw[at] % n, int(n), 1 + k * 1_000_003 + int(e))
+                        chosen[at] = epoch_block(draw[at], int(e), n, repeats, 1 + k * 1_000_003 + int(e))
                 b.loc[g.index, "epoch"] = epoch
                 b.loc[g.index, "block"] = chosen
             yield b[["mix_id", "shard", "source", "epoch", "block", "draw"]]
@@ -168,17 +182,35 @@ def _character_start(at: str) -> str:
     return f"{at} + CASE WHEN NOT {inner(0)} THEN 0 WHEN NOT {inner(1)} THEN 1 WHEN NOT {inner(2)} THEN 2 ELSE 3 END"
 
 
+def mix_pieces(documents: DataFrame, plan: list[dict]) -> DataFrame:
+    """(mix_id, shard, source, epoch, block, draw, slot_from, doc_id, doc_from, doc_to): the stretches of documents in
+    every filled slot; slot_from is where the stretch begins in the slot."""
+    spark = documents.sparkSession
+    sources = spark.createDataFrame([(p["mix_id"], p["source"], p["tokens"], p["max_repeats"] * p["tokens"]) for p in plan], "mix_id int, source string, tokens bigint, all bigint")
+    slots = mix_slots(documents, plan).where(F.col("block").isNotNull()).join(F.broadcast(sources), ["mix_id", "source"]).withColumnRenamed("block", "slot_block")
+    slots = slots.withColumn("lo", F.col("slot_block") * BLOCK_TOKENS).withColumn("hi", F.least(F.col("lo") + BLOCK_TOKENS, "all"))
+    # A slot may reach into the next copies of its source: one row a copy, then one a block of the source's own tokens.
+    slots = slots.withColumn("copy", F.explode(F.expr("sequence(lo div tokens, (hi - 1) div tokens)"))).withColumn("start", F.expr("copy * tokens"))
+    slots = slots.withColumn("p", F.expr("greatest(lo, start) - start")).withColumn("q", F.expr("least(hi, start + tokens) - start"))
+    slots = slots.withColumn("block", F.explode(F.expr(f"sequence(p div {BLOCK_TOKENS}, (q - 1) div {BLOCK_TOKENS})")))
+    # A document that lies in several blocks of the stretch counts in the first of them.
+    j = slots.join(source_blocks(documents, plan), ["source", "block"]).where(f"at < q AND at + size > p AND block = greatest(at, p) div {BLOCK_TOKENS}")
+    return j.select(
+        "mix_id", "shard", "source", "epoch", F.col("slot_block").alias("block"), "draw", F.expr("start + greatest(at, p) - lo").alias("slot_from"),
+        "doc_id", F.expr("greatest(0, p - at)").alias("doc_from"), F.expr("least(size, q - at)").alias("doc_to"),
+    )
+
+
 def mixed(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, shard, source, epoch, block, draw, doc_id, doc_from, doc_to, text): the contents of every filled slot.
+    """(mix_id, shard, source, epoch, block, draw, slot_from, doc_id, doc_from, doc_to, text): the contents of every filled slot.
 
     doc_from and doc_to count tokens, which are bytes; text holds the characters that begin between them, so the
     pieces of a document make up its text again. Each text is shuffled once, whatever the number of mixes."""
-    plan = mix_plan(documents, targets)
-    pieces = mix_slots(documents, plan).where(F.col("block").isNotNull()).join(source_blocks(documents, plan), ["source", "block"])
+    pieces = mix_pieces(documents, mix_plan(documents, targets))
     texts = documents.where(F.octet_length("text") > 0).select("doc_id", F.encode("text", "utf-8").alias("b"))
     start, end = _character_start("doc_from"), _character_start("doc_to")
     cut = F.expr(f"CAST(substring(b, CAST({start} + 1 AS INT), CAST(({end}) - ({start}) AS INT)) AS STRING)")
-    return pieces.join(texts, "doc_id").select("mix_id", "shard", "source", "epoch", "block", "draw", "doc_id", "doc_from", "doc_to", cut.alias("text"))
+    return pieces.join(texts, "doc_id").select("mix_id", "shard", "source", "epoch", "block", "draw", "slot_from", "doc_id", "doc_from", "doc_to", cut.alias("text"))
 
 
 def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -188,10 +220,7 @@ def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     schema = "mix_id int, source string, target_share double, max_repeats int, available_tokens bigint, target_tokens double, falls_short boolean"
     asked = spark.createDataFrame([(p["mix_id"], p["source"], p["target_share"], p["max_repeats"], p["tokens"], p["target_tokens"], p["short"]) for p in plan], schema)
-    slots = mix_slots(documents, plan).where(F.col("block").isNotNull())
-    per_block = slots.groupBy("source", "block", "mix_id").agg(F.count(F.lit(1)).alias("uses"))
-    sizes = source_blocks(documents, plan).groupBy("source", "block").agg(F.sum(F.col("doc_to") - F.col("doc_from")).alias("tokens"))
-    got = per_block.join(sizes, ["source", "block"]).groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("mixed_tokens"))
+    got = mix_pieces(documents, plan).groupBy("mix_id", "source").agg(F.sum(F.col("doc_to") - F.col("doc_from")).alias("mixed_tokens"))
     r = asked.join(got, ["mix_id", "source"], "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     whole = F.sum("mixed_tokens").over(Window.partitionBy("mix_id"))
     return r.select(

@@ -74,19 +74,21 @@ def test_mixed_documents(spark):
             mine = [(k, p) for k, p in enumerate(plan) if p[0] == mix]
             shares = np.array([p[2] for _, p in mine])
             for (k, (_, s, _, repeats)), count in zip(mine, m.draw_counts(mix, shard, shares / shares.sum())):
-                blocks = -(-len(streams[s]) // n)
+                t = len(streams[s])
                 for draw in range(drawn[s], drawn[s] + count):
-                    if blocks and draw // blocks < repeats:
-                        block = int(m.permuted(np.array([draw % blocks]), blocks, 1 + k * 1_000_003 + draw // blocks)[0])
-                        want[mix, shard, s, draw] = streams[s][block * n : (block + 1) * n]
+                    if draw * n < repeats * t:
+                        e = draw * n // t
+                        block = int(m.epoch_block(np.array([draw]), e, t, repeats, 1 + k * 1_000_003 + e)[0])
+                        want[mix, shard, s, draw] = (streams[s] * repeats)[block * n : (block + 1) * n]
                 drawn[s] += count
     size = {r.doc_id: len(r.text.encode()) for r in rows}
     text = {r.doc_id: r.text for r in rows}
-    got, order = {}, {r.doc_id: (r.h, r.doc_id) for r in rows}
+    got = {}
     mix = m.mixed(docs, targets).collect()
-    for r in sorted(mix, key=lambda r: order[r.doc_id]):
+    for r in sorted(mix, key=lambda r: r.slot_from):
         b = text[r.doc_id].encode()
         assert 0 <= r.doc_from < r.doc_to <= size[r.doc_id]
+        assert r.slot_from == len(got.get((r.mix_id, r.shard, r.source, r.draw), b""))
         got[r.mix_id, r.shard, r.source, r.draw] = got.get((r.mix_id, r.shard, r.source, r.draw), b"") + b[r.doc_from : r.doc_to]
         starts = [i for i in range(r.doc_from, r.doc_to) if b[i] & 0xC0 != 0x80]
         assert r.text == "".join(b[i : i + (1 if b[i] < 0x80 else 2 if b[i] < 0xE0 else 3 if b[i] < 0xF0 else 4)].decode() for i in starts)
@@ -94,3 +96,24 @@ def test_mixed_documents(spark):
     report = {(r.mix_id, r.source): r.mixed_tokens for r in m.mix_report(docs, targets).collect()}
     assert {k: sum(len(b) for (x, _, s, _), b in want.items() if (x, s) == k) for k in report} == report
     assert m.mixed(docs.limit(0), targets).count() == 0 and m.mixed(docs, targets.limit(0)).count() == 0
+
+
+def test_epoch_blocks():
+    """Over all epochs every block comes once, the partly filled one last."""
+    for tokens, repeats in ((10, 3), (4096, 2), (5000, 4), (100_000, 3), (1, 1)):
+        n = -(-tokens * repeats // m.BLOCK_TOKENS)
+        draw = np.arange(n)
+        epoch = draw * m.BLOCK_TOKENS // tokens
+        got = np.concatenate([m.epoch_block(draw[epoch == e], int(e), tokens, repeats, 5 + int(e)) for e in np.unique(epoch)])
+        assert sorted(got) == list(range(n))
+        assert tokens * repeats % m.BLOCK_TOKENS == 0 or got[-1] == n - 1
+
+
+def test_small_sources_give_full_blocks(spark):
+    """As many tokens as slots of 4096 while max_repeats leaves room, however few blocks a source has."""
+    docs = spark.createDataFrame([(i, "x" * 1000, "tiny" if i < 5 else "big", 1) for i in range(200)], "doc_id bigint, text string, source string, slot int")
+    targets = spark.createDataFrame([(1, "big", 0.8, 2), (1, "tiny", 0.2, 40)], "mix_id int, source string, target_share double, max_repeats int")
+    slots = {r.source: r["count"] for r in m.mix_slots(docs, m.mix_plan(docs, targets)).where("block IS NOT NULL").groupBy("source").count().collect()}
+    got = {r.source: r for r in m.mix_report(docs, targets).collect()}
+    assert got["tiny"].mixed_tokens == min(slots["tiny"] * m.BLOCK_TOKENS, 40 * 5000)
+    assert got["big"].mixed_tokens == min(slots["big"] * m.BLOCK_TOKENS, 2 * 195_000)
