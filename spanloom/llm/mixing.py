@@ -3,7 +3,8 @@
 Method: the tokens of each source are laid end to end (documents in hash order), as often as the source may be
 used, and cut into blocks of fixed length, so that the last block of an epoch goes on with the start of the next
 and only the very last one may be partly filled; for every output shard the number of blocks of each source is
-drawn from a multinomial with the target shares; the slots of a source are mapped, one epoch of its blocks after
+drawn from a multinomial with the target shares; a further shard holds the slots of sources that chance gave fewer
+than their target; the slots of a source are mapped, one epoch of its blocks after
 the other, through a pseudorandom permutation of its block indices; slots and blocks are then joined by index. A
 slot beyond the last permitted epoch stays empty: the source falls short, and the report says so.
 
@@ -18,6 +19,7 @@ has no blocks and falls short of any positive target.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +124,8 @@ def draw_counts(mix_id: int, shard: int, shares: np.ndarray) -> np.ndarray:
 
 def mix_slots(documents: DataFrame, plan: list[dict]) -> DataFrame:
     """(mix_id, shard, source, epoch, block, draw): every slot of every output shard; block is null where the
-    source has no more blocks to give. The last shard is whole, so a mix is at most a shard larger than asked for."""
+    source has no more blocks to give. Every source has slots for at least its target, so a slot left empty before that
+    means that it falls short. A mix is larger than asked for by at most a shard and what the last one adds."""
     spark = documents.sparkSession
     by_mix: dict[int, list[dict]] = {}
     for p in plan:
@@ -145,7 +148,12 @@ def mix_slots(documents: DataFrame, plan: list[dict]) -> DataFrame:
     for m, n in shards:
         one = spark.range(n).select(F.lit(m).cast("int").alias("mix_id"), F.col("id").alias("shard"))
         every = one if every is None else every.unionByName(one)
-    counts = every.mapInPandas(count, "mix_id int, shard bigint, source string, n bigint").withColumn("g", F.expr("shard div 1000"))
+    counts = every.mapInPandas(count, "mix_id int, shard bigint, source string, n bigint")
+    drawn = counts.groupBy("mix_id", "source").agg(F.sum("n").alias("drawn"))
+    last = dict(shards)
+    needed = spark.createDataFrame([(p["mix_id"], last[p["mix_id"]], p["source"], math.ceil(p["target_tokens"] / BLOCK_TOKENS)) for p in plan if p["mix_id"] in last], "mix_id int, shard bigint, source string, needed bigint")
+    lacking = needed.join(drawn, ["mix_id", "source"], "left").select("mix_id", "shard", "source", (F.col("needed") - F.coalesce("drawn", F.lit(0))).alias("n")).where("n > 0")
+    counts = counts.unionByName(lacking).withColumn("g", F.expr("shard div 1000"))
     # Draws of a source before this shard: over groups of 1,000 shards, then inside the group.
     per_group = counts.groupBy("mix_id", "source", "g").agg(F.sum("n").alias("s"))
     before = per_group.select("mix_id", "source", "g", (F.sum("s").over(Window.partitionBy("mix_id", "source").orderBy("g")) - F.col("s")).alias("before"))
@@ -232,6 +240,8 @@ def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def sources_falling_short(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source), read off the finished mix: a source that falls short is there at most as often as allowed."""
-    kept = F.col("mixed_tokens") <= F.col("max_repeats") * F.col("available_tokens")
-    return mix_report(documents, targets).where(F.col("falls_short") & kept).select("mix_id", "source")
+    """(mix_id, source), read off the finished mix, where every source has slots for its target: it falls short if what
+    came out, its last permitted epoch used up, is still less. The exact sum must say the same."""
+    r = mix_report(documents, targets).withColumn("missing", F.col("mixed_tokens") < F.col("target_tokens"))
+    differs = F.concat(F.lit("the mix and the sum of tokens differ on source "), F.col("source"))
+    return r.where(F.when(F.col("missing") == F.col("falls_short"), F.col("missing")).otherwise(F.raise_error(differs).cast("boolean"))).select("mix_id", "source")

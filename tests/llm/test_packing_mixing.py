@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from spanloom.llm import mixing as m
 from spanloom.llm import packing as p
@@ -70,10 +71,12 @@ def test_mixed_documents(spark):
     want, n = {}, m.BLOCK_TOKENS
     for mix in (1, 2):
         drawn = dict.fromkeys(streams, 0)
-        for shard in range(-(-whole // (n * m.SHARD_SLOTS))):
+        shards = -(-whole // (n * m.SHARD_SLOTS))
+        for shard in range(shards + 1):
             mine = [(k, p) for k, p in enumerate(plan) if p[0] == mix]
             shares = np.array([p[2] for _, p in mine])
-            for (k, (_, s, _, repeats)), count in zip(mine, m.draw_counts(mix, shard, shares / shares.sum())):
+            counts = m.draw_counts(mix, shard, shares / shares.sum()) if shard < shards else [max(0, -int(-p[2] * whole // n) - drawn[p[1]]) for _, p in mine]
+            for (k, (_, s, _, repeats)), count in zip(mine, counts):
                 t = len(streams[s])
                 for draw in range(drawn[s], drawn[s] + count):
                     if draw * n < repeats * t:
@@ -117,3 +120,17 @@ def test_small_sources_give_full_blocks(spark):
     got = {r.source: r for r in m.mix_report(docs, targets).collect()}
     assert got["tiny"].mixed_tokens == min(slots["tiny"] * m.BLOCK_TOKENS, 40 * 5000)
     assert got["big"].mixed_tokens == min(slots["big"] * m.BLOCK_TOKENS, 2 * 195_000)
+
+
+def test_shortage_is_read_off_the_mix(spark, monkeypatch):
+    """Every source reaches its target or has no epoch left, whatever chance draws; without the mix there is no row."""
+    docs = spark.createDataFrame([(i, "x" * 1000, "abc"[i % 3], 1) for i in range(300)], "doc_id bigint, text string, source string, slot int")
+    targets = spark.createDataFrame([(k, s, w, r) for k in range(6) for s, w, r in (("a", 0.02, 1), ("b", 0.34, 1), ("c", 0.54, 2), ("gone", 0.1, 5))], "mix_id int, source string, target_share double, max_repeats int")
+    for r in m.mix_report(docs, targets).collect():
+        assert (r.mixed_tokens < r.target_tokens) == r.falls_short
+        assert not r.falls_short or r.mixed_tokens == r.max_repeats * r.available_tokens
+    assert {(r.mix_id, r.source) for r in m.sources_falling_short(docs, targets).collect()} == {(k, s) for k in range(6) for s in ("b", "gone")}
+    slots = m.mix_slots
+    monkeypatch.setattr(m, "mix_slots", lambda *a: slots(*a).limit(0))
+    with pytest.raises(Exception, match="the mix and the sum"):
+        m.sources_falling_short(docs, targets).collect()
