@@ -79,7 +79,8 @@ _DIGIT_WORDS = dict(zip("zero oh one two three four five six seven eight nine".s
 SPELLED = re.compile(rf"(?<!\w)(?:(?:double |triple )?(?:{'|'.join(_DIGIT_WORDS)})[ ,-]+){{6,}}(?:{'|'.join(_DIGIT_WORDS)})(?!\w)", re.I)
 
 _DIGITS = re.compile(r"\d(?:[ ()./-]{0,3}\d){5,}")
-_DIGIT_WORD = re.compile(r"\b(?:zero|seven|eight|nine)\b", re.I)
+# Implied by SPELLED, which begins with one of them (or with double, triple and one of them).
+_DIGIT_WORD = re.compile(rf"(?<!\w)(?:{'|'.join(_DIGIT_WORDS)})(?!\w)", re.I)
 
 _NAME_WORD = r"[A-ZÀ-ÞŠŽ][\w'’-]*"
 _PARTICLE = r"(?:de la |de l['’]|de los |de las |del |dei |delle |della |degli |dell['’]|des |du |de |do |da |dos |das |d['’]|di )?"

@@ -52,3 +52,8 @@ def test_rows(spark):
     assert m[1] == ("Call [PHONE], [NAME].", 2) and m[2][0] is None and m[3] == ("", 0) and m[4] == ("none", 0)
     assert pii.personal_information(docs, kb.limit(0)).where("kind = 'phone'").count() == 1
     assert pii.personal_information(docs.limit(0), kb).count() == 0
+
+
+def test_spelled_numbers_of_any_digit_words():
+    for text in ("oh one two three four five six one two", "one two three four five six one", "double two, three four five six one two three"):
+        assert [(k, a, b) for k, a, b in pii.occurrences(f"Ring {text} now.", PARTS)] == [("phone", 5, 5 + len(text))]
