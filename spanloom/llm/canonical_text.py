@@ -72,6 +72,9 @@ FOLD_TO = {
     "C": LATIN_TO_CYRILLIC | GREEK_TO_CYRILLIC,
     "G": LATIN_TO_GREEK | CYRILLIC_TO_GREEK,
 }
+# Letters that the tables fold and that lie outside the ranges of Latin, Greek and Cyrillic.
+_PLAIN_RANGES = re.compile(f"[{cls(LATIN)}{cls(GREEK)}{cls(CYRILLIC)}]")
+FURTHER = " ".join(f"{ord(c):X}" for c in sorted({c for fold in FOLD_TO.values() for c in fold}) if not _PLAIN_RANGES.match(c))
 # Cyrillic letters of no use in words of the common Cyrillic orthographies: beside nothing else they speak for Latin.
 RARE_CYRILLIC = "ЅЈѕј"
 PERSIAN_ONLY = "پچژگ"
@@ -82,12 +85,13 @@ _INVISIBLE = re.compile(f"[{cls(INVISIBLE)}]")
 _UNSEEN = re.compile(f"[ {cls(INVISIBLE)}{cls(JOINERS)}]")
 _SPACE = re.compile(f"[{cls(SPACES)}]")
 _HYPHEN = re.compile(f"[{cls(HYPHENS)}]")
-_TWO_SCRIPTS = re.compile(f"[{cls(GREEK)}{cls(CYRILLIC)}]")
+_TWO_SCRIPTS = re.compile(f"[{cls(GREEK)}{cls(CYRILLIC)}{cls(FURTHER)}]")
+_FURTHER = re.compile(f"[{cls(FURTHER)}]")
 _LATIN = re.compile(f"[{cls(LATIN)}{cls('FF21-FF3A FF41-FF5A')}]")
 _TOKEN = re.compile(r"\S+")
 _ARABIC_WORD = re.compile(f"[{cls(ARABIC)}{ZWNJ}]+")
 _ARABIC = re.compile(f"[{cls(ARABIC)}]")
-_LETTERS = re.compile(f"[{cls(LATIN)}{cls(GREEK)}{cls(CYRILLIC)}{cls('251 261 585')}]+")
+_LETTERS = re.compile(f"[{cls(LATIN)}{cls(GREEK)}{cls(CYRILLIC)}{cls(FURTHER)}]+")
 _CJK = re.compile(f"[{cls(CJK)}{cls('FF01 FF08-FF09 FF0C FF1A-FF1B FF1F')}]")
 # A zone runs from the starter before an unstable character to the last mark behind it.
 _ZONE = re.compile(f"[^\\s{cls(UNSTABLE)}]?[{cls(UNSTABLE)}]+")
@@ -97,7 +101,7 @@ def quick_check(col: Column) -> Column:
     """True where a text may hold something to normalise. Runs inside the JVM; linear in the text."""
     return F.coalesce(
         col.rlike(java_cls(UNSTABLE))
-        | (col.rlike(java_cls(GREEK + " " + CYRILLIC)) & col.rlike(java_cls(LATIN + " 405 408 455 458")))
+        | (col.rlike(java_cls(f"{GREEK} {CYRILLIC} {FURTHER}")) & col.rlike(java_cls(LATIN + " 405 408 455 458")))
         | col.rlike("\\x{6cc}" + java_cls(ARABIC)),
         F.lit(False),
     )
@@ -220,6 +224,9 @@ def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
                 continue
             for w in _LETTERS.finditer(token):
                 word = w.group()
+                # Letters of other alphabets beside it (Armenian, phonetic script): there these letters are no look-alikes.
+                if _FURTHER.search(word) and (token[w.start() - 1 : w.start()].isalpha() or token[w.end() : w.end() + 1].isalpha()):
+                    continue
                 if len(_scripts(word)) < 2 and (_anchors(word) or len(word) < 2 and not _LATIN.search(token) and not (word.isupper() and "." in token)):
                     continue
                 own = _own_script(word, token, text, m.start(), m.end())

@@ -71,3 +71,13 @@ def test_moved_offsets_agree(spark):
     for r in c.canonical_entities(p, docs).collect():
         edits, k = c.canonical_edits(texts[r.doc_id]), r.pred_id % 100
         assert (r.canonical_start, r.canonical_end) == (c.to_canonical_offset(edits, k), c.to_canonical_offset(edits, min(60, k + 5), True))
+
+
+def test_look_alikes_outside_the_common_ranges(spark):
+    """Every letter that the tables fold to Latin, in a Latin word without any other foreign letter."""
+    words = [f"Wr{k}kshire" for k in c.FOLD_TO["L"]]
+    assert [c.canonicalize(w) for w in words] == [f"Wr{v}kshire" for v in c.FOLD_TO["L"].values()]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string")
+    assert docs.where(c.quick_check(docs["text"])).count() == len(words)
+    for kept in ("\u0585\u0580", "Bar-\u0585\u0580", "\u0261\u026av", "\u051d\u0430\u043d"):
+        assert c.canonicalize(kept) == kept
