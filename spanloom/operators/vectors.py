@@ -87,3 +87,17 @@ def conditional(l1: Column, h1: Column, l2: Column, h2: Column) -> Column:
 
 def box_coref(l1: Column, h1: Column, l2: Column, h2: Column) -> Column:
     return (conditional(l1, h1, l2, h2) + conditional(l2, h2, l1, h1)) / 2
+
+
+def box_search(vectors: DataFrame, queries: DataFrame, k: int, radius: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(query_id, neighbour_id, score, rank): the k vectors whose boxes overlap most with that of each query, itself
+    apart; a box that does not overlap never comes out. Queries are counted and broadcast as in `search`."""
+    n = queries.count()
+    if n > MAX_QUERIES:
+        raise ValueError(f"{n} queries; box_search takes blocks of at most {MAX_QUERIES}")
+    q = queries.select(F.col(key).alias("query_id"), F.col(column).alias("qv"))
+    v = vectors.select(F.col(key).alias("neighbour_id"), F.col(column).alias("v"))
+    j = v.join(F.broadcast(q), F.col("query_id") != F.col("neighbour_id"))
+    j = j.select("query_id", "neighbour_id", box_coref(*box_around(F.col("v"), radius), *box_around(F.col("qv"), radius)).alias("score")).where("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "neighbour_id")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

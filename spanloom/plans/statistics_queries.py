@@ -171,6 +171,16 @@ def box_overlap(spark, d):
     return j.select("left_id", "right_id", F.round(V.box_coref(*V.box_around(F.col("a"), 2.0), *V.box_around(F.col("b"), 2.0)), 6).alias("score"))
 
 
+_BOX = "list_product(list_transform(range(1, len(v.embedding) + 1), lambda i: greatest(0, 4 - abs(v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)) / 4))"
+
+
+@query("box_overlap_topk", f"SELECT query_id, neighbour_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, {_BOX} AS s FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, neighbour_id) <= 5")
+def box_overlap_topk(spark, d):
+    """The vectors whose boxes (radius 2) overlap most with those of the queries, whatever their ids."""
+    e = t(spark, d, "embeddings")
+    return V.box_search(e, e.where("vec_id % 20 = 0"), 5, 2.0).select("query_id", "neighbour_id", F.round("score", 6).alias("score"))
+
+
 @query("centroid_distance", "WITH x AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(v::DOUBLE) AS m FROM x GROUP BY ALL) SELECT a.label AS label_a, b.label AS label_b, round(sqrt(sum((a.m - b.m) * (a.m - b.m))), 6) AS distance FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
 def centroid_distance(spark, d):
     x = t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))

@@ -149,3 +149,14 @@ def test_mentions_resolve_across_documents(spark, tmp_path):
     assert all(r.left_id < r.right_id for r in run("mention_candidates"))
     assert {r.pred_id: r.identity for r in run("mention_identities")} == {**dict.fromkeys(range(302), 0), 302: 302, 303: 303, 304: 304, 901: 901}
     assert {(r.identity, r.n_mentions, r.n_names) for r in run("mention_clusters")} == {(0, 302, 3), (302, 1, 1), (303, 1, 1), (304, 1, 1), (901, 1, 1)}
+
+
+def test_overlapping_boxes_need_no_neighbouring_ids(spark):
+    from spanloom.operators import vectors as V
+
+    rows = [(0, [0.0, 0.0]), (1, [50.0, 50.0]), (17, [1.0, 0.0]), (400, [0.0, 0.5]), (900, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    score = {b: max(0, 4 - abs(x)) * max(0, 4 - abs(y)) / 16 for b, (x, y) in rows[1:]}
+    want = sorted(((-s, b) for b, s in score.items() if s > 0))[:2]
+    got = sorted((r["rank"], r.neighbour_id, round(r.score, 9)) for r in V.box_search(df, df.where("vec_id = 0"), 2, 2.0).collect())
+    assert got == [(i + 1, b, round(-s, 9)) for i, (s, b) in enumerate(want)]
