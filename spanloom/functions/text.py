@@ -49,14 +49,17 @@ def strip_zero_width(c: Column) -> Column:
 
 
 def language_by_script(c: Column) -> Column:
-    """The language of most weighted letters; English without letters; Chinese with any kana is Japanese; ties go to the first."""
-    counts = [(code, F.regexp_count(c, F.lit(p)) * w) for code, p, w in LANGUAGE_CLASSES]
-    top = F.greatest(*[n for _, n in counts])
-    out = F.lit("en")
-    for code, n in reversed(counts):
-        out = F.when((n == top) & (top > 0), F.lit(code)).otherwise(out)
-    kana = dict(counts)["ja"] > 0
-    return F.when((out == "zh") & kana, F.lit("ja")).otherwise(out)
+    """The language of most weighted letters; English without letters; Chinese with any kana is Japanese; ties go to the
+    first. Each class of letters is counted once: the counts are a lambda's variable, then a place in them is looked up."""
+    counts = F.array(*[F.regexp_count(c, F.lit(p)) * w for _, p, w in LANGUAGE_CLASSES])
+    codes = F.array(*[F.lit(code) for code, _, _ in LANGUAGE_CLASSES])
+    kana = [code for code, _, _ in LANGUAGE_CLASSES].index("ja")
+
+    def choose(n: Column) -> Column:
+        code = F.get(codes, F.array_position(n, F.array_max(n)).cast("int") - 1)
+        return F.when(F.array_max(n) == 0, F.lit("en")).when((code == "zh") & (n[kana] > 0), F.lit("ja")).otherwise(code)
+
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(counts), choose), F.lit(0))).otherwise(F.lit("en"))
 
 
 def word_set(c: Column) -> Column:

@@ -48,48 +48,94 @@ def modularity(edges: DataFrame, communities: DataFrame, gamma: float = 1.0) ->
     return j.agg(F.coalesce(F.sum((F.col("weight") - gamma * F.col("ka") * F.col("kb") / (2 * F.col("m"))) / (2 * F.col("m"))), F.lit(0.0)).alias("modularity"))
 
 
+def _both_ways(edges: DataFrame, *carried: str) -> DataFrame:
+    a = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), *carried)
+    return a.unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"), *carried))
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node of each connected component, by label spreading with pointer jumping.
 
-    Every round is written to the shared folder; rounds follow the logarithm of the longest path."""
+    Every round is written to the shared folder, and its changes are counted while it is written; rounds follow the
+    logarithm of the longest path."""
     scratch = Scratch(edges.sparkSession, "components")
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
-    both, _ = scratch.write(both)
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    labels, path = scratch.write(labels)
+    both, both_path = scratch.write(_both_ways(edges).distinct())
+    labels, path = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
         new = new.join(jump, "c", "left").select("node", "old", F.least("c", F.coalesce("cc", "c")).alias("component"))
-        written, new_path = scratch.write(new)
-        changed = not written.where("old <> component").isEmpty()
+        written, new_path, changed = scratch.write_counting(new, F.col("old") != F.col("component"))
         scratch.drop(path)
         labels, path = written.select("node", "component"), new_path
         if not changed:
             break
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    scratch.drop(both_path)
     if nodes is None:
         return labels
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def spread_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community) by synchronous label propagation: each node takes the label of most weight around it, the
-    smallest on ties, and keeps its own if that weighs as much. A distributed stand-in for local moving."""
-    scratch = Scratch(edges.sparkSession, "communities")
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"), "weight"))
-    both, _ = scratch.write(both)
-    labels, path = scratch.write(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        best = around.groupBy("a").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("best"))
-        new = labels.join(best.withColumnRenamed("a", "node"), "node").select("node", F.col("best").alias("community"))
-        written, new_path = scratch.write(new)
+def local_moving(edges: DataFrame, gamma: float = 1.0, max_sweeps: int = 100, least_gain: float = 1e-9) -> DataFrame:
+    """(node, community): communities of (source, target, weight) by local moving on the modularity with resolution gamma,
+    each node from a community of its own.
+
+    A sweep moves nodes at once, so two neighbours could change places for ever: of the nodes that would gain by a move, one
+    moves in a sweep only if it comes before all neighbours that want to move, in a hash order that is fresh in each sweep.
+    It settles when no node gains; to stop before that is an error, not a result. Ties go to the smallest community, and a
+    community is named by its smallest node. Self-loops count for degrees only. Hot communities are pre-aggregated."""
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "communities")
+    e = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull()).groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.sum("weight").cast("double").alias("weight"))
+    both, both_path = scratch.write(_both_ways(e, "weight"))
+    degree, degree_path = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
+    total = degree.agg(F.sum("k")).first()[0] or 0.0  # twice the weight of all edges
+    labels, path = scratch.write(degree.select("node", F.col("node").alias("community"), "k"))
+    loops = both.where("a <> b")
+    for sweep in range(max_sweeps):
+        sums = labels.groupBy("community").agg(F.sum("k").alias("s"))
+        around = loops.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        own = labels.withColumnsRenamed({"node": "a", "community": "own"})
+        seen = around.join(own, "a").join(sums, "community")
+        # What a community is worth to a node: the links to it less what chance would give, without the node itself.
+        worth = F.col("w") - gamma * F.col("k") * (F.col("s") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(total or 1.0)
+        rated = seen.withColumn("worth", F.round(worth, 9)).groupBy("a", "own", "k").agg(
+            F.min_by("community", F.struct(-F.col("worth"), F.col("community"))).alias("best"), F.max("worth").alias("gain"), F.max(F.when(F.col("community") == F.col("own"), F.col("worth"))).alias("stay")
+        )
+        rated = rated.join(sums.withColumnsRenamed({"community": "own", "s": "own_sum"}), "own")
+        stay = F.coalesce("stay", -gamma * F.col("k") * (F.col("own_sum") - F.col("k")) / F.lit(total or 1.0))
+        # A community of its own is worth 0: a node that is better off alone leaves.
+        wants = rated.select("a", F.when(F.col("gain") >= 0, F.col("best")).otherwise(F.col("a")).alias("to"), (F.greatest("gain", F.lit(0.0)) - stay).alias("gained"), "own")
+        wants = wants.where((F.col("gained") > least_gain) & (F.col("to") != F.col("own"))).withColumn("h", F.xxhash64("a", F.lit(sweep)))
+        wants, wants_path, n = scratch.write_counting(wants, F.lit(True))
+        if not n:
+            scratch.drop(wants_path)
+            break
+        before = loops.join(wants.select(F.col("a").alias("b"), F.col("h").alias("hb")), "b").groupBy("a").agg(F.min("hb").alias("hb"))
+        moves = wants.join(before, "a", "left").where(F.col("hb").isNull() | (F.col("h") < F.col("hb"))).select(F.col("a").alias("node"), "to")
+        written, new_path = scratch.write(labels.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"))
         scratch.drop(path)
+        scratch.drop(wants_path)
         labels, path = written, new_path
-    return labels
+    else:
+        raise RuntimeError(f"communities did not settle within {max_sweeps} sweeps")
+    scratch.drop(both_path)
+    scratch.drop(degree_path)
+    name = labels.groupBy("community").agg(F.min("node").alias("name"))
+    return labels.join(name, "community").select("node", F.col("name").alias("community"))
+
+
+def hierarchy(edges: DataFrame, levels: int = 3, gamma: float = 1.0, max_sweeps: int = 100) -> DataFrame:
+    """(node, level_0_community, level_1_community, ...): communities at resolutions gamma, 2 gamma, 4 gamma, ..., each from
+    the whole graph anew."""
+    out = None
+    for n in range(levels):
+        c = local_moving(edges, gamma * 2**n, max_sweeps).withColumnRenamed("community", f"level_{n}_community")
+        out = c if out is None else out.join(c, "node")
+    return out
 
 
 def cypher_nodes(nodes: DataFrame) -> DataFrame:

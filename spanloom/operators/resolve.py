@@ -10,31 +10,52 @@ from ..functions.text import word_set
 from . import graph as G
 
 
+def equal_classes(records: DataFrame, key: str = "id", text: str = "name", block: str | None = None) -> DataFrame:
+    """(member, representative, copies): records of equal text (and block) and the smallest key among them. Null texts are
+    in no class. Equal texts may be any share of the rows: they are counted before they are shuffled."""
+    by = [F.col(text).alias("t"), (F.col(block) if block else F.lit(0)).alias("g")]
+    r = records.where(F.col(text).isNotNull()).select(F.col(key).alias("member"), *by)
+    classes = r.groupBy("t", "g").agg(F.min("member").alias("representative"), F.count(F.lit(1)).alias("copies"))
+    j = r.join(classes, (r["t"] == classes["t"]) & r["g"].eqNullSafe(classes["g"]))
+    return j.select("member", "representative", "copies")
+
+
+def _representatives(records: DataFrame, key: str, text: str, block: str | None) -> DataFrame:
+    """(k, t, g, copies): one row a class of `equal_classes`."""
+    r = records.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(block) if block else F.lit(0)).alias("g"))
+    return r.groupBy("t", "g").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"))
+
+
 def jaccard_pairs(records: DataFrame, threshold: float, key: str = "id", text: str = "name", block: str | None = None) -> DataFrame:
-    """(left, right, similarity): pairs of distinct texts with word Jaccard of at least the threshold, left < right.
+    """(left, right, similarity, links): pairs of different texts with word Jaccard of at least the threshold, left < right.
+    A text is named by its smallest key; `links` is the number of pairs of records behind a pair (`equal_classes` has who
+    they are). Without words there is no pair.
 
     An exact prefix filter: with words in order of rising frequency, two sets of that similarity share a word among
-    the first |x| - ceil(t |x|) + 1 of each, so hot words block nothing. Frequencies are counted over all records."""
-    r = records.select(F.col(key).alias("k"), word_set(F.lower(F.col(text))).alias("w"), *([F.col(block).alias("g")] if block else [F.lit(0).alias("g")])).where(F.size("w") > 0)
+    the first |x| - ceil(t |x|) + 1 of each, so hot words block nothing. Frequencies are counted over all different texts."""
+    one = _representatives(records, key, text, block)
+    r = one.select("k", word_set(F.lower(F.col("t"))).alias("w"), "g", "copies").where(F.size("w") > 0)
     words = r.select("k", "g", F.explode("w").alias("x"), F.size("w").alias("n"))
     frequency = words.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
     ranked = words.join(frequency, "x").withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("f", "x")))
     prefix = ranked.where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("k", "g", "x", "n")
     a, b = (prefix.select("g", "x", F.col("k").alias(s), F.col("n").alias("n" + s)) for s in ("left", "right"))
     pairs = a.join(b, ["g", "x"]).where((F.col("left") < F.col("right")) & (F.least("nleft", "nright") >= threshold * F.greatest("nleft", "nright") - 1e-9)).select("left", "right").distinct()
-    sets = r.select("k", "w")
-    j = pairs.join(sets.withColumnsRenamed({"k": "left", "w": "a"}), "left").join(sets.withColumnsRenamed({"k": "right", "w": "b"}), "right")
+    sets = r.select("k", "w", "copies")
+    j = pairs.join(sets.withColumnsRenamed({"k": "left", "w": "a", "copies": "ca"}), "left").join(sets.withColumnsRenamed({"k": "right", "w": "b", "copies": "cb"}), "right")
     common = F.size(F.array_intersect("a", "b"))
-    return j.withColumn("similarity", common / (F.size("a") + F.size("b") - common)).where(F.col("similarity") >= threshold - 1e-9).select("left", "right", "similarity")
+    j = j.withColumn("similarity", common / (F.size("a") + F.size("b") - common)).where(F.col("similarity") >= threshold - 1e-9)
+    return j.select("left", "right", "similarity", (F.col("ca") * F.col("cb")).alias("links"))
 
 
 def minhash_candidates(records: DataFrame, bands: int = 5, rows: int = 3, key: str = "id", text: str = "name") -> DataFrame:
-    """(left, right): records that share a band of MinHash values over character trigrams, left < right.
+    """(left, right): different texts, each named by its smallest key, that share a band of MinHash values over character
+    trigrams, left < right; `equal_classes` has the records of equal text.
 
     Hashes are the first 15 hex digits of md5(seed:trigram), so that other engines can compute the same."""
     from ..functions.text import char_ngrams
 
-    g = records.select(F.col(key).alias("k"), F.array_distinct(char_ngrams(F.lower(F.col(text)), 3)).alias("grams"))
+    g = _representatives(records, key, text, None).withColumnRenamed("t", text).select("k", F.array_distinct(char_ngrams(F.lower(F.col(text)), 3)).alias("grams"))
     sign = lambda i: F.array_min(F.transform("grams", lambda x: F.substring(F.md5(F.concat(F.lit(f"{i}:"), x)), 1, 15)))
     band = F.array(*[F.concat_ws("-", F.lit(str(b)), *[sign(b * rows + r) for r in range(rows)]) for b in range(bands)])
     e = g.select("k", F.explode(band).alias("h"))
@@ -42,8 +63,10 @@ def minhash_candidates(records: DataFrame, bands: int = 5, rows: int = 3, key: s
     return a.join(b, "h").where("left < right").select("left", "right").distinct()
 
 
-def identities(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(identity, n_mentions, canonical_name): clusters of mentions (id, name) joined by pairs; singletons too."""
-    c = G.components(pairs.select(F.col("left").alias("source"), F.col("right").alias("target")), mentions.select(F.col("id").alias("node")))
-    j = mentions.join(c.withColumnsRenamed({"node": "id", "component": "identity"}), "id")
+def identities(mentions: DataFrame, pairs: DataFrame, block: str | None = None) -> DataFrame:
+    """(identity, n_mentions, canonical_name): clusters of mentions (id, name) joined by pairs of their texts; singletons too."""
+    classes = equal_classes(mentions, block=block).select(F.col("member").alias("id"), "representative")
+    c = G.components(pairs.select(F.col("left").alias("source"), F.col("right").alias("target")), classes.select(F.col("representative").alias("node")))
+    of = classes.join(c.withColumnsRenamed({"node": "representative", "component": "identity"}), "representative").select("id", "identity")
+    j = mentions.join(of, "id", "left").withColumn("identity", F.coalesce("identity", "id"))
     return j.groupBy("identity").agg(F.count(F.lit(1)).alias("n_mentions"), F.max_by("name", F.struct(F.length("name"), -F.col("id"))).alias("canonical_name"))

@@ -81,13 +81,14 @@ def gap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def proximity_pairs(spans: DataFrame, max_gap: int, key: str = "pred_id") -> DataFrame:
     """(doc_id, left, right, gap): pairs of a document at most max_gap characters apart, by start then key.
 
-    Each span meets those that start in its own or the next bucket of (longest span + max_gap) characters."""
+    A span goes to every bucket, of a width that the data do not change, between its start and the last place where a
+    partner may start; it meets the spans that start there. Each pair is found once, and a very long span costs buckets,
+    not wider ones."""
     s = located(spans).where("start_char <= end_char").select("doc_id", key, "start_char", "end_char")
-    longest = s.agg(F.max(F.col("end_char") - F.col("start_char"))).first()[0] or 0
-    width = int(longest) + max_gap + 1
-    s = s.withColumn("bucket", F.expr(f"start_char div {width}"))
-    a = s.select("doc_id", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col(key).alias("left"), F.col("start_char").alias("s1"), F.col("end_char").alias("e1"))
-    b = s.select("doc_id", "bucket", F.col(key).alias("right"), F.col("start_char").alias("s2"), F.col("end_char").alias("e2"))
+    width = max(BUCKET, max_gap + 1)
+    reach = F.sequence(F.expr(f"start_char div {width}"), F.expr(f"(end_char + {max_gap}) div {width}"))
+    a = s.select("doc_id", F.explode(reach).alias("bucket"), F.col(key).alias("left"), F.col("start_char").alias("s1"), F.col("end_char").alias("e1"))
+    b = s.select("doc_id", F.expr(f"start_char div {width}").alias("bucket"), F.col(key).alias("right"), F.col("start_char").alias("s2"), F.col("end_char").alias("e2"))
     j = a.join(b, ["doc_id", "bucket"]).where((F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("left") < F.col("right"))))
     return j.withColumn("gap", gap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))).where(F.col("gap") <= max_gap).select("doc_id", "left", "right", "gap")
 

@@ -1,7 +1,11 @@
-"""Vectors: similarity, sign hashes, two-stage search, boxes. All inside the JVM."""
+"""Vectors: similarity, sign hashes, boxes, inside the JVM; searches as products of blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -39,29 +43,73 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-MAX_QUERIES = 4096  # vectors a block of queries: a broadcast of that size
+BLOCK_ROWS = 1024  # vectors a block of the blocked search: some megabytes at a few thousand dimensions
+V_SLOTS, Q_SLOTS = 64, 8
+_PACKED = "block bigint, ids array<bigint>, width int, packed binary"
+
+
+def _blocks(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """(block, ids, width, packed): vectors of equal width, up to BLOCK_ROWS of a partition as one matrix. Null vectors, and
+    vectors that hold nulls, are in no block."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.assign(width=b["v"].map(len))
+            for width, g in b.groupby("width"):
+                for k in range(0, len(g), BLOCK_ROWS):
+                    part = g.iloc[k : k + BLOCK_ROWS]
+                    m = np.array(part["v"].tolist(), np.float64).reshape(len(part), width)
+                    yield pd.DataFrame({"block": [int(part["k"].iloc[0])], "ids": [part["k"].to_numpy(np.int64)], "width": [width], "packed": [m.tobytes()]})
+
+    v = vectors.where(F.col(column).isNotNull() & ~F.coalesce(F.exists(F.col(column), lambda x: x.isNull()), F.lit(False)))
+    return v.select(F.col(key).cast("long").alias("k"), F.col(column).alias("v")).mapInPandas(pack, _PACKED)
+
+
+def _blocked_search(vectors: DataFrame, queries: DataFrame, k: int, key: str, column: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(query_id, neighbour_id, score, rank). Blocks of vectors meet blocks of queries of the same width, each pair of blocks
+    is one matrix product and leaves the best k of every query in it, and the best of these are ranked. Any number of
+    queries is allowed: nothing is collected, and a block of queries is joined, not held whole. A score of -inf is no result."""
+    v = _blocks(vectors, key, column)
+    q = _blocks(queries, key, column).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "packed": "q_packed"})
 
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, packed, q_ids, q_packed, width in zip(b["ids"], b["packed"], b["q_ids"], b["q_packed"], b["width"]):
+                ids, q_ids = np.asarray(ids), np.asarray(q_ids)
+                s = score(np.frombuffer(q_packed).reshape(len(q_ids), width), np.frombuffer(packed).reshape(len(ids), width))
+                s = np.where(q_ids[:, None] == ids[None, :], -np.inf, s)
+                order = np.argsort(ids, kind="stable")
+                s, ids = np.round(s[:, order], 12), ids[order]
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                rows, found = np.repeat(np.arange(len(q_ids)), top.shape[1]), top.ravel()
+                got = s[rows, found]
+                keep = np.isfinite(got)
+                yield pd.DataFrame({"query_id": q_ids[rows[keep]], "neighbour_id": ids[found[keep]], "score": got[keep]})
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", max_hamming: int | None = None, dimensions: int | None = None) -> DataFrame:
-    """(query_id, neighbour_id, similarity, rank): the k nearest by cosine of each query, itself apart.
+    # A grid of slots: every block of vectors meets every block of queries once, in one of V_SLOTS x Q_SLOTS keys.
+    v = v.withColumns({"v_slot": F.pmod(F.xxhash64("block"), F.lit(V_SLOTS)), "q_slot": F.explode(F.sequence(F.lit(0), F.lit(Q_SLOTS - 1)))})
+    q = q.withColumns({"q_slot": F.pmod(F.xxhash64("q_block"), F.lit(Q_SLOTS)).cast("int"), "v_slot": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(V_SLOTS - 1).cast("long")))})
+    pairs = v.join(q, ["width", "v_slot", "q_slot"]).select("ids", "packed", "q_ids", "q_packed", "width")
+    found = pairs.mapInPandas(best, "query_id bigint, neighbour_id bigint, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    Queries are counted; a set within MAX_QUERIES is broadcast against the vectors, which stay in place, a larger
-    one is refused: call again block by block. With max_hamming, sign hashes sift before cosines are taken. Each
-    partition keeps its best k of a query before the shuffle (`max_by`-like partial ranks by the window group limit)."""
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; search takes blocks of at most {MAX_QUERIES}")
-    q = queries.select(F.col(key).alias("query_id"), F.col(column).alias("qv"), norm(F.col(column)).alias("qn"))
-    v = vectors.select(F.col(key).alias("neighbour_id"), F.col(column).alias("v"), norm(F.col(column)).alias("vn"))
-    near = F.col("query_id") != F.col("neighbour_id")
-    if max_hamming is not None:
-        q, v = q.withColumn("qh", sign_words(F.col("qv"), dimensions)), v.withColumn("vh", sign_words(F.col("v"), dimensions))
-        near = near & (hamming(F.col("qh"), F.col("vh")) <= max_hamming)
-    j = v.join(F.broadcast(q), near)
-    s = F.when((F.size("v") == F.size("qv")) & (F.col("vn") * F.col("qn") > 0), dot(F.col("v"), F.col("qv")) / (F.col("vn") * F.col("qn"))).otherwise(F.lit(0.0))
-    j = j.select("query_id", "neighbour_id", s.alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "neighbour_id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", max_hamming: int | None = None) -> DataFrame:
+    """(query_id, neighbour_id, similarity, rank): the k nearest by cosine of each query, itself apart; exact, by blocks.
+    A vector of norm 0 has similarity 0 to all; vectors of another width are no neighbours.
+
+    With max_hamming only vectors whose sign hash (1 where a value is positive) differs in at most so many bits count."""
+
+    def score(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        s = np.divide(q @ v.T, n, out=np.zeros(n.shape), where=n > 0)
+        if max_hamming is not None:
+            a, b = np.where(q > 0, 1.0, -1.0), np.where(v > 0, 1.0, -1.0)
+            s = np.where((q.shape[1] - a @ b.T) / 2 <= max_hamming + 1e-9, s, -np.inf)
+        return s
+
+    return _blocked_search(vectors, queries, k, key, column, score).withColumnRenamed("score", "similarity")
 
 
 # --- boxes: two arrays, low and high ----------------------------------------------------------------
@@ -91,13 +139,14 @@ def box_coref(l1: Column, h1: Column, l2: Column, h2: Column) -> Column:
 
 def box_search(vectors: DataFrame, queries: DataFrame, k: int, radius: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, neighbour_id, score, rank): the k vectors whose boxes overlap most with that of each query, itself
-    apart; a box that does not overlap never comes out. Queries are counted and broadcast as in `search`."""
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; box_search takes blocks of at most {MAX_QUERIES}")
-    q = queries.select(F.col(key).alias("query_id"), F.col(column).alias("qv"))
-    v = vectors.select(F.col(key).alias("neighbour_id"), F.col(column).alias("v"))
-    j = v.join(F.broadcast(q), F.col("query_id") != F.col("neighbour_id"))
-    j = j.select("query_id", "neighbour_id", box_coref(*box_around(F.col("v"), radius), *box_around(F.col("qv"), radius)).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "neighbour_id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    apart; a box that does not overlap never comes out. By blocks, as `search`."""
+
+    def score(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        # Boxes of one radius: in each dimension they share 2 radius - |difference| of 2 radius, so both conditionals are alike.
+        out = np.empty((len(q), len(v)))
+        for i, x in enumerate(q):
+            share = np.maximum(0.0, 2 * radius - np.abs(v - x)) / (2 * radius) if radius > 0 else np.zeros(v.shape)
+            out[i] = share.prod(axis=1)
+        return np.where(out > 0, out, -np.inf)
+
+    return _blocked_search(vectors, queries, k, key, column, score)

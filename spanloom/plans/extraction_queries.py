@@ -2,13 +2,46 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
 from ..operators import extractors as X
+from ..operators import heuristics as H
 from ..queries import query
 from ..session import read_table as t
 from ..session import read_texts
 
 
-@query("heuristic_entities")
+def _heuristic_sql() -> str:
+    """The same by windows over tokens: runs are the islands of tied tokens from the first that may begin one."""
+    sp, mark = SPACE, r"[^\p{L}\p{N}]"
+    low, tail = "lower(word)", lambda c: f"regexp_replace({c}, '{mark}+$', '')"
+    names = lambda ws: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + ")"
+    bare = f"regexp_replace({tail(low)}, '^{mark}+', '')"
+    rank = f"""least(CASE n WHEN 1 THEN 15 WHEN 2 THEN 11 ELSE 13 END, CASE WHEN n = 1 AND {tail('w1')} IN {names(H.PRONOUNS)} THEN 1 WHEN n = 1 AND {tail('w1')} IN {names(H.OFFICES)} THEN 2 ELSE 15 END,
+        CASE WHEN n = 1 AND k = 1 THEN 14 ELSE 15 END, CASE WHEN {tail('wl')} IN {names(H.COMPANY_ENDINGS)} THEN 3 ELSE 15 END,
+        CASE WHEN {tail('w1')} IN {names(H.COMPANIES)} OR joined IN {names(H.COMPANIES)} THEN 4 WHEN {tail('w1')} IN {names(H.PLACES)} OR joined IN {names(H.PLACES)} THEN 5 WHEN {tail('w1')} IN {names(H.GIVEN_NAMES)} OR joined IN {names(H.GIVEN_NAMES)} THEN 6 ELSE 15 END,
+        CASE WHEN rtrim(before, '.') IN {names(H.TITLES)} THEN 7 ELSE 15 END, CASE WHEN before IN {names(H.PLACE_WORDS)} THEN 9 ELSE 15 END, CASE WHEN n >= 2 AND rtrim(w1, '.') IN {names(H.TITLES)} THEN 8 ELSE 15 END,
+        CASE WHEN n = 2 AND w1 IN {names(H.PLACE_PREFIXES)} THEN 10 ELSE 15 END, CASE WHEN n >= 3 AND w2 = 'of' THEN 12 ELSE 15 END)"""
+    cjk = "|".join(sorted(H.COMPANIES_CJK + H.PLACES_CJK, key=lambda w: (-len(w), w)))
+    rows = " ".join(f"WHEN {r} THEN {{'rule': '{name}', 'label': '{label}', 'confidence': {sure}}}" for r, name, label, sure in H.EVIDENCE)
+    return f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^{sp}]+') AS w, regexp_split_to_array(text, '[^{sp}]+') AS g FROM documents WHERE text IS NOT NULL),
+        u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(g[1:len(w)]) AS gap FROM d),
+        s AS MATERIALIZED (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS pos, length(regexp_extract(word, '^{mark}*')) AS lead, regexp_matches(word, '^{mark}*\\p{{Lu}}') AS up, {low} AS low, {bare} AS bare FROM u),
+        f AS (SELECT *, up AND bare NOT IN {names(H.SENTENCE_STARTERS)} AS begins, i > 1 AND (up OR (low IN ('of', 'the') AND coalesce(lead(up) OVER o, false))) AND (right(lag(word) OVER o, 1) NOT IN (')', ']', '}}', '.', '!', '?') OR low IN {names(H.COMPANY_ENDINGS)} OR bare IN {names(H.COMPANY_ENDINGS)}) AS tied FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT *, sum((NOT tied)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chain FROM f),
+        r AS (SELECT doc_id, min(i) FILTER (begins) AS k, max(i) AS last FROM c GROUP BY doc_id, chain HAVING count(*) FILTER (begins) > 0),
+        x AS (SELECT r.doc_id, CASE WHEN rtrim(p.low, '.') IN {names(H.TITLES)} THEN r.k - 1 ELSE r.k END AS k, r.last FROM r LEFT JOIN s p ON p.doc_id = r.doc_id AND p.i = r.k - 1),
+        y AS MATERIALIZED (SELECT x.doc_id, x.k, b.low AS before, (a.pos + a.lead)::BIGINT AS start_char, {tail('substring(d.text, (a.pos + a.lead + 1)::BIGINT, (z.pos + length(z.word) - a.pos - a.lead)::BIGINT)')} AS surface
+            FROM x JOIN s a ON a.doc_id = x.doc_id AND a.i = x.k JOIN s z ON z.doc_id = x.doc_id AND z.i = x.last JOIN d ON d.doc_id = x.doc_id LEFT JOIN s b ON b.doc_id = x.doc_id AND b.i = x.k - 1),
+        q AS (SELECT *, list_transform(regexp_extract_all(surface, '[^{sp}]+'), lambda v: lower(v)) AS ws FROM y WHERE surface <> ''),
+        e AS MATERIALIZED (SELECT *, len(ws) AS n, ws[1] AS w1, ws[2] AS w2, ws[-1] AS wl, array_to_string(ws, ' ') AS joined FROM q), m AS MATERIALIZED (SELECT *, {rank} AS rank FROM e), v AS (SELECT *, CASE rank {rows} END AS z FROM m),
+        h AS (SELECT doc_id, regexp_extract_all(text, '{cjk}') AS w, regexp_split_to_array(text, '{cjk}') AS g FROM documents WHERE text IS NOT NULL),
+        j AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(g[1:len(w)]) AS gap FROM h),
+        l AS (SELECT doc_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word))::BIGINT AS pos FROM j)
+        SELECT doc_id, start_char, start_char + length(surface) AS end_char, surface, z.label AS label, z.rule AS rule, z.confidence::DOUBLE AS confidence FROM v WHERE z.label <> '' AND z.confidence >= {H.THRESHOLD}
+        UNION ALL SELECT doc_id, pos, pos + length(word), word, CASE WHEN word IN {names(H.COMPANIES_CJK)} THEN 'ORG' ELSE 'LOC' END, 'listed', 0.9 FROM l"""
+
+
+@query("heuristic_entities", _heuristic_sql())
 def heuristic_entities(spark, d):
     return X.heuristic_entities(read_texts(spark, d))
 

@@ -51,7 +51,7 @@ def modularity(spark, d):
 
 @query("communities")
 def communities(spark, d):
-    return G.spread_communities(_edges(spark, d))
+    return G.local_moving(_edges(spark, d))
 
 
 @query("cypher_export", f"WITH n AS (SELECT {_NODE} AS node, arg_min(text, pred_id) AS name, count(*) AS mentions FROM predictions WHERE text IS NOT NULL AND label IS NOT NULL GROUP BY 1) SELECT 'CREATE (n_' || regexp_replace(node, '[^A-Za-z0-9_]', '_', 'g') || ':Entity {{name: ''' || replace(replace(name, '\\', '\\\\'), '''', '\\''') || ''', mentions: ' || mentions || '}})' AS line FROM n".replace("{{", "{").replace("}}", "}"))
@@ -86,15 +86,6 @@ def jaccard_pairs(spark, d):
     return R.jaccard_pairs(_names(spark, d), 0.5, block="entity_type").select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("jaccard_pairs_part_names", f"WITH g AS (SELECT lower(p_name) AS name, min(p_partkey) AS id, count(*) AS copies FROM part GROUP BY 1), w AS (SELECT id, copies, {_WORDS.format(c='name')} AS w FROM g) SELECT a.id AS left_id, b.id AS right_id, a.copies * b.copies AS links FROM w a JOIN w b ON a.id < b.id AND list_has_any(a.w, b.w) WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE >= 0.8")
-def jaccard_pairs_part_names(spark, d):
-    """Pairs between the representatives of equal names, with the number of links that they stand for."""
-    g = t(spark, d, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("copies"))
-    n = g.select("id", "copies")
-    j = R.jaccard_pairs(g, 0.8).join(n.withColumnsRenamed({"id": "left", "copies": "a"}), "left").join(n.withColumnsRenamed({"id": "right", "copies": "b"}), "right")
-    return j.select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), (F.col("a") * F.col("b")).alias("links"))
-
-
 @query(
     "minhash_candidates",
     f"""WITH g AS (SELECT id, list_distinct(CASE WHEN length(name) < 3 THEN [lower(name)] ELSE list_transform(range(1, length(name) - 1), lambda i: substring(lower(name), i, 3)) END) AS g FROM {_NAMES}),
@@ -113,7 +104,7 @@ def minhash_candidates(spark, d):
 )
 def connected_identities(spark, d):
     n = _names(spark, d)
-    return R.identities(n, R.jaccard_pairs(n, 0.7, block="entity_type")).select("identity", "n_mentions")
+    return R.identities(n, R.jaccard_pairs(n, 0.7, block="entity_type"), "entity_type").select("identity", "n_mentions")
 
 
 _MENTIONS = f"m AS (SELECT coalesce({LABEL}, '') AS label, lower(text) AS text, min(pred_id) AS id, count(*) AS copies FROM predictions WHERE text IS NOT NULL GROUP BY 1, 2)"
@@ -138,7 +129,7 @@ def _links(pairs, mentions):
 def mention_jaccard_pairs(spark, d):
     """Pairs between representatives (the least pred_id) of equal mentions, with the number of links that they stand for."""
     m = _mentions(spark, d)
-    return _links(R.jaccard_pairs(m, 0.5, block="label"), m).withColumn("similarity", F.round("similarity", 6))
+    return _links(R.jaccard_pairs(m, 0.5, block="label").drop("links"), m).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(

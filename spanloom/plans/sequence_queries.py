@@ -81,13 +81,13 @@ def chunked_extraction(spark, d):
 @query("stream_tumbling_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling_counts(spark, d):
     s = W.tumbling_counts(W.read_stream(spark, f"{d}/events.parquet"))
-    return W.run_to_end(s, "tumbling", "complete").withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
+    return W.run_to_end(s, "tumbling", ["start", "event_type"]).withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
 
 
 @query("stream_sliding_counts", "WITH x AS (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) SELECT start, count(*) AS n FROM x GROUP BY start")
 def stream_sliding_counts(spark, d):
     s = W.sliding_counts(W.read_stream(spark, f"{d}/events.parquet"))
-    return W.run_to_end(s, "sliding", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return W.run_to_end(s, "sliding", ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
@@ -98,7 +98,7 @@ def session_windows(spark, d):
 @query("stream_running_stats", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def stream_running_stats(spark, d):
     s = W.running_stats(W.read_stream(spark, f"{d}/events.parquet"))
-    out = W.run_to_end(s, "running", "update")
+    out = W.run_to_end(s, "running", ["event_type"])
     return out.select("event_type", "n", F.round("mean", 6).alias("mean"))
 
 

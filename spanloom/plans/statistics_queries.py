@@ -160,7 +160,7 @@ def cosine_topk(spark, d):
 def binary_hash_topk(spark, d):
     e = t(spark, d, "embeddings")
     n = len(e.first()["embedding"])
-    return V.search(e, e.where("vec_id % 20 = 0"), 5, max_hamming=int(n * 0.4), dimensions=n).select("query_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
+    return V.search(e, e.where("vec_id % 20 = 0"), 5, max_hamming=int(n * 0.4)).select("query_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("box_overlap", "WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_transform(range(1, len(a.embedding) + 1), lambda i: greatest(0, 4 - abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)) / 4) AS s FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT left_id, right_id, round(list_product(s), 6) AS score FROM p")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..queries import query
 from ..session import read_table as t
+from ..session import read_texts
 
 _S, _B = X.SPACE, X.BLANK
 
@@ -22,7 +23,7 @@ def _clean(c: str) -> str:
 
 @query("clean_text", f"SELECT doc_id, {_clean('text')} AS cleaned FROM documents WHERE text IS NOT NULL")
 def clean_text(spark, d):
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.clean_whitespace(F.col("text")).alias("cleaned"))
+    return read_texts(spark, d).where("text IS NOT NULL").select("doc_id", X.clean_whitespace(F.col("text")).alias("cleaned"))
 
 
 @query("strip_zero_width", "SELECT doc_id, length(regexp_replace(text, '[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]', '', 'g')) AS n FROM documents WHERE text IS NOT NULL")
@@ -37,7 +38,7 @@ _CASE = "CASE WHEN " + _TOP + " = 0 THEN 'en' " + " ".join(f"WHEN n_{c} = {_TOP}
 
 @query("detect_language", f"WITH n AS (SELECT doc_id, {_COUNTS} FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_CASE} AS code FROM n")
 def detect_language(spark, d):
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.language_by_script(F.col("text")).alias("code"))
+    return read_texts(spark, d).where("text IS NOT NULL").select("doc_id", X.language_by_script(F.col("text")).alias("code"))
 
 
 @query("prepare_metadata", f"SELECT doc_id, octet_length(encode(text)) AS original_length, octet_length(encode({_clean('text')})) AS processed_length FROM documents WHERE text IS NOT NULL")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "spanloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,21 +41,28 @@ def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: s
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: `spark.checkpoint.dir` of the session.
+    """The shared folder for cut lineage: `spark.checkpoint.dir` of the session, or the checkpoint folder set on its context.
 
-    Only where the session names none (single-machine tests) a local temporary folder is set, once."""
+    Only on a single machine (master `local` or `local[n]`) may both be unset: a temporary folder is made once and removed
+    at exit. On a cluster that would be another disk for every executor, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spanloom.scratch.dir", None)
+        set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = set_on_context.get() if set_on_context.isDefined() else spark.conf.get("spanloom.scratch.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        folder = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spanloom.scratch.dir", root)
     return root
 
 
 class Scratch:
     """Tables written to the shared folder to cut lineage. They survive the loss of executors,
-    and superseded ones are removed with `drop`."""
+    and superseded ones are removed with `drop` (all but the one that a lazy result reads)."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
@@ -65,6 +75,12 @@ class Scratch:
         (df.coalesce(files) if files else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def write_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, str, int]:
+        """As `write`, with the number of rows that meet a condition, counted while they are written."""
+        seen = Observation()
+        table, path = self.write(df.observe(seen, F.count_if(condition).alias("n")))
+        return table, path, int(seen.get["n"] or 0)
+
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_root
 
@@ -27,16 +28,29 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> Dat
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def run_to_end(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """Everything available now, through a file sink (append) or the last complete result, as a DataFrame."""
+def run_to_end(stream: DataFrame, tag: str, keys: list[str] | None = None) -> DataFrame:
+    """Everything available now, as a DataFrame.
+
+    Without keys the stream appends to a file sink. With keys it runs in update mode: every micro-batch writes the rows that
+    changed to a folder of its own (so a batch that is repeated after a failure replaces itself, and nothing is rewritten),
+    and the result holds the last row of every key. A source without rows gives no rows."""
     spark = stream.sparkSession
     root = f"{scratch_root(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
+    spark.createDataFrame([], stream.schema).write.parquet(f"{root}/out")
+    if keys is None:
         writer.format("parquet").option("path", f"{root}/out").outputMode("append").start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).outputMode(mode).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+        return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/part={number}")
+
+    writer.foreachBatch(keep).outputMode("update").start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__last"))
+    return last.select(*[F.col(c) if c in keys else F.col("__last")[c].alias(c) for c in stream.columns])
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
