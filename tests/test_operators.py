@@ -88,9 +88,18 @@ def test_jaccard_pairs_against_brute_force(spark):
     rows = [(i, " ".join(random.sample("a b c d e f g h".split(), random.randint(1, 5)))) for i in range(120)] + [(900, ""), (901, None)]
     df = spark.createDataFrame(rows, "id bigint, name string")
     sets = {i: set(n.split()) for i, n in rows if n}
+    text = {i: n for i, n in rows if n}
+    of = {r.member: r.representative for r in R.equal_classes(df).collect()}
+    assert all(of[i] == min(j for j in text if text[j] == text[i]) for i in text)
     for t in (0.3, 0.5, 0.8, 1.0):
-        got = {(r.left, r.right) for r in R.jaccard_pairs(df, t).collect()}
-        assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        got = {(r.left, r.right): r.links for r in R.jaccard_pairs(df, t).collect()}
+        want: dict = {}
+        for a in sets:
+            for b in sets:
+                if a < b and text[a] != text[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t:
+                    k = tuple(sorted((of[a], of[b])))
+                    want[k] = want.get(k, 0) + 1
+        assert got == want
 
 
 def test_chunks_cover(spark):
