@@ -7,10 +7,10 @@ rank; the evidence of least rank that a run shows names its label and confidence
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterable
 
 from ..functions.text import SPACE
+from .claims import Claims
 
 Found = tuple[int, int, str, str, str, float]
 
@@ -191,27 +191,10 @@ def capitalised_label(surface: str) -> str:
     return "CONCEPT" if any(c in low for c in RULE_CONCEPTS) else "UNKNOWN"
 
 
-class _Claims:
-    """Stretches of a text, apart and in order."""
-
-    def __init__(self) -> None:
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-
-    def free(self, start: int, end: int) -> bool:
-        k = bisect_left(self.starts, end)  # the stretches before k begin before `end`
-        return k == 0 or self.ends[k - 1] <= start
-
-    def add(self, start: int, end: int) -> None:
-        k = bisect_left(self.starts, start)
-        self.starts.insert(k, start)
-        self.ends.insert(k, end)
-
-
 def rule_spans(text: str, common: Iterable[str] = _COMMON, threshold: float = 0.3) -> list[Found]:
     """Patterns in order; a match that touches a claimed stretch is dropped, a leading article does not count, and a person
     or a capitalised phrase that is a common word or opens like a phrase of prose is none."""
-    common, claims, out = set(common), _Claims(), []
+    common, claims, out = set(common), Claims(), []
     for pattern, name, label, sure in _RULES:
         if sure < threshold:
             continue
