@@ -22,6 +22,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -154,7 +155,8 @@ def _stable(text: str, start: int, end: int) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def _anchors(word: str) -> set[str]:
+@lru_cache(100_000)
+def _anchors(word: str) -> frozenset[str]:
     """Scripts of the letters that have no look-alike elsewhere."""
     out = set()
     for ch in word:
@@ -167,23 +169,24 @@ def _anchors(word: str) -> set[str]:
                 out.add("G")
         elif 0x400 <= c <= 0x4FF and ch not in CYRILLIC_TO_LATIN:
             out.add("C")
-    return out
+    return frozenset(out)
 
 
-def _scripts(word: str) -> set[str]:
-    return {"L" if ord(c) < 0x250 else "G" if ord(c) < 0x400 else "C" for c in word if c.isalpha()}
+@lru_cache(100_000)
+def _scripts(word: str) -> frozenset[str]:
+    return frozenset("L" if ord(c) < 0x250 else "G" if ord(c) < 0x400 else "C" for c in word if c.isalpha())
 
 
 def _own_script(word: str, token: str, text: str, start: int, end: int) -> str | None:
     found = _anchors(word)
     if len(found) == 1:
-        return found.pop()
+        return next(iter(found))
     if found:
         return None
     scripts = _scripts(word)
     found = _anchors(token)
     if len(found) == 1:
-        return found.pop()
+        return next(iter(found))
     if len(found) > 1:
         return None
     # No letter of the token settles it: the words before and behind must agree.
@@ -205,7 +208,7 @@ def _near(text: str, at: int, step: int) -> str | None:
     for w in reversed(words) if step < 0 else words:
         a = _anchors(w)
         if len(a) == 1:
-            return a.pop()
+            return next(iter(a))
         if a:
             return None
     return None
@@ -248,6 +251,8 @@ def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
 
 def canonical_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits that make the text canonical: (start, end, replacement) over code points, in order, apart."""
+    if text.isascii():
+        return []
     first = []
     if _UNSTABLE.search(text):
         for m in _ZONE.finditer(text):
@@ -258,8 +263,6 @@ def canonical_edits(text: str) -> list[tuple[int, int, str]]:
                 while start < end and new and old[0] == new[0] and (len(old) < 2 or not unicodedata.combining(old[1])):
                     start, old, new = start + 1, old[1:], new[1:]
                 first.append((start, end, new))
-    if text.isascii():
-        return first
     # Letters of another script are judged in words that are already whole.
     middle = apply_edits(text, first)
     second = _edits_of_look_alikes(middle)
