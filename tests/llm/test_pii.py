@@ -57,3 +57,74 @@ def test_rows(spark):
 def test_spelled_numbers_of_any_digit_words():
     for text in ("oh one two three four five six one two", "one two three four five six one", "double two, three four five six one two three"):
         assert [(k, a, b) for k, a, b in pii.occurrences(f"Ring {text} now.", PARTS)] == [("phone", 5, 5 + len(text))]
+
+
+DISGUISED = [
+    ("Mail anna dot smith at example dot com now.", [("email", "anna dot smith at example dot com")]),
+    ("Mail a n n a @ example.com now.", [("email", "a n n a @ example.com")]),
+    ("Mail a n n a @ e x a m p l e . c o m today.", [("email", "a n n a @ e x a m p l e . c o m")]),
+    ("office (at) relay [dot] invalid, x @ y.org; meet us at noon", [("email", "office (at) relay [dot] invalid"), ("email", "x @ y.org")]),
+    ("Escriba a marta arroba correo punto example ya.", [("email", "marta arroba correo punto example")]),
+    ("Call 555 one two three 4567 now", [("phone", "555 one two three 4567")]),
+    ("Call nine two one 555 0188.", [("phone", "nine two one 555 0188")]),
+    ("Rufen Sie null eins sechs drei zwei neun sechs null an.", [("phone", "null eins sechs drei zwei neun sechs null")]),
+    ("Her SSN is nine two three dash two four dash six eight three one.", [("identity", "nine two three dash two four dash six eight three one")]),
+    ("Ring plus four four one six three two nine six zero one six nine!", [("phone", "plus four four one six three two nine six zero one six nine")]),
+    ("Ring 5 5 5 1 2 3 4 5 6 7 today", [("phone", "5 5 5 1 2 3 4 5 6 7")]),
+    ("電話は〇三一二三四五六七八です", [("phone", "〇三一二三四五六七八")]),
+    ("Телефон: восемь девять ноль один два три четыре пять шесть семь.", [("phone", "восемь девять ноль один два три четыре пять шесть семь")]),
+    ("one two three, four five", []),
+    ("There was one man, two women and three dogs at the point of no return.", []),
+    ("Look at the dot matrix. Meet me at the point of it, at noon punto.", []),
+    ("Ｃａｌｌ ５５５ one two three 4567 now", [("phone", "５５５ one two three 4567")]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), DISGUISED)
+def test_disguises_are_read_and_mapped_back(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.occurrences(text, PARTS)] == want
+
+
+def test_names_that_no_catalogue_holds():
+    few = pii.NameParts(["Ada Byron", "Tom Reed"])
+    found = lambda t: [t[a:b] for k, a, b in pii.occurrences(t, few) if k == "name"]
+    assert found("Yesterday Priya Raghunathan wrote to us.") == ["Priya Raghunathan"]
+    assert found("Maria Gonzalez met Tom near the river.") == ["Maria Gonzalez", "Tom"]
+    assert found("We asked Dr. Yusuf Okonkwo about it.") == ["Yusuf Okonkwo"]
+    assert found("The Harbour Authority said no. Water Company met Board Members.") == []
+
+
+def test_map_of_edits_against_brute_force():
+    import random
+
+    from spanloom.llm.deobfuscate import Offsets, apply_edits, moved
+
+    random.seed(4)
+    for _ in range(200):
+        text = "".join(random.choice("abc ") for _ in range(30))
+        edits, at = [], 0
+        while at < 27:
+            s = at + random.randint(0, 4)
+            e = s + random.randint(0, 3)
+            if e > 30:
+                break
+            edits.append((s, e, "xyz"[: random.randint(0, 3)]))
+            at = e + 1
+        back, new = Offsets(edits), apply_edits(text, edits)
+        kept = [k for k in range(30) if not any(s <= k < e for s, e, _ in edits)]
+        for k in kept:  # characters that no edit touches lie where they lay
+            p = k + sum(len(r) - (e - s) for s, e, r in edits if e <= k)
+            assert new[p] == text[k] and back.span(p, p + 1) == (k, k + 1)
+            assert moved(edits, [(k, k)])[0][0] in (p, p - sum(len(r) for s, e, r in edits if s == e == k))
+
+
+def test_time_is_linear():
+    import time
+
+    took = []
+    line = "Ruth Skupheizham wrote 312-555-0174, a (at) b.org, one two three four five six one; 24 Marsh End. "
+    for n in (300, 1200):
+        began = time.time()
+        assert len(pii.occurrences(line * n, PARTS)) >= 4 * n
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0]
