@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,10 +39,7 @@ INVISIBLE = "AD 61C 180E 200B 200E-200F 202A-202E 2060-2064 2066-206F FEFF"
 JOINERS = "200C-200D"
 SPACES = "A0 1680 2000-200A 202F 205F 3000"
 HYPHENS = "2010-2011"
-COMPOSING = "300-36F 653-655 1AB0-1AFF 1DC0-1DFF 20D0-20FF 3099-309A"
-SINGLETONS = "374 37E 387 1F71-1FFF 2126 212A-212B 2329-232A F900-FAFF 2F800-2FA1F"
-COMPATIBLE = "FB00-FB06 FB50-FDFF FE70-FEFC FF01-FFEE 1100-11FF"
-UNSTABLE = " ".join([INVISIBLE, JOINERS, SPACES, HYPHENS, COMPOSING, SINGLETONS, COMPATIBLE])
+COMPATIBLE = "FB00-FB06 FB50-FDFF FE70-FEFC FF01-FFEE"
 LATIN = "41-5A 61-7A C0-D6 D8-F6 F8-24F"
 GREEK = "370-373 375-37D 37F-386 388-3FF"
 CYRILLIC = "400-4FF"
@@ -51,6 +48,38 @@ CJK = "2E80-2FDF 3001-30FF 3400-4DBF 4E00-9FFF F900-FAFF 20000-2FA1F"
 ZWNJ = chr(0x200C)
 
 
+def _spec(points: set[int]) -> str:
+    """Code points as ranges."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return " ".join(f"{a:X}" if a == b else f"{a:X}-{b:X}" for a, b in out)
+
+
+def _quick_check_fails() -> set[int]:
+    """Code points whose composition quick check is not Yes, by the Unicode database: those that are not composed by
+    themselves, those that a letter before them may take in (the second of a canonical pair, vowels and finals of Hangul), and
+    marks, whose order may be another."""
+    out: set[int] = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for c in (*range(0x300, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)):
+        ch = chr(c)
+        if unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch):
+            out.add(c)
+        pair = unicodedata.decomposition(ch)
+        if pair and pair[0] != "<" and " " in pair:
+            out.add(int(pair.split()[1], 16))
+    return out
+
+
+# Beyond the basic plane Python's regular expressions try range after range, too: there two wide ones stand for all.
+UNSTABLE = " ".join([INVISIBLE, JOINERS, SPACES, HYPHENS, COMPATIBLE, _spec({c for c in _quick_check_fails() if c < 0x10000}), "101FD-1E94A 2F800-2FA1F"])
+# For the JVM, whose regular expressions try range after range: few and wide ones that hold all of UNSTABLE (a test says so).
+SUSPECT = "A0-AD 300-387 483-487 591-5C7 610-61C 64B-670 6D6-6ED 711-10FF 1161-11C2 135D-1DFF 1F71-2011 202A-2126 212A-212B 2329-232A 2ADC-2DFF 3000 302A-302F 3099-309A A66F-ABED F900-FFEE 101FD-1E94A 2F800-2FA1F"
+
+
 def cls(spec: str) -> str:
     """The code points as the inside of a character class of Python's re."""
     return "".join(f"\\U{a:08x}" + (f"-\\U{b:08x}" if b > a else "") for a, b in _ranges(spec))
@@ -101,7 +130,7 @@ _ZONE = re.compile(f"[^\\s{cls(UNSTABLE)}]?[{cls(UNSTABLE)}]+")
 def quick_check(col: Column) -> Column:
     """True where a text may hold something to normalise. Runs inside the JVM; linear in the text."""
     return F.coalesce(
-        col.rlike(java_cls(UNSTABLE))
+        col.rlike(java_cls(SUSPECT))
         | (col.rlike(java_cls(f"{GREEK} {CYRILLIC} {FURTHER}")) & col.rlike(java_cls(LATIN + " 405 408 455 458")))
         | col.rlike("\\x{6cc}" + java_cls(ARABIC)),
         F.lit(False),
@@ -177,7 +206,34 @@ def _scripts(word: str) -> frozenset[str]:
     return frozenset("L" if ord(c) < 0x250 else "G" if ord(c) < 0x400 else "C" for c in word if c.isalpha())
 
 
-def _own_script(word: str, token: str, text: str, start: int, end: int) -> str | None:
+class _Neighbours:
+    """The script of the nearest word on either side of a place that tells its script; read once a text, when first asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, False
+
+    def _read(self) -> None:
+        if not self.known:
+            self.known, self.starts, self.ends, self.scripts = True, [], [], []
+            for m in _LETTERS.finditer(self.text):
+                a = _anchors(m.group())
+                if a:
+                    self.starts.append(m.start())
+                    self.ends.append(m.end())
+                    self.scripts.append(next(iter(a)) if len(a) == 1 else None)
+
+    def before(self, at: int) -> str | None:
+        self._read()
+        k = bisect_right(self.ends, at) - 1
+        return self.scripts[k] if k >= 0 else None
+
+    def after(self, at: int) -> str | None:
+        self._read()
+        k = bisect_left(self.starts, at)
+        return self.scripts[k] if k < len(self.scripts) else None
+
+
+def _own_script(word: str, token: str, near: _Neighbours, start: int, end: int) -> str | None:
     found = _anchors(word)
     if len(found) == 1:
         return next(iter(found))
@@ -190,10 +246,10 @@ def _own_script(word: str, token: str, text: str, start: int, end: int) -> str |
     if len(found) > 1:
         return None
     # No letter of the token settles it: the words before and behind must agree.
-    near = [s for s in (_near(text, start, -1), _near(text, end, 1)) if s]
-    if near and len(set(near)) == 1 and (len(scripts) > 1 or len(near) == 2 and len(word) > 1 or len(word) > 2 or word.isupper()):
-        if len(scripts) > 1 or near[0] == "L":
-            return near[0]
+    around = [s for s in (near.before(start), near.after(end)) if s]
+    if around and len(set(around)) == 1 and (len(scripts) > 1 or len(around) == 2 and len(word) > 1 or len(word) > 2 or word.isupper()):
+        if len(scripts) > 1 or around[0] == "L":
+            return around[0]
     if any(c in RARE_CYRILLIC for c in word):
         return "L"
     if len(scripts) > 1:  # only look-alikes, of two scripts
@@ -202,24 +258,12 @@ def _own_script(word: str, token: str, text: str, start: int, end: int) -> str |
     return None
 
 
-def _near(text: str, at: int, step: int) -> str | None:
-    piece = text[max(0, at - 60) : at] if step < 0 else text[at : at + 60]
-    words = _LETTERS.findall(piece)
-    for w in reversed(words) if step < 0 else words:
-        a = _anchors(w)
-        if len(a) == 1:
-            return next(iter(a))
-        if a:
-            return None
-    return None
-
-
 def _persian(word: str) -> bool:
     return ZWNJ in word or any(c in PERSIAN_ONLY for c in word)
 
 
 def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
-    out = []
+    out, near = [], _Neighbours(text)
     if _TWO_SCRIPTS.search(text) and (_LATIN.search(text) or any(c in RARE_CYRILLIC for c in text)):
         for m in _TOKEN.finditer(text):
             token = m.group()
@@ -232,7 +276,7 @@ def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
                     continue
                 if len(_scripts(word)) < 2 and (_anchors(word) or len(word) < 2 and not _LATIN.search(token) and not (word.isupper() and "." in token)):
                     continue
-                own = _own_script(word, token, text, m.start(), m.end())
+                own = _own_script(word, token, near, m.start(), m.end())
                 if own:
                     fold = FOLD_TO[own]
                     out += [(m.start() + w.start() + k, m.start() + w.start() + k + 1, fold[c]) for k, c in enumerate(word) if c in fold]
@@ -243,8 +287,7 @@ def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
             w = m.group()
             if yeh not in w[:-1]:
                 continue
-            around = [x.group() for x in words[max(0, k - 1) : k + 2] if abs(x.start() - m.start()) < 60]
-            if not any(map(_persian, around)):
+            if not any(_persian(x.group()) for x in words[max(0, k - 1) : k + 2]):
                 out += [(m.start() + i, m.start() + i + 1, chr(0x64A)) for i, c in enumerate(w[:-1]) if c == yeh and _ARABIC.match(w[i + 1])]
     return out
 
@@ -283,31 +326,26 @@ def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
 
 def _compose(first: list[tuple[int, int, str]], second: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """One list of edits over the source for edits of the source and edits (single letters) of their result."""
-    spans, shift = [], 0  # where each first edit lies in the middle text
+    spans, shifts = [], [0]  # where each first edit lies in the middle text, and how far all before it move what follows
     for s, e, r in first:
-        spans.append((s + shift, s + shift + len(r)))
-        shift += len(r) - (e - s)
+        spans.append((s + shifts[-1], s + shifts[-1] + len(r)))
+        shifts.append(shifts[-1] + len(r) - (e - s))
     starts = [a for a, _ in spans]
     changed: dict[int, list[str]] = {}
     out = []
     for s, _, r in second:
-        k = bisect_right(starts, s) - 1
-        while k >= 0 and spans[k][0] == spans[k][1]:
+        n = bisect_right(starts, s)
+        k = n - 1
+        while k >= 0 and spans[k][0] == spans[k][1] == s:
             k -= 1
         if k >= 0 and spans[k][0] <= s < spans[k][1]:
             changed.setdefault(k, list(first[k][2]))[s - spans[k][0]] = r
         else:
-            k = bisect_right(starts, s) - 1
-            back = s - sum(len(x[2]) - (x[1] - x[0]) for x in first[: k + 1]) if k < 64 else s - _shift_before(first, k + 1)
-            out.append((back, back + 1, r))
+            out.append((s - shifts[n], s - shifts[n] + 1, r))
     out += [(s, e, "".join(changed[k]) if k in changed else r) for k, (s, e, r) in enumerate(first)]
     return sorted(out)
 
 
-def _shift_before(first: list[tuple[int, int, str]], n: int) -> int:
-    return sum(len(r) - (e - s) for s, e, r in first[:n])
-
-
 def canonicalize(text: str | None) -> str | None:
     return text if text is None else apply_edits(text, canonical_edits(text))
 
@@ -326,7 +364,8 @@ def to_canonical_offset(edits: list[tuple[int, int, str]], offset: int, end: boo
     return offset + shift
 
 
-EDIT = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("r", T.StringType())])
+# s, e, r: an edit; d: how far all edits before it move what follows.
+EDIT = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("r", T.StringType()), T.StructField("d", T.IntegerType())])
 
 
 @F.pandas_udf(T.StringType())
@@ -334,16 +373,24 @@ def canonical_udf(texts: pd.Series) -> pd.Series:
     return texts.map(canonicalize)
 
 
+def _with_shifts(text: str | None) -> list[tuple[int, int, str, int]]:
+    out, d = [], 0
+    for s, e, r in canonical_edits(text) if text else []:
+        out.append((s, e, r, d))
+        d += len(r) - (e - s)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(EDIT))
 def edits_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else canonical_edits(t))
+    return texts.map(_with_shifts)
 
 
 def canonical_column(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Adds `to`, the canonical form of `column`. Only rows that fail the quick check reach Python."""
+    """Adds `to`, the canonical form of `column`. Only texts that fail the quick check reach Python; the others are sent as
+    nulls, so the input is read once."""
     suspect = quick_check(F.col(column))
-    sure = df.where(~suspect).withColumn(to, F.col(column))
-    return sure.unionByName(df.where(suspect).withColumn(to, canonical_udf(F.col(column))))
+    return df.withColumn(to, F.when(suspect, canonical_udf(F.when(suspect, F.col(column)))).otherwise(F.col(column)))
 
 
 def documents_with_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,21 +412,34 @@ def _splice(text: Column, edits: Column) -> Column:
     return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(edits, -1)["e"] + 1, F.length(text)))
 
 
+def _edits_before(edits: Column, offset: Column) -> Column:
+    """How many edits begin before an offset, by bisection: the steps follow the logarithm of their number."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(edits) + F.lit(1))).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(edits).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        ended, less = at["lo"] >= at["hi"], F.get(edits, middle)["s"] < offset
+        return F.struct(F.when(~ended & less, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(ended | less, at["hi"]).otherwise(middle).alias("hi"))
+
+    return F.aggregate(steps, start, halve, lambda at: at["lo"])
+
+
 def _moved(offset: Column, edits: Column, end: bool) -> Column:
     """`to_canonical_offset` inside the JVM."""
-    before = F.aggregate(F.filter(edits, lambda x: x["e"] <= offset), F.lit(0), lambda acc, x: acc + F.length(x["r"]) - (x["e"] - x["s"]))
-    inside = F.filter(edits, lambda x: (x["s"] < offset) & (x["e"] > offset))
-    moved = F.element_at(inside, 1)["s"] + before + (F.length(F.element_at(inside, 1)["r"]) if end else F.lit(0))
-    return F.when(F.size(inside) > 0, moved).otherwise(offset + before)
+
+    def move(x: Column) -> Column:  # x: the last edit that begins before the offset, or null
+        inside = x["s"] + x["d"] + (F.length(x["r"]) if end else F.lit(0))
+        return F.when(x.isNull(), offset).when(x["e"] > offset, inside).otherwise(offset + x["d"] + F.length(x["r"]) - (x["e"] - x["s"]))
+
+    return F.get(F.transform(F.array(F.get(edits, _edits_before(edits, offset) - 1)), move), F.lit(0))
 
 
 def canonical_documents(documents: DataFrame) -> DataFrame:
     """Every document with its canonical text and the number of spliced segments."""
     suspect = quick_check(F.col("text"))
-    sure = documents.where(~suspect).select("doc_id", F.col("text").alias("canonical_text"), F.lit(0).alias("n_edits"))
-    d = documents.where(suspect).select("doc_id", F.col("text"), edits_udf(F.col("text")).alias("edits"))
-    edited = d.select("doc_id", F.when(F.size("edits") > 0, _splice(F.col("text"), F.col("edits"))).otherwise(F.col("text")).alias("canonical_text"), F.size("edits").alias("n_edits"))
-    return sure.unionByName(edited)
+    d = documents.select("doc_id", "text", edits_udf(F.when(suspect, F.col("text"))).alias("edits"))
+    return d.select("doc_id", F.when(F.size("edits") > 0, _splice(F.col("text"), F.col("edits"))).otherwise(F.col("text")).alias("canonical_text"), F.size("edits").alias("n_edits"))
 
 
 def _with_stretch(predictions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -417,20 +477,10 @@ def entities_to_mend(predictions: DataFrame, documents: DataFrame) -> DataFrame:
     segments = (
         documents.select("doc_id", F.col("text").alias("__text"))
         .where(quick_check(F.col("__text")))
-        .select("doc_id", F.transform(edits_udf(F.col("__text")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("edits"))
+        .select("doc_id", edits_udf(F.col("__text")).alias("edits"))
         .where(F.size("edits") > 0)
     )
     spans = p.where((F.col("start_char") >= 0) & (F.col("end_char") > F.col("start_char"))).select("pred_id", "doc_id", "start_char", "end_char")
-    touched = spans.join(segments, "doc_id").where(F.exists("edits", lambda x: (x["s"] < F.col("end_char")) & (x["e"] > F.col("start_char")))).select("pred_id")
+    last = F.get(F.col("edits"), _edits_before(F.col("edits"), F.col("end_char")) - 1)  # edits lie apart: the last that begins in time decides
+    touched = spans.join(segments, "doc_id").where(last["e"] > F.col("start_char")).select("pred_id")
     return own.unionByName(touched).distinct()
-
-
-def canonical_batches(column: str) -> "callable":
-    """A mapInPandas body that rewrites `column`; for callers that keep their own plan."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[column] = b[column].map(canonicalize)
-            yield b
-
-    return run

@@ -81,3 +81,51 @@ def test_look_alikes_outside_the_common_ranges(spark):
     assert docs.where(c.quick_check(docs["text"])).count() == len(words)
     for kept in ("\u0585\u0580", "Bar-\u0585\u0580", "\u0261\u026av", "\u051d\u0430\u043d"):
         assert c.canonicalize(kept) == kept
+
+
+def test_every_code_point_comes_out_composed():
+    """Whatever a text holds, its canonical form is NFC, and a letter meets its decomposed form; the JVM's wider classes let
+    nothing pass that the quick check of the Unicode database stops."""
+    import unicodedata as u
+
+    points = [p for p in range(0xA0, 0x2FA20) if not 0xD800 <= p < 0xE000]
+    whole = c.canonicalize(" ".join(f"a{chr(p)}b" for p in points))
+    assert u.is_normalized("NFC", whole)
+    for p in points:
+        d = u.normalize("NFD", chr(p))
+        assert d == chr(p) or c.canonicalize(chr(p)) == c.canonicalize(d)
+    wide = [range(a, b + 1) for a, b in c._ranges(c.SUSPECT)]
+    assert all(any(a in r for r in wide) and any(b in r for r in wide) for a, b in c._ranges(c.UNSTABLE))
+    for a, b in (("\u05e9\u05b0\u05bc", "\u05e9\u05bc\u05b0"), ("\u0628\u0651\u064e", "\u0628\u064e\u0651")):
+        assert c.canonicalize(a) == c.canonicalize(b)
+
+
+def test_edits_are_found_in_linear_time():
+    import time
+
+    took = []
+    for n in (3000, 12000):
+        text = "e\u0301 \u041coscow \u00a0" * n
+        began = time.time()
+        c.canonical_edits(text)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0]
+
+
+def test_the_words_that_settle_a_script_may_be_far_away():
+    far = " 123456789" * 12
+    assert c.canonicalize(f"Wren walks{far} \u0421\u041e{far} home again") == f"Wren walks{far} CO{far} home again"
+
+
+def test_moved_offsets_inside_the_jvm(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    random.seed(2)
+    texts = ["".join(random.choice(["a", "e\u0301", "\u200b", "\uff21", "\u00a0", "b "]) for _ in range(random.randint(1, 60))) for _ in range(30)] + ["plain"]
+    rows = [(i, t, o) for i, t in enumerate(texts) for o in range(len(t) + 1)]
+    df = spark.createDataFrame(rows, "i int, t string, o int").withColumn("x", c.edits_udf("t"))
+    for r in df.select("t", "o", c._moved(F.col("o"), F.col("x"), False).alias("a"), c._moved(F.col("o"), F.col("x"), True).alias("b")).collect():
+        edits = c.canonical_edits(r.t)
+        assert (r.a, r.b) == (c.to_canonical_offset(edits, r.o), c.to_canonical_offset(edits, r.o, True))
