@@ -1,6 +1,6 @@
 """Problem 5: names as people type them, linked to the entity of a catalogue that they mean, or to none.
 
-Method: metric-space partitioning (`metric_join`). Each distinct name, in the consistent form of problem 1, is
+Method: metric-space partitioning (`metric_join`), of the words that tell names apart. Each distinct name, in the consistent form of problem 1, is
 taken apart: titles go, short forms are written out, words that many names of the catalogue share (given names,
 "Harbour", "Company") are set aside. What remains are its cores: the surname, the organisation's own word.
 Cores of names and of the catalogue meet in an exact radius join; a pair then stands if the other words agree
@@ -15,7 +15,6 @@ to none. Null and empty names link to none; repeated rows link each.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +31,7 @@ RADIUS = 2
 INITIALS = "===="  # before initials, so that no word is near them
 SHARED = 3  # a word of so many organisations is no core
 MAX_LINKS_BROADCAST = 200_000
-MAX_CATALOGUE = 2_000_000
+MAX_WORDS = 2_000_000  # shared words and given names of the catalogue that a broadcast may hold
 
 # Abbreviations of words in names of organisations.
 ABBREVIATIONS = {
@@ -55,30 +54,24 @@ def initials_of(words: list[str]) -> str:
     return "".join(w[0] for w in words if w not in LINKING_WORDS)
 
 
-class Catalogue:
-    """People and organisations (kb_id, kb_name, entity_type), by core and by initials."""
-
-    def __init__(self, rows: list[tuple[int, str, str]]):
-        shared = Counter(w for _, n, t in rows if t == "ORG" for w in set(words_of(n)))
-        self.shared = {w for w, n in shared.items() if n >= SHARED} | set(ABBREVIATIONS.values()) | LINKING_WORDS
-        self.people: dict[str, list[tuple[int, str]]] = {}
-        self.organisations: dict[str, tuple[int, list[str]]] = {}
-        self.initials: dict[str, list[int]] = {}
-        self.given: set[str] = set()
-        self.names = {k: n for k, n, _ in rows}
-        for k, n, t in rows:
-            w = words_of(n)
-            if t == "PER" and len(w) >= 2:
-                self.people.setdefault(w[-1], []).append((k, " ".join(w[:-1])))
-                self.given.add(w[0])
-            elif t == "ORG" and w:
-                own = [x for x in w if x not in self.shared] or w[:1]
-                self.organisations.setdefault(own[0], (k, [x for x in w if x != own[0] and x not in LINKING_WORDS]))
-                if len(initials_of(w)) >= 2:
-                    self.initials.setdefault(initials_of(w), []).append(k)
-
-    def cores(self) -> list[str]:
-        return sorted({*self.people, *self.organisations, *(INITIALS + x for x in self.initials)})
+class Vocabulary:
+    """The words of a catalogue that are no cores: words that several of its organisations share, and given names."""
+
+    def __init__(self, shared: set[str], given: set[str]):
+        self.shared = shared | set(ABBREVIATIONS.values()) | LINKING_WORDS
+        self.given = given
+
+    def entities(self, kb_id: int, name: str, kind: str) -> list[tuple[str, int, str, str]]:
+        """(core, kb_id, kind, rest): how a catalogue entry is met, by its core and by its initials; rest is the given name,
+        or the further words of an organisation."""
+        w = words_of(name)
+        if kind == "PER":
+            return [(w[-1], kb_id, "PER", " ".join(w[:-1]))] if len(w) >= 2 else []
+        if not w:
+            return []
+        own = [x for x in w if x not in self.shared] or w[:1]
+        out = [(own[0], kb_id, "ORG", " ".join(x for x in w if x != own[0] and x not in LINKING_WORDS))]
+        return out + [(INITIALS + initials_of(w), kb_id, "INITIALS", "")] * (len(initials_of(w)) >= 2)
 
     def cores_of(self, name: str) -> list[str]:
         """What of a typed name may be the core."""
@@ -91,30 +84,21 @@ class Catalogue:
         joined = [f"{a}-{b}" for a, b in zip(others, others[1:]) if "-" not in a + b]  # a double surname without its hyphen
         return list(dict.fromkeys([*others, *joined]))
 
-    def match(self, name: str, core: str, target: str) -> list[tuple[int, int]]:
-        """(kb_id, distance of the rest) of the entities with core `target` that the other words of the name fit."""
-        if core[0] == "=" or target[0] == "=":
-            ids = self.initials.get(target[len(INITIALS) :], []) if core == target else []
-            return [(ids[0], 0)] if len(ids) == 1 else []
-        words = words_of(name)
-        for w in [core] if core in words else core.split("-"):
-            if w in words:
-                words.remove(w)
-        words = [w for w in words if w not in ("the",)]
-        out = []
-        rest = [w for w in words if w not in TITLES]
-        people = self.people.get(target, [])
-        fits = [(k, _given_distance(rest, g)) for k, g in people]
-        fits = [(k, d) for k, d in fits if d is not None]
-        if not rest:
-            fits = fits if len(people) == 1 else []
-        out += fits
-        if target in self.organisations:
-            k, own = self.organisations[target]
-            d = _words_distance([ABBREVIATIONS.get(w, w) for w in words if w not in LINKING_WORDS], own)
-            if d is not None:
-                out.append((k, d))
-        return out
+
+def rest_distance(name: str, core: str, target: str, kind: str, rest: str, alike: int) -> int | None:
+    """How far the words of a name beside its core are from those of an entity with core `target`; None: they are another's.
+    `alike` is how many entities of that kind have the core: initials, and a surname alone, must tell one."""
+    if kind == "INITIALS" or core[0] == "=" or target[0] == "=":
+        return 0 if core == target and kind == "INITIALS" and alike == 1 else None
+    words = words_of(name)
+    for w in [core] if core in words else core.split("-"):
+        if w in words:
+            words.remove(w)
+    words = [w for w in words if w != "the"]
+    if kind == "PER":
+        others = [w for w in words if w not in TITLES]
+        return _given_distance(others, rest) if others or alike == 1 else None
+    return _words_distance([ABBREVIATIONS.get(w, w) for w in words if w not in LINKING_WORDS], rest.split())
 
 
 def _given_distance(rest: list[str], given: str) -> int | None:
@@ -156,42 +140,64 @@ def _words_distance(words: list[str], own: list[str]) -> int | None:
     return distance if distance <= 1 else None
 
 
-def _rows(catalogue: DataFrame) -> list[tuple[int, str, str]]:
-    rows = catalogue.where(F.col("entity_type").isin("PER", "ORG") & F.col("kb_name").isNotNull()).select("kb_id", "kb_name", "entity_type").limit(MAX_CATALOGUE + 1).collect()
-    if len(rows) > MAX_CATALOGUE:
-        raise ValueError(f"the catalogue holds more than {MAX_CATALOGUE} names")
-    return sorted(map(tuple, rows))
+def vocabulary(catalogue: DataFrame) -> Vocabulary:
+    """Words are counted in the cluster; only those that names share come to the driver, and their number is checked."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, kind in zip(b["kb_name"], b["entity_type"]):
+                w = words_of(name)
+                out += [(x, "ORG") for x in set(w)] if kind == "ORG" else [(w[0], "PER")] if len(w) >= 2 else []
+            yield pd.DataFrame(out, columns=["word", "kind"])
+
+    named = catalogue.where(F.col("entity_type").isin("PER", "ORG") & F.col("kb_name").isNotNull()).select("kb_name", "entity_type")
+    words = named.mapInPandas(split, "word string, kind string").groupBy("word", "kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = words.where((F.col("kind") == "PER") | (F.col("n") >= SHARED)).select("word", "kind").limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"the names of the catalogue share more than {MAX_WORDS} words")
+    return Vocabulary({r.word for r in rows if r.kind == "ORG"}, {r.word for r in rows if r.kind == "PER"})
 
 
 def linked_names(names: DataFrame, catalogue: DataFrame, column: str = "name") -> DataFrame:
-    """(name, canonical_name, kb_id): distinct names that mean a person or organisation of the catalogue."""
+    """(name, canonical_name, kb_id): distinct names that mean a person or organisation of the catalogue.
+
+    The catalogue is joined like any table, whatever its size; only the words that many of its names share are broadcast."""
     spark = names.sparkSession
-    shared = spark.sparkContext.broadcast(Catalogue(_rows(catalogue)))
+    shared = spark.sparkContext.broadcast(vocabulary(catalogue))
     distinct = names.select(F.col(column).alias("name")).where(F.col("name").isNotNull() & (F.length("name") > 0)).distinct()
     scratch = Scratch(spark, "names")
 
     def take_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
+        v = shared.value
         for b in batches:
-            out = [(n, x, w) for n, x in zip(b["name"], b["canonical_name"]) for w in c.cores_of(x)]
+            out = [(n, x, w) for n, x in zip(b["name"], b["canonical_name"]) for w in v.cores_of(x)]
             yield pd.DataFrame(out, columns=["name", "canonical_name", "core"])
 
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shared.value
+        for b in batches:
+            out = [x for k, n, t in zip(b["kb_id"], b["kb_name"], b["entity_type"]) for x in v.entities(k, n, t)]
+            yield pd.DataFrame(out, columns=["target", "kb_id", "kind", "rest"])
+
+    named = catalogue.where(F.col("entity_type").isin("PER", "ORG") & F.col("kb_name").isNotNull()).select("kb_id", "kb_name", "entity_type")
+    entities, _ = scratch.write(named.mapInPandas(meet, "target string, kb_id bigint, kind string, rest string"))
+    entities = entities.join(entities.groupBy("target", "kind").agg(F.count(F.lit(1)).alias("alike")), ["target", "kind"])
     canonical = canonical_column(distinct, "name", "canonical_name").repartition(F.col("name"))
     cored, _ = scratch.write(canonical.mapInPandas(take_apart, "name string, canonical_name string, core string"))
-    targets = spark.createDataFrame([(c,) for c in shared.value.cores()], "target string")
-    near = radius_join(cored, targets, "core", "target", RADIUS)
+    near = radius_join(cored, entities, "core", "target", RADIUS)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
         for b in batches:
-            out = [(n, x, k, int(d) * 2 + e) for n, x, w, t, d in zip(b["name"], b["canonical_name"], b["core"], b["target"], b["distance"]) for k, e in c.match(x, w, t)]
-            yield pd.DataFrame(out, columns=["name", "canonical_name", "kb_id", "cost"])
+            rest = [rest_distance(x, w, t, kind, own, n) for x, w, t, kind, own, n in zip(b["canonical_name"], b["core"], b["target"], b["kind"], b["rest"], b["alike"])]
+            b["cost"] = [-1 if d is None else int(c) * 2 + d for c, d in zip(b["distance"], rest)]
+            yield b.loc[b["cost"] >= 0, ["name", "canonical_name", "kb_id", "cost"]]
 
-    found = cored.join(near, "core").mapInPandas(settle, "name string, canonical_name string, kb_id bigint, cost int")
+    found = cored.join(near, "core").join(entities, "target").mapInPandas(settle, "name string, canonical_name string, kb_id bigint, cost int")
     best = found.groupBy("name", "canonical_name", "kb_id").agg(F.min("cost").alias("cost")).groupBy("name", "canonical_name")
-    best = best.agg(F.min("cost").alias("cost"), F.min_by("kb_id", "cost").alias("kb_id"), F.collect_list("cost").alias("all"))
-    # as many entities as cores of a name: a handful
-    return best.where(F.size(F.filter("all", lambda x: x == F.col("cost"))) == 1).select("name", "canonical_name", "kb_id")
+    # The two entities of least cost are all that is kept of a name: enough to tell whether one is nearest.
+    best = best.agg(F.min("cost").alias("cost"), F.min_by("kb_id", "cost").alias("kb_id"), F.min_by("kb_id", F.struct("cost", "kb_id")).alias("first"), F.max_by("kb_id", F.struct(-F.col("cost"), F.col("kb_id"))).alias("last"))
+    return best.where("first = last").select("name", "canonical_name", "kb_id")
 
 
 def linked_records(examples: DataFrame, predictions: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -199,10 +205,9 @@ def linked_records(examples: DataFrame, predictions: DataFrame, catalogue: DataF
     spark = examples.sparkSession
     rows = examples.select(F.lit("example").alias("record_kind"), F.col("example_id").alias("record_id"), F.col("entity_text").alias("name"))
     rows = rows.unionByName(predictions.select(F.lit("entity").alias("record_kind"), F.col("pred_id").alias("record_id"), F.col("text").alias("name")))
-    links, _ = Scratch(spark, "links").write(linked_names(rows, catalogue))
-    named = catalogue.select("kb_id", "kb_name")
-    links = links.join(named, "kb_id")
-    if links.count() <= MAX_LINKS_BROADCAST:  # a checked size; beyond it, a shuffle join with skew handling
+    found = linked_names(rows, catalogue).join(catalogue.select("kb_id", "kb_name"), "kb_id")
+    links, _, n = Scratch(spark, "links").write_counting(found, F.lit(True))
+    if n <= MAX_LINKS_BROADCAST:  # a checked size; beyond it, a shuffle join with skew handling
         links = F.broadcast(links)
     return rows.join(links, "name").select("record_kind", "record_id", "name", "canonical_name", "kb_id", "kb_name")
 

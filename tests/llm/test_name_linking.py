@@ -43,3 +43,31 @@ def test_radius_join_is_exact(spark):
         want = {(x, y, mj.levenshtein(x, y)) for x in left if x is not None for y in right if y is not None and mj.levenshtein(x, y) <= radius}
         assert got == want
     assert mj.radius_join(a, b.limit(0), "core", "target", 1).count() == 0
+
+
+def test_distances_from_one_to_many():
+    import numpy as np
+
+    random.seed(6)
+    words = ["".join(random.choice("abcd") for _ in range(random.randint(0, 8))) for _ in range(60)]
+    n = np.array([len(w) for w in words])
+    codes = np.zeros((60, max(n)), int)
+    for k, w in enumerate(words):
+        codes[k, : len(w)] = [ord(c) for c in w]
+    for w in words[:15]:
+        assert list(mj.to_many(w, codes, n)) == [mj.levenshtein(w, x) for x in words]
+
+
+def test_pivots_are_far_apart_and_follow_the_data(spark):
+    random.seed(7)
+    few = spark.createDataFrame([("".join(random.choice("abcdefgh") for _ in range(7)),) for _ in range(40)], "w string")
+    many = spark.createDataFrame([("".join(random.choice("abcdefgh") for _ in range(7)),) for _ in range(900)], "w string")
+    a, b = mj.choose_pivots(few, "w"), mj.choose_pivots(many, "w")
+    assert len(a) == mj.LEAST_PIVOTS and len(b) == 45 and len(set(b)) == 45
+    assert min(mj.levenshtein(x, y) for x in a for y in a if x != y) >= 4
+
+
+def test_organisations_that_share_their_own_word_are_all_met(spark):
+    kb = spark.createDataFrame([(1, "Zorbel Harbour Company", "ORG"), (2, "Zorbel Rail Authority", "ORG"), (3, "Ann Zorbel", "PER")], "kb_id bigint, kb_name string, entity_type string")
+    names = spark.createDataFrame([("Zorbel Rail Auth.",), ("Zorbel Harbour Co.",), ("A. Zorbel",), ("Zorbell Rail Authority",), ("Zorbel Mining Company",)], "name string")
+    assert {r.name: r.kb_id for r in nl.linked_names(names, kb).collect()} == {"Zorbel Rail Auth.": 2, "Zorbel Harbour Co.": 1, "A. Zorbel": 3, "Zorbell Rail Authority": 2}
