@@ -29,49 +29,6 @@ def precision_recall(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": p, "recall": r}).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-COMPARED = "doc_id bigint, kind string, gold_id bigint, pred_id bigint, iou double"
-
-
-def compare_spans(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(doc_id, kind, gold_id, pred_id, iou): exact spans first (correct, type_mismatch), then the first overlapping gold
-    (boundary), the rest missed or spurious. Each gold matches once; documents are compared one by one."""
-    cols = ["doc_id", "id", "start_char", "end_char", "label"]
-    both = gold.select(*cols, F.lit(True).alias("gold")).unionByName(predicted.select(*cols, F.lit(False).alias("gold")))
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["start_char", "end_char", "id"], kind="stable")
-        g = [tuple(x) for x in b[b["gold"]][["id", "start_char", "end_char", "label"]].itertuples(index=False)]
-        out, open_gold, later = [], dict.fromkeys(range(len(g))), []
-        at: dict[tuple[int, int], list[int]] = {}
-        for k, x in enumerate(g):
-            at.setdefault((x[1], x[2]), []).append(k)
-        for i, s, e, label in b[~b["gold"]][["id", "start_char", "end_char", "label"]].itertuples(index=False):
-            ks = at.get((s, e))
-            if ks:
-                k = ks.pop(0)
-                open_gold.pop(k)
-                out.append((key[0], "correct" if g[k][3] == label else "type_mismatch", g[k][0], i, 1.0))
-            else:
-                later.append((i, s, e))
-        for i, s, e in later:
-            for k in open_gold:
-                a, z = g[k][1], g[k][2]
-                if a >= e:
-                    continue
-                if z > s:
-                    common = min(e, z) - max(s, a)
-                    out.append((key[0], "boundary", g[k][0], i, common / ((e - s) + (z - a) - common)))
-                    open_gold.pop(k)
-                    break
-            else:
-                out.append((key[0], "spurious", None, i, 0.0))
-        out += [(key[0], "missed", g[k][0], None, 0.0) for k in open_gold]
-        r = pd.DataFrame(out, columns=["doc_id", "kind", "gold_id", "pred_id", "iou"])
-        return r.astype({"gold_id": "Int64", "pred_id": "Int64"})
-
-    return both.groupBy("doc_id").applyInPandas(run, COMPARED)
-
-
 def calibration_bins(rows: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
     """(bin, n, mean_confidence, accuracy) of rows with a confidence in [0, 1]."""
     c = F.col(confidence)
@@ -235,19 +192,6 @@ def box_iou(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, C
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
-def muc_counts(compared: DataFrame) -> DataFrame:
-    """(mode, correct, incorrect, partial, missed, spurious) from `compare_spans`, under four modes: strict wants span and
-    label, exact the span, partial and type (alike) take an overlap as half."""
-    n = {k: F.count_if(F.col("kind") == k) for k in ("correct", "type_mismatch", "boundary", "missed", "spurious")}
-    zero = F.lit(0).cast("long")
-    modes = [
-        ("strict", n["correct"], n["type_mismatch"] + n["boundary"], zero), ("exact", n["correct"] + n["type_mismatch"], n["boundary"], zero),
-        ("partial", n["correct"], n["type_mismatch"], n["boundary"]), ("type", n["correct"], n["type_mismatch"], n["boundary"]),
-    ]
-    rows = F.array(*[F.struct(F.lit(m).alias("mode"), c.alias("correct"), i.alias("incorrect"), p.alias("partial"), n["missed"].alias("missed"), n["spurious"].alias("spurious")) for m, c, i, p in modes])
-    return compared.agg(rows.alias("x")).select(F.inline("x"))
-
-
 def purity(key: DataFrame, response: DataFrame) -> DataFrame:
     """(purity, completeness): the majority's share of response clusters, and of key clusters, weighted by size."""
     j, _, _ = _common(key, response)

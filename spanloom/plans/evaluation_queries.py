@@ -53,11 +53,6 @@ def confusion_matrix(spark, d):
     return j.groupBy("gold_label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("error_analysis")
-def error_analysis(spark, d):
-    return E.compare_spans(*_models(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("iou"), 9).alias("mean_iou"))
-
-
 def _judged(spark, d):
     """Spans of the second model, right if the first has the same span and label."""
     g, p = _models(spark, d)
@@ -184,11 +179,6 @@ def majority_vote(spark, d):
     return x.groupBy("doc_id", "start_char", "end_char").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("n").alias("votes"))
 
 
-@query("muc_style_counts")
-def muc_style_counts(spark, d):
-    return E.muc_counts(E.compare_spans(*_models(spark, d)))
-
-
 @query("coref_purity", f"WITH {_COREF}, {_CELLS} SELECT round((SELECT sum(m) / sum(n)::DOUBLE FROM (SELECT max(c) AS m, sum(c) AS n FROM c GROUP BY doc_id, r)), 9) AS purity, round((SELECT sum(m) / sum(n)::DOUBLE FROM (SELECT max(c) AS m, sum(c) AS n FROM c GROUP BY doc_id, k)), 9) AS completeness")
 def coref_purity(spark, d):
     return _round(E.purity(*_coref(spark, d)), "purity", "completeness")

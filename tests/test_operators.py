@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as X
 from spanloom.operators import evaluate as E
 from spanloom.operators import graph as G
+from spanloom.operators import matching as M
 from spanloom.operators import patterns as P
 from spanloom.operators import resolve as R
 from spanloom.operators import spans as S
@@ -54,12 +55,41 @@ def test_overlaps_against_brute_force(spark):
 
 def test_compare_spans(spark):
     schema = "doc_id bigint, id bigint, start_char int, end_char int, label string"
-    gold = spark.createDataFrame([(1, 1, 0, 5, "A"), (1, 2, 10, 15, "B"), (1, 3, 20, 30, "A"), (1, 4, 40, 45, "A")], schema)
+    gold = spark.createDataFrame([(1, 1, 0, 5, "A"), (1, 2, 10, 15, "B"), (1, 3, 20, 30, "A"), (1, 4, 40, 45, "A"), (1, 5, None, 9, "A")], schema)
     pred = spark.createDataFrame([(1, 11, 0, 5, "A"), (1, 12, 10, 15, "A"), (1, 13, 25, 35, "A"), (1, 14, 60, 65, "A"), (2, 15, 0, 3, "A")], schema)
-    got = {(r.kind, r.gold_id, r.pred_id) for r in E.compare_spans(gold, pred).collect()}
+    got = {(r.kind, r.gold_id, r.pred_id) for r in M.compare(gold, pred).collect()}
     assert got == {("correct", 1, 11), ("type_mismatch", 2, 12), ("boundary", 3, 13), ("missed", 4, None), ("spurious", None, 14), ("spurious", None, 15)}
 
 
+def test_matching_by_islands_equals_matching_by_documents(spark):
+    random.seed(8)
+    schema = "doc_id bigint, id bigint, start_char int, end_char int, label string"
+    make = lambda base: [(d, base + 100 * d + i, s, s + random.randint(0, 9), random.choice("AB")) for d in range(6) for i in range(25) for s in [random.randint(0, 120)]]
+    g, p = make(0), make(10_000)
+    order = lambda rows, d: sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], r[3], r[1]))
+    rank = lambda a, b: (4 if a[4] == b[4] else 3) if a[2:4] == b[2:4] else (2 if a[4] == b[4] else 1) if a[2] < b[3] and b[2] < a[3] else 0
+    want = set()
+    for d in range(6):
+        free = order(p, d)
+        for x in order(g, d):
+            best = max(free, key=lambda y: rank(x, y), default=None)  # noqa: B023
+            if best and rank(x, best):
+                free.remove(best)
+                want.add((x[1], best[1], rank(x, best)))
+            else:
+                want.add((x[1], None, 0))
+        want |= {(None, y[1], 0) for y in free}
+    kinds = {"exact": 4, "exact_other_type": 3, "partial": 2, "partial_other_type": 1, "missed": 0, "spurious": 0}
+    gold, pred = spark.createDataFrame(g, schema), spark.createDataFrame(p, schema)
+    got = M.evaluate_ner(gold, pred).collect()
+    assert {(r.gold_id, r.pred_id, kinds[r.kind]) for r in got} == want
+    muc = {r["mode"]: r for r in M.muc_modes(M.evaluate_ner(gold, pred)).collect()}
+    assert muc["strict"].correct == sum(1 for x in want if x[2] == 4) and muc["partial"].partial == sum(1 for x in want if x[2] in (1, 2))
+    assert M.hit_scores(M.matched_in_mode(gold, pred.limit(0), "strict")).first().f1 == 0.0 and M.evaluate_ner(gold.limit(0), pred.limit(0)).count() == 0
+    same = M.hit_scores(M.matched_in_mode(gold, gold, "strict")).first()
+    assert (same.precision, same.recall, same.n_hit) == (1.0, 1.0, 150)
+
+
 def test_coreference_by_hand(spark):
     schema = "doc_id bigint, mention bigint, cluster string"
     key = spark.createDataFrame([(1, m, c) for m, c in zip(range(1, 6), "aaabb")], schema)
