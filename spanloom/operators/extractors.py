@@ -1,4 +1,4 @@
-"""Extractors that read a text in order: heuristic and rule-based entities, layered stacks, events, coreference.
+"""Extractors that read a text in order: heuristic and rule-based entities, layered stacks, events, decoding, prompts.
 
 Each reads whole texts in Arrow batches where they lie; per-document resolvers group by document, whose spans
 are as many as its text allows. Null and empty texts give no rows.
@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .claims import Claims
 from .heuristics import heuristic_spans, rule_spans
+from .matching import islands
 from .patterns import PATTERNS, claim
 
 ENTITIES = "doc_id bigint, start_char int, end_char int, surface string, label string, rule string, confidence double"
@@ -129,65 +131,27 @@ def events(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, EVENTS)
 
 
-# --- coreference within a document ----------------------------------------------------------------------
-
-
-def names_match(a: str, b: str) -> bool:
-    """Equal, one in the other, or a single word that ends the other."""
-    x, y = a.lower().strip(), b.lower().strip()
-    return bool(x and y) and (x == y or x in y or y in x or len(x.split()) == 1 and x == y.split()[-1] or len(y.split()) == 1 and y == x.split()[-1])
-
-
-def resolve_document(mentions: list[tuple[int, str, str]]) -> list[tuple[int, int]]:
-    """(mention, cluster) of mentions (id, text, label) in reading order: equal names of a label first, then names that
-    match, the earliest cluster on ties; a cluster is named by its first mention."""
-    exact: dict[tuple[str, str], int] = {}
-    clusters: list[tuple[int, str, str]] = []
-    out = []
-    for i, text, label in mentions:
-        key = (label, text.lower().strip())
-        c = exact.get(key)
-        if c is None:
-            c = next((k for k, name, kind in clusters if kind == label and names_match(text, name)), None)
-            if c is None:
-                c = i
-                clusters.append((i, text, label))
-            exact[key] = c
-        out.append((i, c))
-    return out
-
-
-def resolve_coreference(spans: DataFrame, key: str = "pred_id") -> DataFrame:
-    """(doc_id, key, cluster)"""
-
-    def run(doc: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["start_char", "end_char", key])
-        r = resolve_document(list(zip(b[key], b["text"], b["label"])))
-        return pd.DataFrame({"doc_id": doc[0], key: [x for x, _ in r], "cluster": [c for _, c in r]})
-
-    s = spans.where("text IS NOT NULL AND label IS NOT NULL AND start_char IS NOT NULL").select("doc_id", key, "start_char", "end_char", "text", "label")
-    return s.groupBy("doc_id").applyInPandas(run, f"doc_id bigint, {key} bigint, cluster bigint")
-
-
 # --- decoding of scored candidates ----------------------------------------------------------------------
 
 
 def greedy_decode(cells: DataFrame, threshold: float, order: str = "position") -> DataFrame:
     """Non-overlapping spans of scored candidates (doc_id, start, end, label, score) at or above a threshold.
 
-    `position`: by start, end, then score; `short`: shorter spans first; `score`: the surest first."""
-    keys = {"position": (["start", "end", "score"], [True, True, False]), "short": (["width", "score", "start"], [True, False, True]), "score": (["score", "start", "end"], [False, True, True])}[order]
+    `position`: by start, end, then score; `short`: shorter spans first; `score`: the surest first; ties by the label. Only
+    spans of one island of overlapping ones compete, so an island, not a document, is decided at once."""
+    keys = {"position": lambda x: (x[0], x[1], -x[3], x[2]), "short": lambda x: (x[1] - x[0], -x[3], x[0], x[2]), "score": lambda x: (-x[3], x[0], x[1], x[2])}[order]
+    c = cells.where(F.col("score") >= threshold).select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.coalesce("label", F.lit("")).alias("id"), "score")
+    grouped = islands(c).groupBy("doc_id", "island").agg(F.collect_list(F.struct("start_char", "end_char", "id", "score")).alias("xs"))
 
-    def run(doc: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b["width"] = b["end"] - b["start"]
-        taken, keep = [], []
-        for i, s, e in b.sort_values([*keys[0], "label"], ascending=[*keys[1], True])[["start", "end"]].itertuples():
-            if all(e <= x or s >= y for x, y in taken):
-                taken.append((s, e))
-                keep.append(i)
-        return b.loc[keep].drop(columns="width")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, xs in zip(b["doc_id"], b["xs"]):
+                claims = Claims()
+                out += [(doc, *x) for x in sorted(((x["start_char"], x["end_char"], x["id"], x["score"]) for x in xs), key=keys) if claims.take(x[0], x[1])]
+            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "label", "score"])
 
-    return cells.where(F.col("score") >= threshold).select("doc_id", "start", "end", "label", "score").groupBy("doc_id").applyInPandas(run, "doc_id bigint, start int, end int, label string, score double")
+    return grouped.mapInPandas(run, "doc_id bigint, start int, end int, label string, score double")
 
 
 def span_candidates(tokens: DataFrame, max_width: int) -> DataFrame:

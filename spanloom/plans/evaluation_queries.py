@@ -192,17 +192,3 @@ def coref_chain_strata(spark, d):
 @query("ner_per_document", f"WITH {_M}, gc AS (SELECT doc_id, start_char, end_char, label, count(*) AS n FROM g GROUP BY ALL), pc AS (SELECT doc_id, start_char, end_char, label, count(*) AS n FROM p GROUP BY ALL), j AS (SELECT doc_id, sum(coalesce(gc.n, 0)) AS a, sum(coalesce(pc.n, 0)) AS b, sum(least(coalesce(gc.n, 0), coalesce(pc.n, 0))) AS c FROM gc FULL JOIN pc USING (doc_id, start_char, end_char, label) GROUP BY doc_id), x AS (SELECT coalesce(2 * (c / nullif(b, 0)::DOUBLE) * (c / nullif(a, 0)::DOUBLE) / nullif(c / nullif(b, 0)::DOUBLE + c / nullif(a, 0)::DOUBLE, 0), 0) AS f FROM j), s AS (SELECT count(*) AS n_docs, avg(f) AS m, stddev_pop(f) AS s FROM x) SELECT n_docs, round(m, 9) AS mean_f1, round(s, 9) AS sd_f1, round(greatest(0, m - 1.96 * s / sqrt(n_docs)), 9) AS low, round(least(1, m + 1.96 * s / sqrt(n_docs)), 9) AS high FROM s")
 def ner_per_document(spark, d):
     return _round(E.per_document(*_models(spark, d), _KEYS), "mean_f1", "sd_f1", "low", "high")
-
-
-@query("relation_prf", f"WITH {_M}, gr AS (SELECT a.doc_id, a.start_char AS a, b.start_char AS b FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.label = 'PER' AND b.label = 'ORG' AND b.start_char > a.end_char), pr AS (SELECT a.doc_id, a.start_char AS a, b.start_char AS b FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.label = 'PER' AND b.label = 'ORG' AND b.start_char > a.end_char), x AS (SELECT doc_id, a, b, count(*) AS n FROM gr GROUP BY ALL), y AS (SELECT doc_id, a, b, count(*) AS m FROM pr GROUP BY ALL) SELECT sum(coalesce(n, 0))::BIGINT AS n_gold, sum(coalesce(m, 0))::BIGINT AS n_predicted, sum(least(coalesce(n, 0), coalesce(m, 0)))::BIGINT AS n_correct FROM x FULL JOIN y USING (doc_id, a, b)")
-def relation_prf(spark, d):
-    """Person-before-organisation pairs of each model, compared by their starts."""
-
-    def pairs(m):
-        a = m.where("label = 'PER'").select("doc_id", F.col("start_char").alias("head_start"), F.col("end_char").alias("e"))
-        b = m.where("label = 'ORG'").select("doc_id", F.col("start_char").alias("tail_start"))
-        j = a.join(b, "doc_id").where("tail_start > e")
-        return j.select("doc_id", "head_start", F.lit(0).alias("head_end"), "tail_start", F.lit(0).alias("tail_end"), F.lit("near").alias("relation"))
-
-    g, p = _models(spark, d)
-    return E.relation_counts(pairs(g), pairs(p))

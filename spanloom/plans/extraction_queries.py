@@ -71,15 +71,23 @@ def event_types(spark, d):
     return X.events(read_texts(spark, d)).groupBy("event_type", "polarity", "tense").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("coreference_clusters")
-def coreference_clusters(spark, d):
-    return X.resolve_coreference(t(spark, d, "predictions"))
+_SCORED = """c AS (SELECT doc_id, start_char AS s, end_char AS e, label AS l, confidence AS c, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS k FROM predictions WHERE start_char < end_char AND confidence >= 0.5 AND label IS NOT NULL),
+    r AS (SELECT doc_id, 0::BIGINT AS k, NULL::INT AS s, NULL::INT AS e, NULL::VARCHAR AS l, NULL::DOUBLE AS c, false AS keep, []::STRUCT(s INT, e INT)[] AS taken FROM (SELECT DISTINCT doc_id FROM c)
+    UNION ALL SELECT c.doc_id, c.k, c.s, c.e, c.l, c.c, len(list_filter(r.taken, lambda x: x.s < c.e AND c.s < x.e)) = 0, CASE WHEN len(list_filter(r.taken, lambda x: x.s < c.e AND c.s < x.e)) = 0 THEN list_append(r.taken, {{'s': c.s, 'e': c.e}}) ELSE r.taken END FROM r JOIN c ON c.doc_id = r.doc_id AND c.k = r.k + 1)
+    SELECT doc_id, s AS start, e AS "end", l AS label, c AS score FROM r WHERE keep"""
 
 
-@query("non_overlapping_spans")
-def non_overlapping_spans(spark, d):
-    p = t(spark, d, "predictions").where("start_char < end_char AND confidence IS NOT NULL AND label IS NOT NULL")
-    return X.greedy_decode(p.select("doc_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"), "label", F.col("confidence").alias("score")), 0.5, "score")
+def _decode_query(name: str, order: str, by: str) -> None:
+    @query(name, "WITH RECURSIVE " + _SCORED.format(order=by))
+    def run(spark, d):
+        p = t(spark, d, "predictions").where("start_char < end_char AND confidence IS NOT NULL AND label IS NOT NULL")
+        return X.greedy_decode(p.select("doc_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"), "label", F.col("confidence").alias("score")), 0.5, order)
+
+
+for _name, _order, _by in (
+    ("non_overlapping_spans", "score", "confidence DESC, start_char, end_char, label"), ("non_overlapping_first", "position", "start_char, end_char, confidence DESC, label"), ("non_overlapping_short", "short", "end_char - start_char, confidence DESC, start_char, label"),
+):
+    _decode_query(_name, _order, _by)
 
 
 @query("span_candidates", "WITH n AS (SELECT example_id AS seq, len(string_split(entity_text, ' ')) AS n FROM length_examples WHERE entity_text IS NOT NULL), f AS (SELECT seq, n, unnest(range(n)) AS first FROM n) SELECT seq, first, unnest(range(first, least(first + 3, n))) AS last FROM f")

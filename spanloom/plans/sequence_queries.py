@@ -5,12 +5,10 @@ from pyspark.sql import Window
 
 from ..functions.text import canonical_label
 from ..operators import patterns as P
-from ..operators import relations as R
 from ..operators import sequence as Q
 from ..queries import query
 from ..session import read_table as t
 from ..streaming import windows as W
-from .text_queries import LABEL
 
 _TOK = """w AS (SELECT example_id AS seq, string_split(sentence, ' ') AS w, sentence, entity_text, coalesce(entity_type, 'NONE') AS label FROM length_examples WHERE sentence IS NOT NULL AND entity_text IS NOT NULL),
     u AS (SELECT seq, w, sentence, entity_text, label, unnest(range(1, len(w) + 1)) AS i FROM w), k AS (SELECT seq, i - 1 AS pos, w[i] AS token, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS s, strpos(sentence, entity_text) - 1 AS a, length(entity_text) AS n, label FROM u),
@@ -55,21 +53,6 @@ def token_context(spark, d):
     return Q.context(_tagged(spark, d)).select("seq", "pos", "before", "after")
 
 
-_LOC = f"(SELECT *, {LABEL} AS kind FROM predictions WHERE start_char IS NOT NULL AND end_char IS NOT NULL AND label IS NOT NULL)"
-_RULE = "CASE " + " ".join(f"WHEN hk = '{h}' AND tk = '{x}' AND (" + " OR ".join(f"contains(' ' || between_text || ' ', ' {w} ')" for w in ws) + f") THEN '{n}'" for n, h, x, ws in R.RULES) + " END"
-
-
-@query(
-    "relations",
-    f"""WITH p AS (SELECT a.doc_id, a.pred_id AS head_id, b.pred_id AS tail_id, a.kind AS hk, b.kind AS tk, lower(substring(d.text, a.end_char + 1, b.start_char - a.end_char)) AS between_text
-        FROM {_LOC} a JOIN {_LOC} b ON a.doc_id = b.doc_id AND (a.start_char < b.start_char OR (a.start_char = b.start_char AND a.pred_id < b.pred_id)) AND b.start_char - a.end_char BETWEEN 1 AND 50 AND a.start_char <= a.end_char AND b.start_char <= b.end_char JOIN documents d ON d.doc_id = a.doc_id)
-        SELECT doc_id, head_id, tail_id, {_RULE} AS relation FROM p WHERE {_RULE} IS NOT NULL""",
-)
-def relations(spark, d):
-    p = t(spark, d, "predictions").where("label IS NOT NULL").withColumn("kind", canonical_label(F.col("label")))
-    return R.relations(p, t(spark, d, "documents")).select("doc_id", "head_id", "tail_id", "relation")
-
-
 @query("chunked_extraction", "WITH d AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), lambda x: length(x)) AS g FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, g, unnest(range(1, len(g))) AS i FROM d) SELECT doc_id, (list_sum(g[1:i]) + 10 * (i - 1))::BIGINT AS start_char FROM x")
 def chunked_extraction(spark, d):
     """Dates found in overlapping chunks of 1,000 characters; a span found twice is one."""
