@@ -136,9 +136,11 @@ UNIVERSAL, EXISTENTIAL, NONE, DEFINITE = "every all each any".split(), "some a a
 
 
 def words_before(text: Column, start: Column, n: int) -> Column:
-    """The last n words before a position, lower case."""
-    w = F.filter(F.split(F.lower(F.substring(text, F.lit(1), start)), rf"[{SPACE}]+"), lambda x: x != "")
-    return F.when(F.size(w) > n, F.slice(w, -n, n)).otherwise(w)
+    """The last n words before a position, lower case. They are cut from the end of the stretch (read backwards), so what
+    stands before them is never split."""
+    back = F.reverse(F.substring(text, F.lit(1), start))
+    words = F.lower(F.reverse(F.regexp_extract(back, rf"^[{SPACE}]*((?:[^{SPACE}]+[{SPACE}]+){{0,{n - 1}}}[^{SPACE}]+)", 1)))
+    return F.filter(F.split(words, rf"[{SPACE}]+"), lambda x: x != "")
 
 
 def is_negated(text: Column, start: Column) -> Column:

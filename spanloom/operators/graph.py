@@ -14,12 +14,32 @@ def node_id(label: Column, text: Column) -> Column:
     return F.concat_ws(":", F.lower(label), F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("_")))
 
 
-def graph_nodes(spans: DataFrame) -> DataFrame:
+def node_of(label: Column, text: Column, kb_id: Column, cluster: Column) -> Column:
+    """The node of a mention: its knowledge-base id, or else `coref_` and its cluster, or else its label and text."""
+    return F.coalesce(kb_id.cast("string"), F.concat(F.lit("coref_"), cluster.cast("string")), node_id(label, text))
+
+
+def graph_nodes(spans: DataFrame, node: Column | None = None) -> DataFrame:
     """(node, name, mentions, first_doc): one row a node; the name is the spelling of its first mention."""
-    s = spans.where(F.col("text").isNotNull() & F.col("label").isNotNull()).withColumn("node", node_id(F.col("label"), F.col("text")))
+    s = spans.where(F.col("text").isNotNull() & F.col("label").isNotNull()).withColumn("node", node_id(F.col("label"), F.col("text")) if node is None else node)
     return s.groupBy("node").agg(F.min_by("text", "pred_id").alias("name"), F.count(F.lit(1)).alias("mentions"), F.min("doc_id").alias("first_doc"))
 
 
+def typed_nodes(spans: DataFrame, node: Column) -> DataFrame:
+    """The same with the label of the first mention as node_type."""
+    s = spans.where(F.col("text").isNotNull() & F.col("label").isNotNull()).withColumn("node", node)
+    return s.groupBy("node").agg(F.min_by("text", "pred_id").alias("name"), F.min_by("label", "pred_id").alias("node_type"), F.count(F.lit(1)).alias("mentions"), F.min("doc_id").alias("first_doc"))
+
+
+def relation_edges(relations: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(source, target, relation, confidence, n): relations (head_id, tail_id, relation, confidence) between the nodes of their
+    mentions (pred_id, node), both of which must be there; the surest counts, n is how many say so. A node has no relation
+    with itself."""
+    m = mentions.select("pred_id", "node").where("node IS NOT NULL")
+    j = relations.join(m.withColumnsRenamed({"pred_id": "head_id", "node": "source"}), "head_id").join(m.withColumnsRenamed({"pred_id": "tail_id", "node": "target"}), "tail_id").where("source <> target")
+    return j.groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+
+
 def cooccurrence_edges(spans: DataFrame, max_gap: int) -> DataFrame:
     """(source, target, weight, min_gap): nodes mentioned at most max_gap characters apart, source < target, no loops."""
     s = spans.where(F.col("text").isNotNull() & F.col("label").isNotNull())
@@ -138,19 +158,65 @@ def hierarchy(edges: DataFrame, levels: int = 3, gamma: float = 1.0, max_sweeps:
     return out
 
 
+# --- exports: one row a line, so that a graph of any size is written by all tasks --------------------------
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def _identifier(c: Column) -> Column:
+    return F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
+
+
+def _one_less(c: Column) -> Column:
+    """A confidence below 1 with three digits, else null."""
+    return F.when(c < 1, F.format_string("%.3f", c))
+
+
 def cypher_nodes(nodes: DataFrame) -> DataFrame:
     """(line): CREATE statements; backslashes and quotes are escaped, the identifier keeps letters, digits and underscores."""
-    name = F.replace(F.replace(F.col("name"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    ident = F.regexp_replace("node", "[^A-Za-z0-9_]", "_")
-    return nodes.select(F.concat(F.lit("CREATE (n_"), ident, F.lit(":Entity {name: '"), name, F.lit("', mentions: "), F.col("mentions").cast("string"), F.lit("})")).alias("line"))
+    return nodes.select(F.concat(F.lit("CREATE (n_"), _identifier(F.col("node")), F.lit(":Entity {name: "), _quoted(F.col("name")), F.lit(", mentions: "), F.col("mentions").cast("string"), F.lit("})")).alias("line"))
 
 
-def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, json): one JSON object a node and an edge, to be written as lines; the whole graph never meets in one place."""
-    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(F.col("node").alias("id"), "name", "mentions")).alias("json"))
-    return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("source", "target", "weight")).alias("json")))
+def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, line): nodes (node, name, node_type) and edges (source, target, relation, confidence); the confidence of an edge is
+    said only if it is below 1."""
+    n = nodes.select(F.lit("node").alias("kind"), F.concat(F.lit("CREATE (n_"), _identifier(F.col("node")), F.lit(":"), _identifier(F.coalesce("node_type", F.lit("Entity"))), F.lit(" {id: "), _quoted(F.col("node")), F.lit(", name: "), _quoted(F.col("name")), F.lit("})")).alias("line"))
+    sure = F.coalesce(F.concat(F.lit(" {confidence: "), _one_less(F.col("confidence")), F.lit("}")), F.lit(""))
+    e = edges.select(F.lit("edge").alias("kind"), F.concat(F.lit("CREATE (n_"), _identifier(F.col("source")), F.lit(")-[:"), F.upper(_identifier(F.col("relation"))), sure, F.lit("]->(n_"), _identifier(F.col("target")), F.lit(")")).alias("line"))
+    return n.unionByName(e)
 
 
-def json_ld(nodes: DataFrame) -> DataFrame:
-    """(json): one JSON-LD object a node."""
-    return nodes.select(F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.col("node").alias("@id"), F.lit("Thing").alias("@type"), "name")).alias("json"))
+def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, json): one JSON object a node and an edge, to be written as lines; the whole graph never meets in one place. An
+    edge says its relation and confidence where it has them, the confidence only below 1."""
+    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(F.col("node").alias("id"), "name", "mentions")).alias("json"))
+    own = ["source", "target", *[c for c in ("relation", "weight") if c in edges.columns]]
+    sure = [F.when(F.col("confidence") < 1, F.col("confidence")).alias("confidence")] if "confidence" in edges.columns else []
+    return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*own, *sure)).alias("json")))
+
+
+def json_ld(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(json): one JSON-LD object a node, with the edges that leave it as `relations`, sorted."""
+    n = nodes.withColumn("__type", F.col("node_type") if "node_type" in nodes.columns else F.lit("Thing"))
+    fields = [F.lit("https://schema.org").alias("@context"), F.col("node").alias("@id"), F.coalesce("__type", F.lit("Thing")).alias("@type"), F.col("name")]
+    if edges is not None:
+        out = F.sort_array(F.collect_list(F.struct(F.col("relation").alias("@type"), F.col("target").alias("@id"))))
+        n = n.join(edges.groupBy(F.col("source").alias("node")).agg(out.alias("relations")), "node", "left")
+        fields.append(F.col("relations"))
+    return n.select(F.to_json(F.struct(*fields)).alias("json"))
+
+
+EXPORTS = {
+    "cypher": lambda nodes, edges: cypher(nodes, edges).select("line"),
+    "node_link": lambda nodes, edges: node_link_json(nodes, edges).select(F.col("json").alias("line")),
+    "json_ld": lambda nodes, edges: json_ld(nodes, edges).select(F.col("json").alias("line")),
+}
+
+
+def export(nodes: DataFrame, edges: DataFrame, form: str) -> DataFrame:
+    """(line) in one of EXPORTS."""
+    if form not in EXPORTS:
+        raise ValueError(f"{form}: one of {', '.join(EXPORTS)}")
+    return EXPORTS[form](nodes, edges)

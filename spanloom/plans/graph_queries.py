@@ -7,6 +7,7 @@ from ..operators import graph as G
 from ..operators import resolve as R
 from ..queries import query
 from ..session import read_table as t
+from . import relation_queries as RQ
 from .text_queries import _S, LABEL
 
 _NODE = f"({LABEL}) || ':' || replace(lower(trim(text)), ' ', '_')"
@@ -59,16 +60,82 @@ def cypher_export(spark, d):
     return G.cypher_nodes(G.graph_nodes(t(spark, d, "predictions")))
 
 
-@query("node_link_export")
+_JSON = "WITH n AS (SELECT " + _NODE + " AS node, arg_min(text, pred_id) AS name, count(*) AS mentions FROM predictions WHERE text IS NOT NULL AND label IS NOT NULL GROUP BY 1)"
+
+
+@query("node_link_export", f"{_JSON}, {_EDGES} SELECT 'node' AS kind, to_json({{'id': node, 'name': name, 'mentions': mentions}})::VARCHAR AS json FROM n UNION ALL SELECT 'edge', to_json({{'source': source, 'target': target, 'weight': weight}})::VARCHAR FROM e")
 def node_link_export(spark, d):
     return G.node_link_json(G.graph_nodes(t(spark, d, "predictions")), _edges(spark, d))
 
 
-@query("json_ld_export")
+@query("json_ld_export", f"{_JSON} SELECT to_json({{'@context': 'https://schema.org', '@id': node, '@type': 'Thing', 'name': name}})::VARCHAR AS json FROM n")
 def json_ld_export(spark, d):
     return G.json_ld(G.graph_nodes(t(spark, d, "predictions")))
 
 
+# Nodes by their knowledge-base id, their cluster of equal names of several mentions, or their label and text.
+_MENTION_NODES = f"""k AS (SELECT lower(kb_name) AS k, min(kb_id) AS kb_id FROM kb_entities WHERE kb_name IS NOT NULL GROUP BY 1), c AS (SELECT pred_id, min(pred_id) OVER w AS cluster, count(*) OVER w AS n FROM predictions WHERE text IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY doc_id, label, lower(text))),
+    mn AS (SELECT p.*, coalesce(k.kb_id::VARCHAR, CASE WHEN c.n > 1 THEN 'coref_' || c.cluster END, {_NODE}) AS node FROM predictions p JOIN c USING (pred_id) LEFT JOIN k ON k.k = lower(trim(p.text, ' ')))"""
+
+
+def _mention_nodes(spark, d):
+    p = t(spark, d, "predictions").where("text IS NOT NULL AND label IS NOT NULL")
+    kb = t(spark, d, "kb_entities").where("kb_name IS NOT NULL").groupBy(F.lower("kb_name").alias("k")).agg(F.min("kb_id").alias("kb_id"))
+    c = p.groupBy("doc_id", "label", F.lower("text").alias("t")).agg(F.min("pred_id").alias("cluster"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    p = p.withColumns({"k": F.lower(F.trim("text")), "t": F.lower("text")}).join(kb, "k", "left").join(c, ["doc_id", "label", "t"], "left")
+    return p.withColumn("node", G.node_of(F.col("label"), F.col("text"), F.col("kb_id"), F.col("cluster")))
+
+
+def _typed(spark, d):
+    return G.typed_nodes(_mention_nodes(spark, d), F.col("node"))
+
+
+_TYPED = "tn AS (SELECT node, arg_min(text, pred_id) AS name, arg_min(label, pred_id) AS node_type, count(*) AS mentions, min(doc_id) AS first_doc FROM mn GROUP BY node)"
+_REL = f"rl AS (SELECT doc_id, head_id, tail_id, r.relation AS relation, r.confidence AS confidence FROM (SELECT *, {RQ._RULE} AS r FROM {RQ._both(RQ._pairs(RQ._LOC, 50))}) WHERE r IS NOT NULL), re AS (SELECT a.node AS source, b.node AS target, relation, max(rl.confidence) AS confidence, count(*) AS n FROM rl JOIN mn a ON a.pred_id = head_id JOIN mn b ON b.pred_id = tail_id WHERE a.node <> b.node GROUP BY ALL)"
+
+
+def _relation_edges(spark, d):
+    return G.relation_edges(RQ.relations(spark, d), _mention_nodes(spark, d))
+
+
+@query("entity_nodes", f"WITH {_MENTION_NODES}, {_TYPED} SELECT * FROM tn")
+def entity_nodes(spark, d):
+    return _typed(spark, d)
+
+
+@query("relation_edges", f"WITH {_MENTION_NODES}, {_REL} SELECT * FROM re")
+def relation_edges(spark, d):
+    return _relation_edges(spark, d)
+
+
+_Q = "\x27\x27\x27\x27 || replace(replace({c}, '\\', '\\\\'), \x27\x27\x27\x27, '\\\x27\x27') || \x27\x27\x27\x27"
+_ID = "regexp_replace({c}, '[^A-Za-z0-9_]', '_', 'g')"
+
+
+@query(
+    "cypher_graph",
+    f"""WITH {_MENTION_NODES}, {_TYPED}, {_REL} SELECT 'node' AS kind, 'CREATE (n_' || {_ID.format(c='node')} || ':' || {_ID.format(c='node_type')} || ' {{id: ' || {_Q.format(c='node')} || ', name: ' || {_Q.format(c='name')} || '}})' AS line FROM tn
+        UNION ALL SELECT 'edge', 'CREATE (n_' || {_ID.format(c='source')} || ')-[:' || upper({_ID.format(c='relation')}) || CASE WHEN confidence < 1 THEN ' {{confidence: ' || printf('%.3f', confidence) || '}}' ELSE '' END || ']->(n_' || {_ID.format(c='target')} || ')' FROM re""",
+)
+def cypher_graph(spark, d):
+    return G.cypher(_typed(spark, d), _relation_edges(spark, d))
+
+
+@query(
+    "json_ld_graph",
+    f"""WITH {_MENTION_NODES}, {_TYPED}, {_REL}, o AS (SELECT source AS node, list({{'@type': relation, '@id': target}} ORDER BY relation, target) AS relations FROM re GROUP BY source)
+        SELECT CASE WHEN relations IS NULL THEN to_json({{'@context': 'https://schema.org', '@id': node, '@type': node_type, 'name': name}}) ELSE to_json({{'@context': 'https://schema.org', '@id': node, '@type': node_type, 'name': name, 'relations': relations}}) END::VARCHAR AS line FROM tn LEFT JOIN o USING (node)""",
+)
+def json_ld_graph(spark, d):
+    return G.export(_typed(spark, d), _relation_edges(spark, d), "json_ld")
+
+
+@query("community_hierarchy")
+def community_hierarchy(spark, d):
+    """Communities of the graph of nodes that stand near each other, at three resolutions."""
+    return G.hierarchy(_edges(spark, d), 3)
+
+
 _WORDS = "list_distinct(list_filter(string_split(lower({c}), ' '), lambda w: w <> ''))"
 _NAMES = "(SELECT kb_id AS id, kb_name AS name, entity_type FROM kb_entities)"
 
