@@ -14,15 +14,6 @@ _EMAIL_ONCE = r"(?<![a-zA-Z0-9._%+-])" + _EMAIL
 _VARIANTS = {"baseline": "text", "upper": "upper(text)", "lower": "lower(text)", "line_breaks": "replace(text, ' ', chr(10))", "no_punctuation": "regexp_replace(text, '[.,;:!?]', '', 'g')"}
 
 
-@query("robustness_of_emails", " UNION ALL ".join(f"SELECT '{k}' AS perturbation, sum(len(regexp_extract_all({v}, '{_EMAIL}')))::BIGINT AS found FROM documents WHERE text IS NOT NULL" for k, v in _VARIANTS.items()))
-def robustness_of_emails(spark, d):
-    """How many addresses a pattern still finds in perturbed texts."""
-    c = F.col("text")
-    forms = {"baseline": c, "upper": F.upper(c), "lower": F.lower(c), "line_breaks": F.replace(c, F.lit(" "), F.lit("\n")), "no_punctuation": F.regexp_replace(c, "[.,;:!?]", "")}
-    one = t(spark, d, "documents").where("text IS NOT NULL").agg(*[F.sum(F.regexp_count(x, F.lit(_EMAIL_ONCE))).alias(k) for k, x in forms.items()])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("perturbation"), F.col(k).alias("found")) for k in forms])))
-
-
 @query("schema_mapping", f"WITH x AS (SELECT label AS raw, {LABEL} AS label, {_CAT} AS category FROM predictions WHERE label IS NOT NULL) SELECT category, count(DISTINCT raw) AS notations, count(DISTINCT label) AS labels, count(*) AS n, round(1 - count(DISTINCT label) / count(DISTINCT raw)::DOUBLE, 9) AS loss FROM x GROUP BY category")
 def schema_mapping(spark, d):
     """Notations and labels that each category takes in, and the share of distinctions lost."""
@@ -31,23 +22,6 @@ def schema_mapping(spark, d):
     return x.groupBy("category").agg(F.count_distinct("raw").alias("notations"), F.count_distinct("label").alias("labels"), F.count(F.lit(1)).alias("n"), F.round(1 - F.count_distinct("label") / F.count_distinct("raw"), 9).alias("loss"))
 
 
-@query("few_shot_coverage", f"WITH x AS (SELECT pred_id, lower(text) AS x, {LABEL} AS label FROM predictions WHERE text IS NOT NULL AND label IS NOT NULL), s AS (SELECT label, x FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pred_id) AS r FROM x) WHERE r <= 16) SELECT label, count(*) AS n, round(avg((EXISTS (SELECT 1 FROM s WHERE s.label = x.label AND s.x = x.x))::INT), 9) AS coverage FROM x GROUP BY label")
-def few_shot_coverage(spark, d):
-    """How much of a label its first 16 examples would name."""
-    x = t(spark, d, "predictions").where("text IS NOT NULL AND label IS NOT NULL").select("pred_id", F.lower("text").alias("x"), canonical_label(F.col("label")).alias("label"))
-    first = x.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("pred_id"))).where("r <= 16").select("label", "x").distinct().withColumn("hit", F.lit(1))
-    return x.join(F.broadcast(first), ["label", "x"], "left").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("coverage"))
-
-
-@query("demonstrations", "WITH q AS (SELECT list_distinct(string_split('We met the clerk of the harbour office at the depot.', ' ')) AS q), x AS (SELECT example_id, list_distinct(string_split(sentence, ' ')) AS w, q FROM length_examples, q WHERE sentence IS NOT NULL) SELECT example_id, round(len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q)))::DOUBLE, 9) AS score FROM x ORDER BY score DESC, example_id LIMIT 20")
-def demonstrations(spark, d):
-    """A top-k report: the examples whose words are most like a given sentence."""
-    q = F.array_distinct(F.split(F.lit("We met the clerk of the harbour office at the depot."), " "))
-    w = F.array_distinct(F.split("sentence", " "))
-    x = t(spark, d, "length_examples").where("sentence IS NOT NULL").select("example_id", F.round(F.size(F.array_intersect(w, q)) / F.size(F.array_union(w, q)), 9).alias("score"))
-    return x.orderBy(F.col("score").desc(), "example_id").limit(20)
-
-
 @query("outlier_flags", "SELECT count(*) FILTER (regexp_matches(text, '[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]')) AS zero_width, count(*) FILTER (length(text) < 20) AS very_short, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9+/=]{60}')) AS encoded, count(*) FILTER (text = '') AS empty_ FROM documents WHERE text IS NOT NULL")
 def outlier_flags(spark, d):
     c = F.col("text")
@@ -96,6 +70,3 @@ def sentence_counts(spark, d):
 @query("name_variants", f"SELECT lower(trim(entity_text)) AS name, count(*) AS n, count(DISTINCT entity_text) AS spellings FROM length_examples WHERE entity_text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT entity_text) > 1 OR count(*) > 2")
 def name_variants(spark, d):
     return t(spark, d, "length_examples").where("entity_text IS NOT NULL").groupBy(F.lower(F.trim("entity_text")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_text").alias("spellings")).where("spellings > 1 OR n > 2")
-
-
-

@@ -17,15 +17,6 @@ def _p(spark, d):
     return t(spark, d, "predictions").where("label IS NOT NULL").withColumn("kind", canonical_label(F.col("label")))
 
 
-@query("dataset_stats", f"SELECT model_name, count(*) AS n, count(DISTINCT kind) AS kinds, count(DISTINCT lower(text)) AS texts, round(count(DISTINCT lower(text)) / count(text)::DOUBLE, 9) AS diversity, round(avg(length(text)), 9) AS mean_length, round(stddev_pop(length(text)), 7) AS sd_length, min(length(text)) AS min_length, max(length(text)) AS max_length FROM {_P} GROUP BY model_name")
-def dataset_stats(spark, d):
-    n = F.length("text")
-    return _p(spark, d).groupBy("model_name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("kind").alias("kinds"), F.count_distinct(F.lower("text")).alias("texts"),
-        F.round(F.count_distinct(F.lower("text")) / F.count("text"), 9).alias("diversity"), F.round(F.avg(n), 9).alias("mean_length"), F.round(F.stddev_pop(n), 7).alias("sd_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"),
-    )
-
-
 @query("upper_median", f"SELECT kind, list_sort(list(length(text)))[count(*) // 2 + 1] AS median FROM {_P} WHERE text IS NOT NULL GROUP BY kind")
 def upper_median(spark, d):
     return Z.upper_median(_p(spark, d).where("text IS NOT NULL").withColumn("n", F.length("text")), "n", ["kind"])
@@ -111,18 +102,6 @@ def stratified_sample(spark, d):
     return Z.stratified_sample(t(spark, d, "documents"), "genre", "doc_id", 0.1).select("doc_id")
 
 
-@query("learning_curve_fit", "WITH x AS (SELECT ln(doc_id + 1) AS x, avg(confidence) AS y FROM predictions WHERE confidence <= 1 GROUP BY doc_id) SELECT round(regr_slope(y, x), 9) AS slope, round(regr_intercept(y, x), 9) AS intercept, round(regr_r2(y, x), 9) AS r2 FROM x")
-def learning_curve_fit(spark, d):
-    x = t(spark, d, "predictions").where("confidence <= 1").groupBy("doc_id").agg(F.avg("confidence").alias("y")).withColumn("x", F.log(F.col("doc_id") + 1))
-    return x.agg(F.round(F.regr_slope("y", "x"), 9).alias("slope"), F.round(F.regr_intercept("y", "x"), 9).alias("intercept"), F.round(F.regr_r2("y", "x"), 9).alias("r2"))
-
-
-@query("bias_by_type", "SELECT entity_type, char_bucket, count(*) AS n, round(avg(char_length), 9) AS mean_length FROM length_examples GROUP BY GROUPING SETS ((entity_type), (char_bucket), (entity_type, char_bucket))")
-def bias_by_type(spark, d):
-    e = t(spark, d, "length_examples")
-    return e.groupingSets([[e.entity_type], [e.char_bucket], [e.entity_type, e.char_bucket]], e.entity_type, e.char_bucket).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("char_length"), 9).alias("mean_length"))
-
-
 @query("ood_coverage", "WITH g AS (SELECT entity_type, kb_name, unnest(list_distinct(list_transform(range(1, greatest(length(kb_name) - 1, 2)), lambda i: substring(lower(kb_name), i, 3)))) AS g FROM kb_entities), seen AS (SELECT DISTINCT g FROM g WHERE entity_type = 'PER') SELECT entity_type, count(*) AS grams, round(avg((g IN (SELECT g FROM seen))::INT), 9) AS coverage FROM g GROUP BY entity_type")
 def ood_coverage(spark, d):
     from ..functions.text import char_ngrams

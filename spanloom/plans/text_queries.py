@@ -138,13 +138,6 @@ def word_stems(spark, d):
     return w.where(F.col("word").rlike("^[a-z]+$")).select("word", X.simple_stem(F.col("word")).alias("stem"))
 
 
-@query("perturbations", "SELECT example_id, upper(entity_text) AS upper_case, lower(entity_text) AS lower_case, replace(entity_text, ' ', '') AS no_space, replace(entity_text, ' ', '  ') AS more_space, replace(entity_text, ' ', chr(10)) AS line_breaks, regexp_replace(entity_text, '[!-/:-@\\[-`{-~]', '', 'g') AS no_punctuation FROM length_examples WHERE entity_text IS NOT NULL")
-def perturbations(spark, d):
-    c = F.col("entity_text")
-    e = t(spark, d, "length_examples").where(c.isNotNull())
-    return e.select("example_id", F.upper(c).alias("upper_case"), F.lower(c).alias("lower_case"), F.replace(c, F.lit(" "), F.lit("")).alias("no_space"), F.replace(c, F.lit(" "), F.lit("  ")).alias("more_space"), F.replace(c, F.lit(" "), F.lit("\n")).alias("line_breaks"), F.regexp_replace(c, r"[!-/:-@\[-`{-~]", "").alias("no_punctuation"))
-
-
 @query("html_to_text", "WITH x AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\r?\\n'), lambda l: trim(l, ' ')), lambda l: l <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(l, chr(10)) AS plain FROM x")
 def html_to_text(spark, d):
     """Every text, made a page, comes back with its white space tidied."""
