@@ -1,4 +1,4 @@
-"""Extractors that read a text in order: heuristic and rule-based entities, layered stacks, events, decoding, prompts.
+"""Extractors that read a text in order: heuristic and rule-based entities, layered stacks, decoding, prompts.
 
 Each reads whole texts in Arrow batches where they lie; per-document resolvers group by document, whose spans
 are as many as its text allows. Null and empty texts give no rows.
@@ -7,6 +7,7 @@ are as many as its text allows. Null and empty texts give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,24 +44,30 @@ def resolve_layers(layers: list[list[tuple]], strategy: str = "priority") -> lis
     """Spans (start, end, surface, label, rule, confidence) of layers in order, made to agree.
 
     A span that overlaps none is taken. One that overlaps is dropped (priority), or replaces the best of those it
-    overlaps if it is longer (longest) or surer (confidence); the others it overlaps go in any case. `union` keeps all."""
+    overlaps if it is longer (longest) or surer (confidence), the first of equals; the others it overlaps go in any case.
+    `union` keeps all. What is taken lies apart, so the spans that another overlaps are neighbours, found by bisection."""
     if strategy not in STRATEGIES:
         raise ValueError(strategy)
+    spans = [x for layer in layers for x in layer if x[0] < x[1]]
+    if strategy == "union":
+        return sorted(spans, key=lambda y: (y[0], y[1]))
+    worth = (lambda y: y[1] - y[0]) if strategy == "longest" else (lambda y: y[5])
     taken: list[tuple] = []
-    for layer in layers:
-        for x in layer:
-            if x[0] >= x[1]:
-                continue
-            hit = [] if strategy == "union" else [k for k, y in enumerate(taken) if x[0] < y[1] and y[0] < x[1]]
-            if not hit:
-                taken.append(x)
-            elif strategy != "priority":
-                worth = (lambda y: y[1] - y[0]) if strategy == "longest" else (lambda y: y[5])
-                best = max(hit, key=lambda k: (worth(taken[k]), -k))
-                keep = x if worth(x) > worth(taken[best]) else taken[best]
-                taken = [y for k, y in enumerate(taken) if k not in hit] + [keep]
-    taken.sort(key=lambda y: (y[0], y[1]))
-    return taken if strategy == "union" else list({(y[0], y[1], y[3]): y for y in reversed(taken)}.values())[::-1]
+    starts: list[int] = []
+    for x in spans:
+        hi = bisect_left(starts, x[1])
+        lo = hi
+        while lo and taken[lo - 1][1] > x[0]:
+            lo -= 1
+        if lo == hi:
+            taken.insert(lo, x)
+            starts.insert(lo, x[0])
+        elif strategy != "priority":
+            best = max(taken[lo:hi], key=worth)
+            keep = x if worth(x) > worth(best) else best
+            taken[lo:hi] = [keep]
+            starts[lo:hi] = [keep[0]]
+    return taken
 
 
 def stacked_entities(documents: DataFrame, strategy: str = "priority") -> DataFrame:
@@ -69,68 +76,6 @@ def stacked_entities(documents: DataFrame, strategy: str = "priority") -> DataFr
     return _extract(documents, lambda t: resolve_layers([claim(t, compiled), heuristic_spans(t)], strategy))
 
 
-# --- events -------------------------------------------------------------------------------------------
-
-# Lemmas of triggers by type, words of negation, doubt and tense.
-TRIGGERS = {
-    "business:transaction": "sign sell buy acquire merge pay cost withdraw".split(),
-    "movement:transport": "move transport ship deliver cross travel arrive leave".split(),
-    "personnel:start": "join hire appoint elect".split(),
-    "personnel:end": "resign retire dismiss quit".split(),
-    "contact:meet": "meet visit discuss".split(),
-    "contact:communicate": "tell announce report publish describe call write".split(),
-    "justice:act": "reject sue charge convict".split(),
-    "life:health": "repair cure treat injure".split(),
-    "conflict:attack": "attack invade bomb strike kill fight".split(),
-}
-IRREGULAR = {"met": "meet", "told": "tell", "left": "leave", "sold": "sell", "bought": "buy", "paid": "pay", "withdrew": "withdraw", "wrote": "write", "struck": "strike", "fought": "fight", "sued": "sue"}
-NEGATION = set("not no never n't didn't doesn't don't won't wouldn't cannot can't nobody none without hardly".split())
-MODAL = set("may might could would should must possibly probably perhaps allegedly".split())
-FUTURE, HYPOTHETICAL = set("will shall going".split()), set("would could might may".split())
-EVENTS = "doc_id bigint, start_char int, end_char int, trigger string, event_type string, polarity string, tense string, agent string, patient string"
-_TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_LEMMAS = {lemma: kind for kind, lemmas in TRIGGERS.items() for lemma in lemmas}
-
-
-def _lemma(word: str) -> str | None:
-    w = word.lower()
-    if IRREGULAR.get(w, w) in _LEMMAS:
-        return IRREGULAR.get(w, w)
-    for ending, adds in (("ied", ("y",)), ("ed", ("", "e")), ("ing", ("", "e")), ("es", ("", "e")), ("s", ("",))):
-        if w.endswith(ending):
-            stem = w[: -len(ending)]
-            for x in [stem + a for a in adds] + ([stem[:-1]] if len(stem) > 2 and stem[-1] == stem[-2] else []):
-                if x in _LEMMAS:
-                    return x
-    return None
-
-
-def event_spans(text: str) -> list[tuple]:
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
-    out = []
-    for k, (s, e, w) in enumerate(tokens):
-        lemma = _lemma(w)
-        if not lemma:
-            continue
-        before = [x[2].lower() for x in tokens[max(0, k - 3) : k]]
-        polarity = "negative" if NEGATION & set(before) else "uncertain" if MODAL & set(before) else "positive"
-        tense = "future" if FUTURE & set(before) else "hypothetical" if HYPOTHETICAL & set(before) else "past" if w.lower().endswith("ed") or w.lower() in IRREGULAR else "present"
-        agent = next((x[2] for x in reversed(tokens[max(0, k - 5) : k]) if x[2][0].isupper()), None)
-        patient = next((x[2] for x in tokens[k + 1 : k + 6] if x[2][0].isupper()), None)
-        out.append((s, e, w, _LEMMAS[lemma], polarity, tense, agent, patient))
-    return out
-
-
-def events(documents: DataFrame) -> DataFrame:
-    """(doc_id, start_char, end_char, trigger, event_type, polarity, tense, agent, patient)"""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, *x) for i, t in zip(b["doc_id"], b["text"]) for x in event_spans(t)], columns=[c.split()[0] for c in EVENTS.split(", ")])
-
-    return documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, EVENTS)
-
-
 # --- decoding of scored candidates ----------------------------------------------------------------------
 
 

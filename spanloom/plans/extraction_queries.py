@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
+from ..operators import events as V
 from ..operators import extractors as X
 from ..operators import heuristics as H
+from ..operators import models as N
+from ..operators import patterns as P
 from ..queries import query
 from ..session import read_table as t
 from ..session import read_texts
@@ -63,12 +66,36 @@ def stacked_entities_longest(spark, d):
 
 @query("document_events")
 def document_events(spark, d):
-    return X.events(read_texts(spark, d))
+    return V.events(read_texts(spark, d))
 
 
 @query("event_types")
 def event_types(spark, d):
-    return X.events(read_texts(spark, d)).groupBy("event_type", "polarity", "tense").agg(F.count(F.lit(1)).alias("n"))
+    return V.events(read_texts(spark, d)).groupBy("event_type", "polarity", "tense").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TRIGGERS = "('signed', 'sold', 'met', 'moved', 'left', 'joined')"
+_EV = f"w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word, unnest(regexp_split_to_array(text, '[A-Za-z]+')[1:len(regexp_extract_all(text, '[A-Za-z]+'))]) AS gap, unnest(range(1, len(regexp_extract_all(text, '[A-Za-z]+')) + 1)) AS i FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word))::INT AS s FROM w), ev AS (SELECT doc_id, s, s + length(word) AS e, word FROM q WHERE word IN {_TRIGGERS}), sp AS (SELECT doc_id, pred_id, start_char, end_char FROM predictions WHERE text IS NOT NULL AND start_char IS NOT NULL AND end_char IS NOT NULL)"
+
+
+@query("event_arguments", f"WITH {_EV} SELECT doc_id, s AS start_char, word AS trigger, (SELECT arg_max(pred_id, (end_char, pred_id)) FROM sp WHERE sp.doc_id = ev.doc_id AND end_char <= s AND s - end_char <= 50) AS agent_id, (SELECT arg_min(pred_id, (start_char, pred_id)) FROM sp WHERE sp.doc_id = ev.doc_id AND start_char >= e AND start_char - e <= 50) AS patient_id FROM ev")
+def event_arguments(spark, d):
+    """The spans before and behind some verbs."""
+    w = P.pattern_spans(read_texts(spark, d), "(?<![A-Za-z])(?:signed|sold|met|moved|left|joined)(?![A-Za-z])", unicode=False)
+    e = w.select("doc_id", "start_char", "end_char", F.col("surface").alias("trigger"), F.lit(None).cast("string").alias("agent"), F.lit(None).cast("string").alias("patient"))
+    return V.event_arguments(e, t(spark, d, "predictions")).select("doc_id", "start_char", "trigger", "agent_id", "patient_id")
+
+
+@query("stacked_entities_surest")
+def stacked_entities_surest(spark, d):
+    return N.extract(read_texts(spark, d), "default", "confidence")
+
+
+@query("hybrid_entities")
+def hybrid_entities(spark, d):
+    """Heuristic names, and what patterns find beside them."""
+    x = read_texts(spark, d)
+    return N.hybrid(X.heuristic_entities(x), P.pattern_stack(x))
 
 
 _SCORED = """c AS (SELECT doc_id, start_char AS s, end_char AS e, label AS l, confidence AS c, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS k FROM predictions WHERE start_char < end_char AND confidence >= 0.5 AND label IS NOT NULL),
