@@ -92,7 +92,7 @@ def combinations_of(classes: int, window: int = WINDOW) -> np.ndarray:
             if m * a >= low:
                 add(*[a] * m)
             for b in range(max(1, rest - window), rest + 1):
-                if b != a and low <= m * a + b <= classes and m <= 24:
+                if b != a and low <= m * a + b <= classes:
                     add(*[a] * m, b)
     for a, b in itertools.combinations(range(1, classes + 1), 2):
         for c in range(max(b + 1, low - a - b), classes - a - b + 1):
@@ -200,12 +200,26 @@ def pack_shard(sizes: np.ndarray, capacity: int, shares: list[tuple[list[tuple[i
     return containers
 
 
+def _histogram(documents: DataFrame, specs: DataFrame) -> DataFrame:
+    """(pack_id, c, n): how many items of each length class a container kind has, from sizes alone: a text over the capacity counts
+    as whole containers and a remainder. (Cutting between code points may leave a few bytes more in the remainder; the
+    combinations need the distribution, not every byte, and no text is cut for it.)"""
+    k = specs.where("capacity_tokens IS NOT NULL").select("pack_id", F.col("capacity_tokens").cast("long").alias("capacity"))
+    sizes = documents.where("text IS NOT NULL").groupBy(F.octet_length("text").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    j = sizes.join(F.broadcast(k))  # distinct sizes with container kinds, whose number pack_items checks
+    whole, rest = F.expr("size div capacity"), F.expr("size % capacity")
+    cls = lambda x: F.greatest(F.lit(1), F.ceil(x * CLASSES / F.col("capacity")).cast("int"))
+    parts = F.when(F.col("size") <= F.col("capacity"), F.array(F.struct(cls(F.col("size")).alias("c"), F.lit(1).cast("long").alias("m")))).otherwise(
+        F.array(F.struct(F.lit(CLASSES).alias("c"), whole.alias("m")), F.struct(cls(rest).alias("c"), (rest > 0).cast("long").alias("m")))
+    )
+    return j.select("pack_id", "n", F.inline(parts)).groupBy("pack_id", "c").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+
 def pack_documents(documents: DataFrame, specs: DataFrame) -> DataFrame:
     """(pack_id, container_id, slot, doc_id, piece_no, n_pieces, start_char, end_char, n_tokens): every item in one
     container of each kind, no container over its capacity."""
     items = pack_items(documents, specs)
-    cls = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") * F.lit(CLASSES) / F.col("capacity")).cast("int"))
-    counted = items.groupBy("pack_id", cls.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = _histogram(documents, specs).collect()
     plan: dict[int, tuple[list, float]] = {}
     for pack in sorted({r.pack_id for r in counted}):
         histogram = np.zeros(CLASSES + 1)
