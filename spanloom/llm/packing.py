@@ -48,12 +48,16 @@ def cut_at_capacity(text: str, capacity: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def pack_items(documents: DataFrame, specs: DataFrame) -> DataFrame:
-    """One row per container kind and item: a whole text, or a piece of one that exceeds the capacity."""
+def _kinds(specs: DataFrame) -> list[tuple[int, int]]:
     rows = specs.select("pack_id", "capacity_tokens").where(F.col("capacity_tokens").isNotNull()).limit(10_001).collect()
     if len(rows) > 10_000:
-        raise ValueError("pack_items takes at most 10,000 container kinds")
-    kinds = [(int(a), int(b)) for a, b in rows]
+        raise ValueError("at most 10,000 container kinds")
+    return [(int(a), int(b)) for a, b in rows]
+
+
+def pack_items(documents: DataFrame, specs: DataFrame) -> DataFrame:
+    """One row per container kind and item: a whole text, or a piece of one that exceeds the capacity."""
+    kinds = _kinds(specs)
     if not kinds:
         return documents.sparkSession.createDataFrame([], ITEMS)
     d = documents.select("doc_id", "text").where(F.col("text").isNotNull()).withColumn("__size", F.octet_length("text"))
@@ -204,9 +208,9 @@ def _histogram(documents: DataFrame, specs: DataFrame) -> DataFrame:
     """(pack_id, c, n): how many items of each length class a container kind has, from sizes alone: a text over the capacity counts
     as whole containers and a remainder. (Cutting between code points may leave a few bytes more in the remainder; the
     combinations need the distribution, not every byte, and no text is cut for it.)"""
-    k = specs.where("capacity_tokens IS NOT NULL").select("pack_id", F.col("capacity_tokens").cast("long").alias("capacity"))
     sizes = documents.where("text IS NOT NULL").groupBy(F.octet_length("text").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    j = sizes.join(F.broadcast(k))  # distinct sizes with container kinds, whose number pack_items checks
+    every = F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(c).cast("long").alias("capacity")) for p, c in _kinds(specs)])
+    j = sizes.select("size", "n", F.inline(every))
     whole, rest = F.expr("size div capacity"), F.expr("size % capacity")
     cls = lambda x: F.greatest(F.lit(1), F.ceil(x * CLASSES / F.col("capacity")).cast("int"))
     parts = F.when(F.col("size") <= F.col("capacity"), F.array(F.struct(cls(F.col("size")).alias("c"), F.lit(1).cast("long").alias("m")))).otherwise(
@@ -219,7 +223,7 @@ def pack_documents(documents: DataFrame, specs: DataFrame) -> DataFrame:
     """(pack_id, container_id, slot, doc_id, piece_no, n_pieces, start_char, end_char, n_tokens): every item in one
     container of each kind, no container over its capacity."""
     items = pack_items(documents, specs)
-    counted = _histogram(documents, specs).collect()
+    counted = _histogram(documents, specs).collect() if _kinds(specs) else []
     plan: dict[int, tuple[list, float]] = {}
     for pack in sorted({r.pack_id for r in counted}):
         histogram = np.zeros(CLASSES + 1)
