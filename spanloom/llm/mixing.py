@@ -8,7 +8,7 @@ than their target; the slots of a source are mapped, one epoch of its blocks aft
 the other, through a pseudorandom permutation of its block indices; slots and blocks are then joined by index. A
 slot beyond the last permitted epoch stays empty: the source falls short, and the report says so.
 
-Scale: token offsets are prefix sums in two levels, (source, bucket) and inside a bucket, with a number of
+Scale: sizes are written once; token offsets are prefix sums in three levels, the lowest inside a bucket, with a number of
 buckets that follows the size of the source, so a source with a third of all rows is no hot group. Slots are
 generated where they are needed from the shard number alone. Only per-source totals (one row a source of a
 mix) reach the driver.
@@ -24,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 BLOCK_TOKENS = 4096
 SHARD_SLOTS = 256  # blocks an output shard
 BUCKET_TOKENS = 4_000_000  # tokens a prefix-sum bucket
+TOP_BUCKETS = 500  # buckets a bucket of the level above
 ROUNDS = 4
 
 
@@ -53,15 +56,15 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def source_sizes(documents: DataFrame) -> DataFrame:
-    """(source, tokens, rows) of every source that has rows; null sources are one row."""
+def sized(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of every row, written once: what all that follows reads in place of the texts."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return documents.groupBy("source").agg(F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    return Scratch(documents.sparkSession, "sizes").write(documents.select("doc_id", "source", size.alias("size")))[0]
 
 
-def mix_plan(documents: DataFrame, targets: DataFrame) -> list[dict]:
+def mix_plan(sizes: DataFrame, targets: DataFrame) -> list[dict]:
     """One entry a mix and source: target, available tokens, blocks, and whether the source falls short."""
-    sizes = source_sizes(documents)
+    sizes = sizes.groupBy("source").agg(F.sum("size").alias("tokens"))
     total = int(sizes.agg(F.sum("tokens")).first()[0] or 0)
     wanted = targets.where(F.col("source").isNotNull() & F.col("mix_id").isNotNull()).select("mix_id", "source", "target_share", "max_repeats")
     # Bounded by the table of targets, not by the data; totals of sources in no mix stay where they are.
@@ -78,20 +81,24 @@ def mix_plan(documents: DataFrame, targets: DataFrame) -> list[dict]:
     return out
 
 
-def source_blocks(documents: DataFrame, plan: list[dict]) -> DataFrame:
+def source_blocks(sizes: DataFrame, plan: list[dict]) -> DataFrame:
     """(source, block, doc_id, at, size, doc_from, doc_to): the stretch (in tokens) of each document in each block of
     one epoch of its source, where the document begins at `at`.
 
     Documents lie in hash order. A document without tokens is in no block."""
     tokens = {p["source"]: p["tokens"] for p in plan}
-    spark = documents.sparkSession
+    spark = sizes.sparkSession
     if not tokens:
         return spark.createDataFrame([], "source string, block bigint, doc_id bigint, at bigint, size bigint, doc_from bigint, doc_to bigint")
     buckets = F.create_map(*[F.lit(x) for s, n in tokens.items() for x in (s, max(1, -(-n // BUCKET_TOKENS)))])
-    d = documents.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).where((F.col("size") > 0) & F.col("source").isin(list(tokens)))
+    d = sizes.where((F.col("size") > 0) & F.col("source").isin(list(tokens)))
     d = d.withColumn("h", F.xxhash64("doc_id", F.lit(7))).withColumn("bucket", F.pmod(F.col("h"), buckets[F.col("source")]))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
-    starts = sums.select("source", "bucket", (F.sum("s").over(Window.partitionBy("source").orderBy("bucket")) - F.col("s")).alias("start"))
+    # Three levels: hundreds of buckets, buckets, documents; the topmost has a row a few hundred million tokens.
+    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("s")).withColumn("top", F.expr(f"bucket div {TOP_BUCKETS}"))
+    tops = sums.groupBy("source", "top").agg(F.sum("s").alias("ts"))
+    tops = tops.select("source", "top", (F.sum("ts").over(Window.partitionBy("source").orderBy("top")) - F.col("ts")).alias("top_start"))
+    within = F.sum("s").over(Window.partitionBy("source", "top").orderBy("bucket")) - F.col("s")
+    starts = sums.withColumn("within", within).join(tops, ["source", "top"]).select("source", "bucket", (F.col("top_start") + F.col("within")).alias("start"))
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     d = d.withColumn("inside", inside).join(starts, ["source", "bucket"]).withColumn("at", F.col("start") + F.col("inside"))
     first, last = F.expr(f"at div {BLOCK_TOKENS}"), F.expr(f"(at + size - 1) div {BLOCK_TOKENS}")
@@ -122,11 +129,10 @@ def draw_counts(mix_id: int, shard: int, shares: np.ndarray) -> np.ndarray:
     return np.random.default_rng([104729, mix_id & 0x7FFFFFFF, shard]).multinomial(SHARD_SLOTS, shares)
 
 
-def mix_slots(documents: DataFrame, plan: list[dict]) -> DataFrame:
+def mix_slots(spark: SparkSession, plan: list[dict]) -> DataFrame:
     """(mix_id, shard, source, epoch, block, draw): every slot of every output shard; block is null where the
     source has no more blocks to give. Every source has slots for at least its target, so a slot left empty before that
     means that it falls short. A mix is larger than asked for by at most a shard and what the last one adds."""
-    spark = documents.sparkSession
     by_mix: dict[int, list[dict]] = {}
     for p in plan:
         by_mix.setdefault(p["mix_id"], []).append(p)
@@ -190,19 +196,19 @@ def _character_start(at: str) -> str:
     return f"{at} + CASE WHEN NOT {inner(0)} THEN 0 WHEN NOT {inner(1)} THEN 1 WHEN NOT {inner(2)} THEN 2 ELSE 3 END"
 
 
-def mix_pieces(documents: DataFrame, plan: list[dict]) -> DataFrame:
+def mix_pieces(sizes: DataFrame, plan: list[dict]) -> DataFrame:
     """(mix_id, shard, source, epoch, block, draw, slot_from, doc_id, doc_from, doc_to): the stretches of documents in
     every filled slot; slot_from is where the stretch begins in the slot."""
-    spark = documents.sparkSession
+    spark = sizes.sparkSession
     sources = spark.createDataFrame([(p["mix_id"], p["source"], p["tokens"], p["max_repeats"] * p["tokens"]) for p in plan], "mix_id int, source string, tokens bigint, all bigint")
-    slots = mix_slots(documents, plan).where(F.col("block").isNotNull()).join(F.broadcast(sources), ["mix_id", "source"]).withColumnRenamed("block", "slot_block")
+    slots = mix_slots(spark, plan).where(F.col("block").isNotNull()).join(F.broadcast(sources), ["mix_id", "source"]).withColumnRenamed("block", "slot_block")
     slots = slots.withColumn("lo", F.col("slot_block") * BLOCK_TOKENS).withColumn("hi", F.least(F.col("lo") + BLOCK_TOKENS, "all"))
     # A slot may reach into the next copies of its source: one row a copy, then one a block of the source's own tokens.
     slots = slots.withColumn("copy", F.explode(F.expr("sequence(lo div tokens, (hi - 1) div tokens)"))).withColumn("start", F.expr("copy * tokens"))
     slots = slots.withColumn("p", F.expr("greatest(lo, start) - start")).withColumn("q", F.expr("least(hi, start + tokens) - start"))
     slots = slots.withColumn("block", F.explode(F.expr(f"sequence(p div {BLOCK_TOKENS}, (q - 1) div {BLOCK_TOKENS})")))
     # A document that lies in several blocks of the stretch counts in the first of them.
-    j = slots.join(source_blocks(documents, plan), ["source", "block"]).where(f"at < q AND at + size > p AND block = greatest(at, p) div {BLOCK_TOKENS}")
+    j = slots.join(source_blocks(sizes, plan), ["source", "block"]).where(f"at < q AND at + size > p AND block = greatest(at, p) div {BLOCK_TOKENS}")
     return j.select(
         "mix_id", "shard", "source", "epoch", F.col("slot_block").alias("block"), "draw", F.expr("start + greatest(at, p) - lo").alias("slot_from"),
         "doc_id", F.expr("greatest(0, p - at)").alias("doc_from"), F.expr("least(size, q - at)").alias("doc_to"),
@@ -214,7 +220,8 @@ def mixed(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     doc_from and doc_to count tokens, which are bytes; text holds the characters that begin between them, so the
     pieces of a document make up its text again. Each text is shuffled once, whatever the number of mixes."""
-    pieces = mix_pieces(documents, mix_plan(documents, targets))
+    sizes = sized(documents)
+    pieces = mix_pieces(sizes, mix_plan(sizes, targets))
     texts = documents.where(F.octet_length("text") > 0).select("doc_id", F.encode("text", "utf-8").alias("b"))
     start, end = _character_start("doc_from"), _character_start("doc_to")
     cut = F.expr(f"CAST(substring(b, CAST({start} + 1 AS INT), CAST(({end}) - ({start}) AS INT)) AS STRING)")
@@ -224,11 +231,12 @@ def mixed(documents: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_id, source, target_share, max_repeats, available_tokens, target_tokens, mixed_tokens, actual_share,
     times_used, falls_short): the mix as it came out."""
-    plan = mix_plan(documents, targets)
+    sizes = sized(documents)
+    plan = mix_plan(sizes, targets)
     spark = documents.sparkSession
     schema = "mix_id int, source string, target_share double, max_repeats int, available_tokens bigint, target_tokens double, falls_short boolean"
     asked = spark.createDataFrame([(p["mix_id"], p["source"], p["target_share"], p["max_repeats"], p["tokens"], p["target_tokens"], p["short"]) for p in plan], schema)
-    got = mix_pieces(documents, plan).groupBy("mix_id", "source").agg(F.sum(F.col("doc_to") - F.col("doc_from")).alias("mixed_tokens"))
+    got = mix_pieces(sizes, plan).groupBy("mix_id", "source").agg(F.sum(F.col("doc_to") - F.col("doc_from")).alias("mixed_tokens"))
     r = asked.join(got, ["mix_id", "source"], "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     whole = F.sum("mixed_tokens").over(Window.partitionBy("mix_id"))
     return r.select(

@@ -53,7 +53,8 @@ def test_mixing(spark):
         assert r[s].mixed_tokens <= cap * tokens.get(s, 0)
     assert {(x.mix_id, x.source) for x in m.sources_falling_short(docs, targets).collect()} == {(1, s) for s in r if r[s].falls_short}
     assert abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9
-    blocks = m.source_blocks(docs, m.mix_plan(docs, targets)).toPandas()
+    sizes = m.sized(docs)
+    blocks = m.source_blocks(sizes, m.mix_plan(sizes, targets)).toPandas()
     whole = blocks.assign(n=blocks.doc_to - blocks.doc_from).groupby("doc_id").n.sum().to_dict()
     assert whole == {d.doc_id: len(d.text.encode()) for d in docs.collect() if d.text and d.source}
     assert m.mix_report(docs.limit(0), targets).count() == 3
@@ -116,7 +117,7 @@ def test_small_sources_give_full_blocks(spark):
     """As many tokens as slots of 4096 while max_repeats leaves room, however few blocks a source has."""
     docs = spark.createDataFrame([(i, "x" * 1000, "tiny" if i < 5 else "big", 1) for i in range(200)], "doc_id bigint, text string, source string, slot int")
     targets = spark.createDataFrame([(1, "big", 0.8, 2), (1, "tiny", 0.2, 40)], "mix_id int, source string, target_share double, max_repeats int")
-    slots = {r.source: r["count"] for r in m.mix_slots(docs, m.mix_plan(docs, targets)).where("block IS NOT NULL").groupBy("source").count().collect()}
+    slots = {r.source: r["count"] for r in m.mix_slots(spark, m.mix_plan(m.sized(docs), targets)).where("block IS NOT NULL").groupBy("source").count().collect()}
     got = {r.source: r for r in m.mix_report(docs, targets).collect()}
     assert got["tiny"].mixed_tokens == min(slots["tiny"] * m.BLOCK_TOKENS, 40 * 5000)
     assert got["big"].mixed_tokens == min(slots["big"] * m.BLOCK_TOKENS, 2 * 195_000)
