@@ -9,7 +9,10 @@ last cut, and `most` leaves room for that, so no piece exceeds the limit.
 
 One token is one byte of UTF-8 (the public byte-level tokenizer). Pieces begin and end between code points;
 where code points have several bytes the overlap may be up to 3 bytes longer than asked for, never shorter.
-Null texts have no pieces, empty texts one empty piece, texts within the limit one piece.
+Null texts have no pieces, empty texts one empty piece, texts within the limit one piece. An overlap that leaves no room
+under its limit is taken as the largest that does (limit - ROOM); a limit under 4 tokens, which cannot hold every character,
+is an error. Where a text repeats itself (equal lines) every place looks alike to the hash, so cuts after an edit need not
+come back to where they were; nothing in such a text tells one place from another.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 32  # bytes seen by the rolling hash; a power of two
+ROOM = 8  # tokens of a piece that its overlap must leave
 LANDMARK_EVERY = 8  # landmarks are this many times denser than pieces
 _TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -89,8 +93,9 @@ class Cutter:
         n = len(self.data)
         if n <= limit:
             return []
-        if overlap + 8 > limit:
-            raise ValueError(f"an overlap of {overlap} leaves no room under a limit of {limit}")
+        if limit < 4:
+            raise ValueError(f"a limit of {limit} cannot hold every character")
+        overlap = max(0, min(overlap, limit - ROOM))
         most_first, most = limit, max(4, limit - overlap - 3)
         mask = np.uint64((1 << max(0, int(limit / LANDMARK_EVERY).bit_length() - 1)) - 1)
         marks = np.flatnonzero((self.hash >> np.uint64(20)) & mask == 0) + 1
@@ -115,6 +120,7 @@ class Cutter:
     def pieces(self, limit: int, overlap: int) -> list[tuple[int, int]]:
         """(start, end) in bytes."""
         ends = [*self.cuts(limit, overlap), len(self.data)]
+        overlap = max(0, min(overlap, limit - ROOM))
         return [(0 if k == 0 else _floor(self.starts, max(0, ends[k - 1] - overlap)), e) for k, e in enumerate(ends)]
 
     def chars(self, at: int) -> int:

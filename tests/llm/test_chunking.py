@@ -52,3 +52,11 @@ def test_rows(spark):
     assert all(len(r.piece_text.encode()) == r.n_tokens for r in p.collect())
     assert ch.split_documents(docs.limit(0), configs).count() == 0
     assert ch.split_documents(docs, configs.limit(0)).count() == 0
+
+
+def test_overlap_without_room_is_taken_as_the_largest_that_has():
+    text = "one two three four five six seven eight nine ten " * 4
+    for limit, overlap in ((32, 30), (32, 500), (9, 9), (6, 6)):
+        pieces = ch.Cutter(text).pieces(limit, overlap)
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(0 < e - s <= limit for s, e in pieces)
+        assert all(a[1] >= b[0] and a[1] < b[1] for a, b in zip(pieces, pieces[1:]))
