@@ -10,6 +10,10 @@ Document frequencies are counted over all documents.
 A document is read sentence by sentence. A sentence counts as whole if it ends like one and has letters
 enough; only whole sentences can give a document a language. Shorter pieces take the language around them.
 
+A sentence whose letters are mostly of a script that none of LANGUAGES writes (Hangul, Hebrew, Devanagari, Thai, ...) has no
+language here: it gives none to its document and breaks no stretch. A language of a known script that the classifier has not
+learned is taken for the nearest one, with the confidence that it gets.
+
 Null and empty texts have no language and no segments. Ties go to the language named first.
 """
 
@@ -111,9 +115,19 @@ _BLOB = re.compile("[A-Za-z0-9+/=]{60,}")  # encoded data, sequences
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
+# Letters of scripts in which none of LANGUAGES is written.
+_FOREIGN = re.compile("[\u0530-\u05ff\u0700-\u074f\u0780-\u10ff\u1100-\u11ff\u1200-\u137f\u1780-\u17ff\u1800-\u18af\uac00-\ud7a3]")
+
+
+def is_foreign(sentence: str) -> bool:
+    """Whether most letters are of a script that none of LANGUAGES writes."""
+    n = len(_FOREIGN.findall(sentence))
+    return n > 0 and 2 * n > sum(c.isalpha() for c in sentence)
+
+
 def is_whole(sentence: str) -> bool:
-    """Whether a piece of text reads as a sentence: it ends like one and has letters enough, in some words."""
-    if not _TERMINAL.search(sentence) or _BLOB.search(sentence):
+    """Whether a piece of text reads as a sentence: it ends like one and has letters enough, in some words, of known scripts."""
+    if not _TERMINAL.search(sentence) or _BLOB.search(sentence) or is_foreign(sentence):
         return False
     if len(_IDEOGRAPH.findall(sentence)) >= MIN_IDEOGRAPHS:
         return True
@@ -289,7 +303,9 @@ def fit(documents: DataFrame) -> Model:
     labelled = labelled.withColumn("__h", F.xxhash64("doc_id", F.lit(3)))
     share = F.pmod("__h", F.lit(1 << 20))
     wanted = (1 << 20) * min(1.0, TRAIN_DOCUMENTS / max(1, labelled.count()))
-    rows = sorted(labelled.where(share < F.lit(int(np.ceil(wanted)))).limit(2 * TRAIN_DOCUMENTS).collect(), key=lambda r: (r["__h"], r.doc_id))
+    # Of a share of that size more than twice the wanted number never come; the first by hash would be taken, part by part.
+    sample = labelled.where(share < F.lit(int(np.ceil(wanted)))).orderBy(share, "__h", "doc_id").limit(2 * TRAIN_DOCUMENTS)
+    rows = sorted(sample.collect(), key=lambda r: (r["__h"], r.doc_id))
     pieces, labels, fold, doc = [], [], [], []
     count: dict[str, int] = {}
     for c, text in SEEDS.items():
@@ -370,8 +386,9 @@ def segment_texts(model: Model, texts: list[str | None]) -> list[list[tuple[int,
     return out
 
 
-def identified(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, lang, segments): every document with a text. No shuffle: each text is read where it lies.
+def identified(documents: DataFrame, model: Model | None = None, with_null: bool = False) -> DataFrame:
+    """(doc_id, lang, segments): every document with a text, or every document (a null text has no segments). No shuffle: each
+    text is read where it lies.
 
     The model (its size is bounded by BINS times the number of languages) is broadcast."""
     model = model or fit(documents)
@@ -388,7 +405,8 @@ def identified(documents: DataFrame, model: Model | None = None) -> DataFrame:
                 found += segment_texts(m, values[k : k + 256])
             yield pd.Series(found)
 
-    return documents.where(F.col("text").isNotNull()).select("doc_id", "lang", segments("text").alias("segments"))
+    d = documents if with_null else documents.where(F.col("text").isNotNull())
+    return d.select("doc_id", "lang", segments("text").alias("segments"))
 
 
 def language_segments(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -400,14 +418,14 @@ def language_segments(documents: DataFrame, model: Model | None = None) -> DataF
 def document_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, lang_code, confidence, languages): the language of most text, and all of whole sentences.
     Documents without text have null for all."""
-    d = identified(documents, model).select("doc_id", "segments")
+    d = identified(documents, model, with_null=True).select("doc_id", "segments")
     length = lambda c: F.aggregate(F.filter("segments", lambda x: x["lang_code"] == c), F.lit(0), lambda a, x: a + x["end_char"] - x["start_char"])
     codes = F.array_distinct(F.transform("segments", lambda x: x["lang_code"]))
     main = F.array_max(F.transform(codes, lambda c: F.struct(length(c).alias("n"), c.alias("c"))))["c"]
     weighted = F.aggregate(F.filter("segments", lambda x: x["lang_code"] == F.col("lang_code")), F.lit(0.0), lambda a, x: a + x["confidence"] * (x["end_char"] - x["start_char"]))
     d = d.withColumn("lang_code", main)
-    d = d.select("doc_id", "lang_code", F.try_divide(weighted, length(F.col("lang_code"))).alias("confidence"), _whole_languages().alias("languages"))
-    return documents.select("doc_id").join(d, "doc_id", "left")
+    languages = F.when(F.col("lang_code").isNotNull(), _whole_languages())
+    return d.select("doc_id", "lang_code", F.try_divide(weighted, length(F.col("lang_code"))).alias("confidence"), languages.alias("languages"))
 
 
 def _whole_languages():

@@ -65,3 +65,10 @@ def test_empty(spark):
     model = lg.fit(none)
     assert lg.mislabelled(none, model).count() == 0
     assert lg.document_languages(none, model).count() == 0
+
+
+def test_scripts_of_no_known_language_give_none():
+    korean, thai = "\uc774 \uc9d1\uc740 \ud06c\uace0 \ud30c\ub780 \ubb38\uc774 \uc788\uc2b5\ub2c8\ub2e4. \uc6b0\ub9ac\ub294 \uc544\uce68\uc5d0 \uc2dc\uc7a5\uc5d0 \uac14\uc2b5\ub2c8\ub2e4.", "\u0e1a\u0e49\u0e32\u0e19 \u0e2b\u0e25\u0e31\u0e07 \u0e19\u0e35\u0e49 \u0e43\u0e2b\u0e0d\u0e48 \u0e21\u0e32\u0e01."
+    for text in (korean, thai):
+        assert lg.is_foreign(text) and not lg.is_whole(text)
+    assert lg.is_whole("The house is large and has a blue door.") and not lg.is_foreign("The house of \uae40 is large.")
