@@ -7,7 +7,7 @@ links takes O(log n) rounds, a star one). The mappings of the rounds are then ex
 first, each a join over geometrically fewer rows.
 
 Everything stays in the cluster: no edge, component or label reaches the driver. Each round is a written
-table in the shared folder (`session.Scratch`), so executors may be lost. A hub of very high degree is one
+table in the shared folder (`session.Scratch`), so executors may be lost; its edges are counted while they are written. A hub of very high degree is one
 aggregation key, pre-aggregated map-side by `min`, and one join key, which adaptive execution splits.
 """
 
@@ -38,10 +38,11 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     Empty edges give an empty result; repeated edges, either order and self-loops are allowed."""
     spark = edges.sparkSession
     scratch = Scratch(spark, "groups")
-    e, e_path = scratch.write(edges.select("a", "b").where(F.col("a") != F.col("b")))
+    e, e_path, n_edges = scratch.write_counting(edges.select("a", "b").where(F.col("a") != F.col("b")), F.lit(True))
     maps: list[tuple[DataFrame, str]] = []
     for n in range(MAX_ROUNDS):
-        if e.isEmpty():
+        if not n_edges:
+            scratch.drop(e_path)
             break
         both = e.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("w")))
         # min over (hash, id) of the neighbours, then of the vertex itself: partial aggregation before the shuffle
@@ -55,7 +56,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
             e.join(a, "a").join(b, "b").where(F.col("ra") != F.col("rb"))
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         )
-        nxt, nxt_path = scratch.write(new)
+        nxt, nxt_path, n_edges = scratch.write_counting(new, F.lit(True))
         scratch.drop(e_path)
         e, e_path = nxt, nxt_path
     else:
