@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,17 +136,23 @@ def ceaf(key: DataFrame, response: DataFrame, dice: bool = False) -> DataFrame:
     j, nk, nr = _common(key, response)
     cells = j.groupBy("doc_id", "k", "r").agg(F.count(F.lit(1)).alias("c")).join(nk, ["doc_id", "k"]).join(nr, ["doc_id", "r"])
 
-    def run(doc: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b["s"] = 2 * b["c"] / (b["nk"] + b["nr"]) if dice else b["c"].astype(float)
-        total, ks, rs = 0.0, set(), set()
-        for k, r, s in b.sort_values(["s", "k", "r"], ascending=[False, True, True])[["k", "r", "s"]].itertuples(index=False):
-            if k not in ks and r not in rs:
-                total += s
-                ks.add(k)
-                rs.add(r)
-        return pd.DataFrame({"doc_id": [doc[0]], "s": [total]})
-
-    got = cells.groupBy("doc_id").applyInPandas(run, "doc_id bigint, s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    alike = 2 * F.col("c") / (F.col("nk") + F.col("nr")) if dice else F.col("c").cast("double")
+    best_first = F.sort_array(F.collect_list(F.struct((-alike).alias("s"), "k", "r")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for cells in b["cells"]:
+                total, ks, rs = 0.0, set(), set()
+                for x in cells:
+                    if x["k"] not in ks and x["r"] not in rs:
+                        total -= x["s"]
+                        ks.add(x["k"])
+                        rs.add(x["r"])
+                out.append(total)
+            yield pd.DataFrame({"s": out})
+
+    got = cells.groupBy("doc_id").agg(best_first.alias("cells")).select("cells").mapInPandas(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
     size = (lambda n: F.count(F.lit(1))) if dice else (lambda n: F.sum(n))
     a = got.join(nk.agg(size("nk").alias("nk"))).join(nr.agg(size("nr").alias("nr")))  # one row each
     a = a.select(ratio(F.col("s"), F.col("nr")).alias("precision"), ratio(F.col("s"), F.col("nk")).alias("recall"))
@@ -200,11 +208,41 @@ def purity(key: DataFrame, response: DataFrame) -> DataFrame:
     return side("r", "purity").join(side("k", "completeness"))  # one row each
 
 
+def _stratum(n: Column) -> Column:
+    return F.when(n == 1, "singleton").when(n <= 10, "short").otherwise("long")
+
+
 def chain_strata(key: DataFrame) -> DataFrame:
     """(stratum, n_chains, n_mentions): chains of one mention, two to ten, more."""
     n = key.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    s = F.when(F.col("n") == 1, "singleton").when(F.col("n") <= 10, "short").otherwise("long")
-    return n.groupBy(s.alias("stratum")).agg(F.count(F.lit(1)).alias("n_chains"), F.sum("n").alias("n_mentions"))
+    return n.groupBy(_stratum(F.col("n")).alias("stratum")).agg(F.count(F.lit(1)).alias("n_chains"), F.sum("n").alias("n_mentions"))
+
+
+def lea_by_stratum(key: DataFrame, response: DataFrame) -> DataFrame:
+    """(stratum, precision, recall, f1): `lea` of chains of one mention, two to ten, more; recall over the key chains of that size,
+    precision over the response chains of that size."""
+    j, nk, nr = _common(key, response)
+    cells = j.groupBy("doc_id", "k", "r").agg(F.count(F.lit(1)).alias("c")).join(nk, ["doc_id", "k"]).join(nr, ["doc_id", "r"])
+    links = F.col("c") * (F.col("c") - 1) / 2
+
+    def side(n: str, other: str, sizes: DataFrame, name: str) -> DataFrame:
+        own = F.when(F.col(n) == 1, (F.col(other) == 1).cast("double")).otherwise(links / (F.col(n) * (F.col(n) - 1) / 2))
+        got = cells.groupBy(_stratum(F.col(n)).alias("stratum")).agg(F.sum(own * F.col(n)).alias("a"))
+        return sizes.groupBy(_stratum(F.col(n)).alias("stratum")).agg(F.sum(n).alias("b")).join(got, "stratum", "left").select("stratum", ratio(F.coalesce("a", F.lit(0.0)), F.col("b")).alias(name))
+
+    a = side("nk", "nr", nk, "recall").join(side("nr", "nk", nr, "precision"), "stratum", "full_outer").na.fill(0.0)
+    return a.withColumn("f1", f1(F.col("precision"), F.col("recall"))).select("stratum", "precision", "recall", "f1")
+
+
+def b_cubed_by_document(key: DataFrame, response: DataFrame) -> DataFrame:
+    """(n_docs, precision, recall, f1, sd_f1, low, high): `b_cubed` of each document, averaged; f1 from the means, the deviation (of
+    all) and the interval of 1.96 standard errors, within [0, 1], from the documents' own."""
+    j, nk, nr = _common(key, response)
+    cells = j.groupBy("doc_id", "k", "r").agg(F.count(F.lit(1)).alias("c")).join(nk, ["doc_id", "k"]).join(nr, ["doc_id", "r"])
+    d = cells.groupBy("doc_id").agg((F.sum(F.col("c") * F.col("c") / F.col("nr")) / F.sum("c")).alias("p"), (F.sum(F.col("c") * F.col("c") / F.col("nk")) / F.sum("c")).alias("r")).withColumn("f", f1(F.col("p"), F.col("r")))
+    a = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("f").alias("m"), F.stddev_pop("f").alias("sd_f1"))
+    e = 1.96 * F.col("sd_f1") / F.sqrt("n_docs")
+    return a.select("n_docs", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"), "sd_f1", F.greatest(F.lit(0.0), F.col("m") - e).alias("low"), F.least(F.lit(1.0), F.col("m") + e).alias("high"))
 
 
 def per_document(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:

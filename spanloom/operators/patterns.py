@@ -54,19 +54,30 @@ PATTERNS: list[tuple[str, str, str, float]] = [
 ]
 
 
+CHUNK = 64  # matches that are laid out at once
+
+
 def match_array(text: Column, pattern: str, unicode: bool = True) -> Column:
     """array<struct<start, end>> of the matches of a pattern, in characters."""
     p = ("(?U)" if unicode else "") + pattern
     once = F.array(F.struct(F.transform(F.split(text, p, -1), F.length).alias("g"), F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.length).alias("f")))
 
     def positions(x: Column) -> Column:  # x is a lambda's variable, so both scans of the text happen once
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        spans = "array<struct<start:int,end:int>>"
         step = lambda acc, n: F.struct(
             (acc["at"] + n["g"] + n["f"]).alias("at"),
             F.concat(acc["out"], F.array(F.struct((acc["at"] + n["g"]).alias("start"), (acc["at"] + n["g"] + n["f"]).alias("end")))).alias("out"),
         )
         steps = F.filter(F.arrays_zip(x["g"].alias("g"), x["f"].alias("f")), lambda n: n["f"].isNotNull())
-        return F.aggregate(steps, state, step, lambda acc: acc["out"])
+
+        # Chunks of CHUNK matches, so that no array of all matches is copied for every match.
+        def chunk(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(steps, k * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("out")), step)
+            return F.get(F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(steps) > 0, F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(spans))
 
     return F.when(text.rlike(p), F.get(F.transform(once, positions), F.lit(0))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 

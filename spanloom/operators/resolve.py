@@ -70,3 +70,19 @@ def identities(mentions: DataFrame, pairs: DataFrame, block: str | None = None)
     of = classes.join(c.withColumnsRenamed({"node": "representative", "component": "identity"}), "representative").select("id", "identity")
     j = mentions.join(of, "id", "left").withColumn("identity", F.coalesce("identity", "id"))
     return j.groupBy("identity").agg(F.count(F.lit(1)).alias("n_mentions"), F.max_by("name", F.struct(F.length("name"), -F.col("id"))).alias("canonical_name"))
+
+
+def resolver_pairs(records: DataFrame, threshold: float = 0.7, block: str | None = "kind") -> DataFrame:
+    """(left, right, similarity): records (id, name, vector, kind) that mean the same: two with vectors if (cosine + 1) / 2 reaches the
+    threshold, others by the word Jaccard of their names; of one kind, or with block=None of any."""
+    from .vectors import cosine_pairs
+
+    by_vector = cosine_pairs(records.where("vector IS NOT NULL"), 2 * threshold - 1, "id", "vector", block).select("left", "right", ((F.col("cosine") + 1) / 2).alias("similarity"))
+    # A text may stand with a vector here and without one there: each of the two is named by its own smallest key.
+    bare, has = F.when(F.col("vector").isNull(), F.col("id")), F.when(F.col("vector").isNotNull(), F.col("id"))
+    of = records.where("name IS NOT NULL").groupBy("name", *([block] if block else [])).agg(F.min("id").alias("rep"), F.min(bare).alias("bare"), F.min(has).alias("has"))
+    side = lambda x: of.select(F.col("rep").alias(x), F.col("bare").alias(f"{x}_bare"), F.col("has").alias(f"{x}_has"))
+    named = jaccard_pairs(records, threshold, block=block).select("left", "right", "similarity").join(side("left"), "left").join(side("right"), "right")
+    ends = F.filter(F.array(*[F.struct(F.col(f"left_{a}").alias("a"), F.col(f"right_{b}").alias("b")) for a, b in (("bare", "bare"), ("bare", "has"), ("has", "bare"))]), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
+    by_name = named.select(F.explode(ends).alias("x"), "similarity").select(F.least("x.a", "x.b").alias("left"), F.greatest("x.a", "x.b").alias("right"), "similarity")
+    return by_vector.unionByName(by_name)

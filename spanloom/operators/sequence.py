@@ -9,11 +9,13 @@ from pyspark.sql import Window
 
 
 def tokens_of(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(seq, pos, token, start_char, end_char): words between blanks, with offsets."""
-    words = F.split(text, " ")
-    ends = F.expr(f"aggregate(split({text}, ' '), cast(array() as array<int>), (acc, w) -> concat(acc, array(coalesce(try_element_at(acc, -1), -1) + 1 + length(w))))")
-    r = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("seq"), F.posexplode(F.arrays_zip(words.alias("w"), ends.alias("e"))).alias("pos", "x"))
-    return r.select("seq", "pos", F.col("x.w").alias("token"), (F.col("x.e") - F.length("x.w")).alias("start_char"), F.col("x.e").alias("end_char")).where("token <> ''")
+    """(seq, pos, token, start_char, end_char): words between blanks, with offsets: the lengths of the words before, summed by a
+    window, so a long text costs no more a word than a short one."""
+    r = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("seq"), F.posexplode(F.split(text, " ")).alias("pos", "token"))
+    w = Window.partitionBy("seq").orderBy("pos")
+    end = (F.sum(F.length("token") + 1).over(w) - 1).cast("int")
+    r = r.withColumn("end_char", end)
+    return r.select("seq", "pos", "token", (F.col("end_char") - F.length("token")).alias("start_char"), "end_char").where("token <> ''")
 
 
 def tag_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -29,12 +31,12 @@ def tag_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def bio_to_spans(tokens: DataFrame) -> DataFrame:
-    """(seq, first_pos, last_pos, label, surface): islands of tags; a B, a change of label or a gap starts a new one, an I
-    without a beginning starts one, too."""
+    """(seq, first_pos, last_pos, label, surface): islands of tags of any scheme (IOB1, IOB2, IOE1, IOE2, IOBES, BILOU). A B, S or U,
+    a change of label, a gap, or an end (E, L, S, U) before it starts a new one; an I without a beginning starts one, too."""
     w = Window.partitionBy("seq").orderBy("pos")
-    label = F.when(F.col("tag") != "O", F.regexp_replace("tag", "^[BIESL]-", ""))
-    t = tokens.withColumn("label", label).withColumn("previous", F.lag("label").over(w))
-    start = F.col("label").isNotNull() & (F.col("tag").startswith("B-") | F.col("tag").startswith("S-") | ~F.col("label").eqNullSafe(F.col("previous")))
+    label = F.when(F.col("tag") != "O", F.regexp_replace("tag", "^[BIESLU]-", ""))
+    t = tokens.withColumn("label", label).withColumns({"previous": F.lag("label").over(w), "ended": F.coalesce(F.lag("tag").over(w).rlike("^[ELSU]-"), F.lit(False))})
+    start = F.col("label").isNotNull() & (F.col("tag").rlike("^[BSU]-") | F.col("ended") | ~F.col("label").eqNullSafe(F.col("previous")))
     t = t.withColumn("island", F.sum(start.cast("int")).over(w)).where("label IS NOT NULL")
     g = t.groupBy("seq", "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x"))
     return g.select("seq", "first_pos", "last_pos", "label", F.array_join(F.col("x.token"), " ").alias("surface"))

@@ -141,17 +141,31 @@ def coref_lea(spark, d):
     return _round(E.lea(*_coref(spark, d)), "precision", "recall", "f1")
 
 
-@query("coref_ceaf_e")
+def _ceaf(score: str, size: str) -> str:
+    """Cells of a document, the best first, each taken if neither of its clusters is."""
+    return f"""{_COREF}, {_CELLS}, o AS (SELECT doc_id, k AS ck, r AS cr, {score} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY {score} DESC, k, r) AS i FROM x),
+        w AS (SELECT doc_id, 0::BIGINT AS i, 0.0::DOUBLE AS s, []::VARCHAR[] AS ks, []::VARCHAR[] AS rs FROM (SELECT DISTINCT doc_id FROM o)
+        UNION ALL SELECT o.doc_id, o.i, CASE WHEN list_contains(w.ks, o.ck) OR list_contains(w.rs, o.cr) THEN w.s ELSE w.s + o.s END, CASE WHEN list_contains(w.ks, o.ck) OR list_contains(w.rs, o.cr) THEN w.ks ELSE list_append(w.ks, o.ck) END, CASE WHEN list_contains(w.ks, o.ck) OR list_contains(w.rs, o.cr) THEN w.rs ELSE list_append(w.rs, o.cr) END FROM w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1),
+        z AS (SELECT sum(s) AS s FROM (SELECT arg_max(s, i) AS s FROM w GROUP BY doc_id)), s AS (SELECT s / (SELECT {size.format(n='nr')} FROM nr) AS precision, s / (SELECT {size.format(n='nk')} FROM nk) AS recall FROM z)"""
+
+
+_CEAF_E, _CEAF_M = _ceaf("c::DOUBLE", "sum({n})"), _ceaf("2 * c / (nk + nr)::DOUBLE", "count(*)")
+
+
+@query("coref_ceaf_e", f"WITH RECURSIVE {_CEAF_E} SELECT {_F} FROM s")
 def coref_ceaf_e(spark, d):
     return _round(E.ceaf(*_coref(spark, d)), "precision", "recall", "f1")
 
 
-@query("coref_ceaf_m")
+@query("coref_ceaf_m", f"WITH RECURSIVE {_CEAF_M} SELECT {_F} FROM s")
 def coref_ceaf_m(spark, d):
     return _round(E.ceaf(*_coref(spark, d), dice=True), "precision", "recall", "f1")
 
 
-@query("coref_conll")
+_MUC_F = "mu AS (SELECT (SELECT sum(n - q) / sum(n - 1)::DOUBLE FROM (SELECT sum(c) AS n, count(DISTINCT k) AS q FROM c GROUP BY doc_id, r HAVING sum(c) > 1)) AS p, (SELECT sum(n - q) / sum(n - 1)::DOUBLE FROM (SELECT sum(c) AS n, count(DISTINCT r) AS q FROM c GROUP BY doc_id, k HAVING sum(c) > 1)) AS r), bc AS (SELECT sum(c * c / nr::DOUBLE) / sum(c) AS p, sum(c * c / nk::DOUBLE) / sum(c) AS r FROM x)"
+
+
+@query("coref_conll", f"WITH RECURSIVE {_CEAF_E}, {_MUC_F} SELECT round((2 * mu.p * mu.r / (mu.p + mu.r) + 2 * bc.p * bc.r / (bc.p + bc.r) + 2 * s.precision * s.recall / (s.precision + s.recall)) / 3, 9) AS conll_f1 FROM mu, bc, s")
 def coref_conll(spark, d):
     k, r = _coref(spark, d)
     one = E.muc(k, r).select(F.col("f1").alias("a")).join(E.b_cubed(k, r).select(F.col("f1").alias("b"))).join(E.ceaf(k, r).select(F.col("f1").alias("c")))
@@ -189,6 +203,19 @@ def coref_chain_strata(spark, d):
     return E.chain_strata(_coref(spark, d)[0])
 
 
+_SZ = lambda n: f"CASE WHEN {n} = 1 THEN 'singleton' WHEN {n} <= 10 THEN 'short' ELSE 'long' END"
+
+
+@query("coref_lea_by_stratum", f"WITH {_COREF}, {_CELLS}, a AS (SELECT {_SZ('nk')} AS stratum, sum({_SIDE.format(n='nk', o='nr')} * nk) AS g FROM x GROUP BY 1), b AS (SELECT {_SZ('nr')} AS stratum, sum({_SIDE.format(n='nr', o='nk')} * nr) AS g FROM x GROUP BY 1), ak AS (SELECT {_SZ('nk')} AS stratum, sum(nk) AS t FROM nk GROUP BY 1), bk AS (SELECT {_SZ('nr')} AS stratum, sum(nr) AS t FROM nr GROUP BY 1), s AS (SELECT stratum, coalesce(b.g / bk.t, 0) AS precision, coalesce(a.g / ak.t, 0) AS recall FROM ak FULL JOIN bk USING (stratum) LEFT JOIN a USING (stratum) LEFT JOIN b USING (stratum)) SELECT stratum, {_F} FROM s")
+def coref_lea_by_stratum(spark, d):
+    return _round(E.lea_by_stratum(*_coref(spark, d)), "precision", "recall", "f1")
+
+
+@query("coref_by_document", f"WITH {_COREF}, {_CELLS}, d AS (SELECT doc_id, sum(c * c / nr::DOUBLE) / sum(c) AS p, sum(c * c / nk::DOUBLE) / sum(c) AS r FROM x GROUP BY doc_id), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM d), s AS (SELECT count(*) AS n_docs, avg(p) AS precision, avg(r) AS recall, avg(f) AS m, stddev_pop(f) AS sd FROM f) SELECT n_docs, {_F}, round(sd, 9) AS sd_f1, round(greatest(0, m - 1.96 * sd / sqrt(n_docs)), 9) AS low, round(least(1, m + 1.96 * sd / sqrt(n_docs)), 9) AS high FROM s")
+def coref_by_document(spark, d):
+    return _round(E.b_cubed_by_document(*_coref(spark, d)), "precision", "recall", "f1", "sd_f1", "low", "high")
+
+
 @query("ner_per_document", f"WITH {_M}, gc AS (SELECT doc_id, start_char, end_char, label, count(*) AS n FROM g GROUP BY ALL), pc AS (SELECT doc_id, start_char, end_char, label, count(*) AS n FROM p GROUP BY ALL), j AS (SELECT doc_id, sum(coalesce(gc.n, 0)) AS a, sum(coalesce(pc.n, 0)) AS b, sum(least(coalesce(gc.n, 0), coalesce(pc.n, 0))) AS c FROM gc FULL JOIN pc USING (doc_id, start_char, end_char, label) GROUP BY doc_id), x AS (SELECT coalesce(2 * (c / nullif(b, 0)::DOUBLE) * (c / nullif(a, 0)::DOUBLE) / nullif(c / nullif(b, 0)::DOUBLE + c / nullif(a, 0)::DOUBLE, 0), 0) AS f FROM j), s AS (SELECT count(*) AS n_docs, avg(f) AS m, stddev_pop(f) AS s FROM x) SELECT n_docs, round(m, 9) AS mean_f1, round(s, 9) AS sd_f1, round(greatest(0, m - 1.96 * s / sqrt(n_docs)), 9) AS low, round(least(1, m + 1.96 * s / sqrt(n_docs)), 9) AS high FROM s")
 def ner_per_document(spark, d):
     return _round(E.per_document(*_models(spark, d), _KEYS), "mean_f1", "sd_f1", "low", "high")

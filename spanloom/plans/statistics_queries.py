@@ -166,3 +166,10 @@ def centroid_distance(spark, d):
     m = x.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     j = m.withColumnsRenamed({"label": "label_a", "m": "a"}).join(m.withColumnsRenamed({"label": "label_b", "m": "b"}), "i").where("label_a < label_b")
     return j.groupBy("label_a", "label_b").agg(F.round(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))), 6).alias("distance"))
+
+
+@query("embedding_pairs", f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_COS.replace('v.', 'a.').replace('q.', 'b.')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND {_COS.replace('v.', 'a.').replace('q.', 'b.')} >= 0.35")
+def embedding_pairs(spark, d):
+    """Vectors of one label that lie near each other."""
+    e = V.cosine_pairs(t(spark, d, "embeddings"), 0.35, block="label")
+    return e.select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.round("cosine", 6).alias("cosine"))

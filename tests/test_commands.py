@@ -272,3 +272,70 @@ def test_numbers_and_selection(spark):
     assert (s.n, round(s["mean"], 9), round(s.sd, 9)) == (3, 0.9, 0.1) and s.low < 0.9 < s.high
     with pytest.raises(ValueError):
         A.to_annotate(v, "luck", 3)
+
+
+def test_lexicon_and_registry(spark):
+    from spanloom.operators import lexicon as L
+
+    text = "HARBOUR mill, and the Harbour Mill-Company; harbour"
+    d = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")
+    x = spark.createDataFrame([("Harbour Mill", "ORG"), ("harbour-mill company", "ORG"), ("harbour", "LOC"), ("Harbour", "X"), (None, "Y"), ("--", "Y")], "name string, label string")
+    got = {(r.surface, r.label) for r in L.lexicon_entities(d, x).collect()}
+    assert got == {("HARBOUR mill", "ORG"), ("Harbour Mill", "ORG"), ("Harbour Mill-Company", "ORG"), *((w, k) for w in ("HARBOUR", "Harbour", "harbour") for k in ("LOC", "X"))}
+    for r in L.lexicon_entities(d, x).collect():
+        assert text[r.start_char : r.end_char] == r.surface
+    assert L.lexicon_entities(d, x.limit(0)).count() == 0
+    r = L.Registry().entity("PER", "people", [1.0, 0.0]).entity("ORG", "", [0.0, 1.0]).relation("OF", "", [1.0, 0.0])
+    with pytest.raises(ValueError):
+        r.entity("PER")
+    v = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.0, 2.0]), (3, [-1.0, -1.0]), (4, None)], "key int, vector array<double>")
+    assert {(x.key, x.label) for x in L.nearest_labels(v, r.table(spark)).collect()} == {(1, "PER"), (2, "ORG")}
+
+
+def test_harness_and_reports(spark):
+    from spanloom.operators import harness as H
+
+    x = D.synthetic(spark, 40)
+    g = H.grid(x, ["default", "pattern_only"], ["letters", "business"])
+    rows = {(r.stack, r.domain, r["mode"]): r for r in g.collect()}
+    assert len(rows) == 16 and rows["pattern_only", "letters", "strict"].precision == 1.0
+    s = H.by_stratum(x, "pattern_only")
+    assert {r.f1 for r in s.collect() if r.label == "EMAIL"} == {1.0}
+    assert json.loads(H.report(g, "a"))["columns"][0] == "stack" and "<table>" in H.report_html(g, "a & b") and "a &amp; b" in H.report_html(g, "a & b")
+    with pytest.raises(ValueError):
+        H.report(g, "a", 3)
+    t = H.Timers()
+    with t.stretch("x"), t.stretch("y"):
+        pass
+    with t.stretch("x"):
+        pass
+    assert [(r["name"], r["count"]) for r in t.rows()] == [("x", 2), ("y", 1)]
+
+
+def test_tags_of_all_schemes(spark):
+    from spanloom.operators import sequence as Q
+
+    def spans(tags):
+        df = spark.createDataFrame([(1, k, f"w{k}", x) for k, x in enumerate(tags.split())], "seq int, pos int, token string, tag string")
+        return [(r.first_pos, r.last_pos, r.label) for r in Q.bio_to_spans(df).orderBy("first_pos").collect()]
+
+    assert spans("B-A I-A B-A O I-B") == [(0, 1, "A"), (2, 2, "A"), (4, 4, "B")]
+    assert spans("I-A E-A I-A E-A O") == [(0, 1, "A"), (2, 3, "A")]
+    assert spans("S-A S-A B-A I-A E-A S-B") == [(0, 0, "A"), (1, 1, "A"), (2, 4, "A"), (5, 5, "B")]
+    assert spans("U-A B-A L-A U-A") == [(0, 0, "A"), (1, 2, "A"), (3, 3, "A")] and spans("I-A I-B") == [(0, 0, "A"), (1, 1, "B")]
+
+
+def test_boxes_and_late_interaction(spark):
+    from spanloom.operators import resolve as RS
+    from spanloom.operators import vectors as VV
+
+    arr = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    row = spark.range(1).select(
+        VV.box_contains(arr(1, 1), arr(2, 2), arr(0, 0), arr(3, 3)).alias("c"), VV.box_contains(arr(0, 0), arr(3, 3), arr(1, 1), arr(2, 2)).alias("n"), VV.box_disjoint(arr(0), arr(1), arr(2), arr(3)).alias("d"),
+        VV.box_centre(arr(0, 2), arr(2, 4)).alias("m"), VV.box_size(arr(0, 5), arr(2, 4)).alias("s"), VV.adaptive_box(arr(3, 4), 0.1)[0].alias("a"), VV.max_sim(F.array(arr(1, 0), arr(0, 1)), F.array(arr(2, 0), arr(1, 3))).alias("l"),
+    ).first()
+    assert (row.c, row.n, row.d, row.m, row.s, [round(x, 9) for x in row.a], row.l) == (True, False, True, [1.0, 3.0], [2.0, 0.0], [2.49, 3.49], 5.0)
+    rows = [(1, "a b c", [1.0, 0.0], "PER"), (2, "x y z", [0.99, 0.1], "PER"), (3, "a b c", [0.0, 1.0], "PER"), (4, "a b c d", None, "PER"), (5, "a b c", [1.0, 0.0], "ORG"), (6, "x y z w", None, "PER")]
+    df = spark.createDataFrame(rows, "id bigint, name string, vector array<double>, kind string")
+    got = {(r.left, r.right) for r in RS.resolver_pairs(df, 0.7).collect()}
+    assert got == {(1, 2), (1, 4), (2, 6)}
