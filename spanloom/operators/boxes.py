@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .vectors import intersection, volume
 
 
@@ -83,3 +84,40 @@ def train_boxes(pairs: DataFrame, vectors: DataFrame, radius: float = 0.5, margi
             theta -= rate * min(1.0, step / 20) * (m / (1 - 0.9**step)) / (np.sqrt(top) + 1e-8)
     e = np.exp(theta[:, d:])
     return {i: (theta[k, :d] - e[k], theta[k, :d] + e[k]) for i, k in at.items()}
+
+
+def train_boxes_table(pairs: DataFrame, vectors: DataFrame, radius: float = 0.5, margin: float = 0.3, negative_weight: float = 0.5, rate: float = 0.05, epochs: int = 30) -> DataFrame:
+    """(id, low, high): the same training for any number of identities. All pairs are seen at once in every epoch: centres and
+    widths are a table that pairs (left, right, same) meet twice, gradients are summed by identity and dimension (pre-aggregated
+    before the shuffle, so an identity in very many pairs is no hot key), and each epoch is written to the shared folder."""
+    scratch = Scratch(vectors.sparkSession, "boxes")
+    first = vectors.where("vector IS NOT NULL").select("id", F.posexplode(F.col("vector").cast("array<double>")).alias("d", "c"))
+    zero = F.lit(0.0)
+    theta, path = scratch.write(first.select("id", "d", "c", F.lit(float(np.log(radius))).alias("h"), *[zero.alias(x) for x in ("mc", "mh", "sc", "sh", "tc", "th")]))
+    p, p_path = scratch.write(pairs.where("left IS NOT NULL AND right IS NOT NULL").select("left", "right", F.coalesce("same", F.lit(False)).alias("same")))
+    for step in range(1, epochs + 1):
+        side = lambda name, x: theta.select(F.col("id").alias(name), "d", F.col("c").alias(f"{x}c"), F.exp("h").alias(f"{x}e"))  # noqa: B023, E731
+        j = p.join(side("left", "a"), "left").join(side("right", "b"), ["right", "d"])
+        gap = F.col("ac") - F.col("bc")
+        j = j.select("left", "right", "d", "same", "ae", "be", F.signum(gap).alias("sign"), (F.abs(gap) - F.col("ae") - F.col("be")).alias("apart"))
+        worst = j.where(~F.col("same")).groupBy("left", "right").agg(F.max("apart").alias("worst"))
+        j = j.join(worst, ["left", "right"], "left")
+        pull = F.when(F.col("same") & (F.col("apart") > -margin), 1.0).otherwise(0.0)
+        push = F.when(~F.col("same") & (F.col("apart") == F.col("worst")) & (F.col("apart") < margin), negative_weight).otherwise(0.0)
+        j = j.withColumn("t", pull - push)
+        ends = F.array(*[F.struct(F.col(i).alias("id"), (F.col("sign") * F.col("t") * s).alias("gc"), (-F.col("t") * F.col(e)).alias("gh")) for i, s, e in (("left", 1, "ae"), ("right", -1, "be"))])
+        g = j.select("d", F.inline(ends)).groupBy("id", "d").agg(F.sum("gc").alias("gc"), F.sum("gh").alias("gh"))
+        x = theta.join(g, ["id", "d"], "left").na.fill(0.0, ["gc", "gh"])
+        new = {}
+        for k in "ch":
+            new |= {f"m{k}": 0.9 * F.col(f"m{k}") + 0.1 * F.col(f"g{k}"), f"s{k}": 0.999 * F.col(f"s{k}") + 0.001 * F.col(f"g{k}") * F.col(f"g{k}")}
+        x = x.withColumns(new).withColumns({f"t{k}": F.greatest(f"t{k}", f"s{k}") for k in "ch"})
+        pace = rate * min(1.0, step / 20) / (1 - 0.9**step)
+        x = x.withColumns({k: F.col(k) - pace * F.col(f"m{k}") / (F.sqrt(f"t{k}") + 1e-8) for k in "ch"})
+        written, new_path = scratch.write(x.select(*theta.columns))
+        scratch.drop(path)
+        theta, path = written, new_path
+    scratch.drop(p_path)
+    e = F.exp("h")
+    at = theta.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", (F.col("c") - e).alias("low"), (F.col("c") + e).alias("high")))).alias("x"))  # as many as dimensions
+    return at.select("id", F.col("x.low").alias("low"), F.col("x.high").alias("high"))

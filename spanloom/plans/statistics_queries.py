@@ -135,11 +135,11 @@ def cosine_topk(spark, d):
     return V.search(e, e.where("vec_id % 20 = 0"), 5).select("query_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("binary_hash_topk", f"SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, round({_COS}, 6) AS similarity FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: ((v.embedding[i] > 0) <> (q.embedding[i] > 0))::INT)) <= len(v.embedding) * 0.4 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) <= 5")
+@query("binary_hash_topk", f"SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, round({_COS}, 6) AS similarity FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: ((v.embedding[i] > 0) <> (q.embedding[i] > 0))::INT)) <= len(v.embedding) * 0.47 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) <= 5")
 def binary_hash_topk(spark, d):
     e = t(spark, d, "embeddings")
     n = len(e.first()["embedding"])
-    return V.search(e, e.where("vec_id % 20 = 0"), 5, max_hamming=int(n * 0.4)).select("query_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
+    return V.search(e, e.where("vec_id % 20 = 0"), 5, max_hamming=int(n * 0.47)).select("query_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("box_overlap", "WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_transform(range(1, len(a.embedding) + 1), lambda i: greatest(0, 4 - abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)) / 4) AS s FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT left_id, right_id, round(list_product(s), 6) AS score FROM p")

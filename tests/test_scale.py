@@ -137,3 +137,17 @@ def test_very_long_text_is_linear():
         H.heuristic_spans(text), H.rule_spans(text)
         took.append(time.time() - began)
     assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_boxes_are_trained_as_a_table(spark):
+    from spanloom.operators import boxes as B
+
+    vec = spark.createDataFrame([(i, [float(i % 2) * 3 + 0.2 * i, 0.1 * i]) for i in range(6)] + [(99, None)], "id bigint, vector array<double>")
+    pairs = spark.createDataFrame([(i, j, i % 2 == j % 2) for i in range(6) for j in range(i)] + [(1, 77, True), (None, 2, True)], "left bigint, right bigint, same boolean")
+    got = {r.id: (r.low, r.high) for r in B.train_boxes_table(pairs, vec, epochs=6, rate=0.3).collect()}
+    assert set(got) == set(range(6)) and all(a < b for low, high in got.values() for a, b in zip(low, high))
+    share = lambda a, b: max(0.0, min(got[a][1][0], got[b][1][0]) - max(got[a][0][0], got[b][0][0])) * max(0.0, min(got[a][1][1], got[b][1][1]) - max(got[a][0][1], got[b][0][1]))
+    same = [share(i, j) for i in range(6) for j in range(i) if i % 2 == j % 2]
+    other = [share(i, j) for i in range(6) for j in range(i) if i % 2 != j % 2]
+    assert min(same) > max(other)
+    assert B.train_boxes_table(pairs, vec.limit(0), epochs=1).count() == 0
