@@ -153,6 +153,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a.add_argument("--most", type=int)
     a.add_argument("--levels", type=int, default=3)
     a.add_argument("--max_gap", type=int, default=50)
+    a.add_argument("--form", default="full", choices=T.FORMS, help="how much of enhanced documents")
     a.add_argument("--out")
     a.add_argument("--format", default=None, choices=[*FORMATS, "html", "tree"])
     a.add_argument("--master", default=None)
@@ -201,7 +202,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif o.command == "analyze":
         df = analyzed(spark, o.paths, o.models.split(","))
     elif o.command == "enhance":
-        df = _lines(with_identities(with_tracks(read_grounded(spark, o.paths)), o.threshold))
+        df = T.exported(with_identities(with_tracks(read_grounded(spark, o.paths)), o.threshold), o.form).select("json")
     elif o.command == "crossdoc":
         g = read_grounded(spark, o.paths)
         df = T.cluster_filter(identities_in(with_identities(with_tracks(g), o.threshold)), o.least_tracks, o.cross_document, labels, o.most)

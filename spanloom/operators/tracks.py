@@ -157,6 +157,21 @@ def grounded_json(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.to_json(F.struct("doc_id", "text", "signals", "tracks")).alias("json"))
 
 
+FORMS = ("full", "signals", "minimal")
+
+
+def exported(documents: DataFrame, form: str = "full") -> DataFrame:
+    """(doc_id, json) of grounded documents: all of them, only their signals, or only surfaces with labels."""
+    if form not in FORMS:
+        raise ValueError(f"{form}: one of {', '.join(FORMS)}")
+    if form == "full":
+        return grounded_json(documents)
+    if form == "signals":
+        return documents.select("doc_id", F.to_json(F.struct("doc_id", "signals")).alias("json"))
+    pairs = F.transform("signals", lambda x: F.struct(x["surface"].alias("text"), x["label"].alias("label")))
+    return documents.select("doc_id", F.to_json(F.struct("doc_id", pairs.alias("entities"))).alias("json"))
+
+
 def from_grounded_json(lines: DataFrame, column: str = "value") -> DataFrame:
     """Grounded documents of JSON lines; a line that is no such object is dropped."""
     x = lines.select(F.from_json(column, GROUNDED).alias("x")).select("x.*")

@@ -123,9 +123,9 @@ def span_candidates(spark, d):
     return X.span_candidates(n, 3)
 
 
-@query("entity_prompts", "SELECT doc_id, length('Find every entity of these types: PER, ORG.' || chr(10) || 'Answer with a JSON array of objects with text, type, start and end.' || chr(10) || 'Text:' || chr(10) || text) AS n FROM documents WHERE text IS NOT NULL")
+@query("entity_prompts", "SELECT doc_id, 'Find every entity of these types: PER, ORG.' || chr(10) || 'Answer with a JSON array of objects with text, type, start and end.' || chr(10) || 'Text:' || chr(10) || text AS prompt FROM documents WHERE text IS NOT NULL")
 def entity_prompts(spark, d):
-    return X.prompts(read_texts(spark, d), ["PER", "ORG"]).select("doc_id", F.length("prompt").alias("n"))
+    return X.prompts(read_texts(spark, d), ["PER", "ORG"])
 
 
 @query("parsed_responses", "SELECT doc_id, text, label AS type, start_char AS start, end_char AS end_ FROM predictions WHERE start_char IS NOT NULL AND end_char IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL")

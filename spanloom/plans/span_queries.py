@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_label
 from ..operators import patterns as P
 from ..operators import spans as S
 from ..queries import query
 from ..session import read_table as t
 from ..session import read_texts
+from .text_queries import LABEL
 
 
 def _pattern(name: str, pattern: str, spark_pattern: str | None = None) -> None:
@@ -85,10 +87,18 @@ def proximity_pairs(spark, d):
     return S.proximity_pairs(t(spark, d, "predictions"), 30).withColumnsRenamed({"left": "left_id", "right": "right_id"})
 
 
-@query("valid_at", "SELECT kb_id, kb_name FROM kb_entities WHERE updated_at <= TIMESTAMPTZ '2023-01-01 00:00:00+00'")
+@query("valid_at", "SELECT pred_id FROM predictions WHERE (extracted_at IS NULL OR extracted_at <= TIMESTAMPTZ '2024-09-01 00:00:00+00') AND (ingested_at IS NULL OR ingested_at >= TIMESTAMPTZ '2024-09-01 00:00:00+00')")
 def valid_at(spark, d):
-    kb = t(spark, d, "kb_entities").withColumn("until", F.lit(None).cast("timestamp"))
-    return S.valid_at(kb, F.expr("TIMESTAMP '2023-01-01 00:00:00Z'"), "updated_at", "until").select("kb_id", "kb_name")
+    """Entities extracted by a moment and ingested from it on: both bounds inclusive, null is open."""
+    return S.valid_at(t(spark, d, "predictions"), F.expr("TIMESTAMP '2024-09-01 00:00:00Z'"), "extracted_at", "ingested_at").select("pred_id")
+
+
+@query("valid_at_event", "SELECT k.kb_id, e.event_id FROM kb_entities k JOIN (SELECT event_id, ts FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) = 1) e ON k.updated_at IS NULL OR k.updated_at <= e.ts")
+def valid_at_event(spark, d):
+    """Catalogue entries that were current at the last event."""
+    e = t(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(1).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    kb = t(spark, d, "kb_entities").withColumns({"from_": F.col("updated_at").cast("timestamp"), "until": F.lit(None).cast("timestamp")}).join(F.broadcast(e))  # one row
+    return S.valid_at(kb, F.col("ts"), "from_", "until").select("kb_id", "event_id")
 
 
 @query(
@@ -101,11 +111,13 @@ def document_stats(spark, d):
 
 @query(
     "nearest_antecedent",
-    f"""WITH x AS (SELECT doc_id, pred_id, label, last_value(CASE WHEN label = 'ORG' THEN pred_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY start_char, end_char, pred_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent FROM {_LOC})
-        SELECT doc_id, pred_id, antecedent FROM x WHERE label = 'PER' AND antecedent IS NOT NULL""",
+    f"""WITH l AS (SELECT *, {LABEL} AS kind FROM {_LOC}), x AS (SELECT doc_id, pred_id, kind, last_value(CASE WHEN kind = 'ORG' THEN pred_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY start_char, end_char, pred_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent FROM l)
+        SELECT doc_id, pred_id, antecedent FROM x WHERE kind = 'PER' AND antecedent IS NOT NULL""",
 )
 def nearest_antecedent(spark, d):
-    return S.nearest_before(t(spark, d, "predictions"), F.col("label") == "PER", F.col("label") == "ORG")
+    """The last organisation before each person, whatever the notation of their labels."""
+    p = t(spark, d, "predictions").withColumn("kind", canonical_label(F.col("label")))
+    return S.nearest_before(p, F.col("kind") == "PER", F.col("kind") == "ORG")
 
 
 @query(

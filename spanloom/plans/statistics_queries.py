@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import canonical_label
+from ..functions.text import canonical_label, char_ngrams
 from ..operators import statistics as Z
 from ..operators import vectors as V
 from ..queries import query
@@ -102,13 +102,18 @@ def stratified_sample(spark, d):
     return Z.stratified_sample(t(spark, d, "documents"), "genre", "doc_id", 0.1).select("doc_id")
 
 
-@query("ood_coverage", "WITH g AS (SELECT entity_type, kb_name, unnest(list_distinct(list_transform(range(1, greatest(length(kb_name) - 1, 2)), lambda i: substring(lower(kb_name), i, 3)))) AS g FROM kb_entities), seen AS (SELECT DISTINCT g FROM g WHERE entity_type = 'PER') SELECT entity_type, count(*) AS grams, round(avg((g IN (SELECT g FROM seen))::INT), 9) AS coverage FROM g GROUP BY entity_type")
-def ood_coverage(spark, d):
-    from ..functions.text import char_ngrams
+_G3 = "list_distinct(CASE WHEN length({c}) < 3 THEN [{c}] ELSE list_transform(range(1, length({c}) - 1), lambda i: substring({c}, i, 3)) END)"
+
 
-    g = t(spark, d, "kb_entities").select("entity_type", "kb_name", F.explode(F.array_distinct(char_ngrams(F.lower("kb_name"), 3))).alias("g"))
-    seen = g.where("entity_type = 'PER'").select("g").distinct().withColumn("hit", F.lit(1))
-    return g.join(seen, "g", "left").groupBy("entity_type").agg(F.count(F.lit(1)).alias("grams"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("coverage"))
+@query("ood_coverage", f"WITH seen AS (SELECT DISTINCT unnest({_G3.format(c='lower(kb_name)')}) AS g FROM kb_entities WHERE kb_name IS NOT NULL), t AS (SELECT lower(text) AS t, count(*) AS n FROM predictions WHERE text IS NOT NULL GROUP BY 1), g AS (SELECT t, n, unnest({_G3.format(c='t')}) AS g FROM t), c AS (SELECT t, n, avg((g IN (SELECT g FROM seen))::INT) AS c FROM g GROUP BY ALL) SELECT CASE WHEN c >= 0.8 THEN 'known' WHEN c >= 0.5 THEN 'partly' ELSE 'unknown' END AS coverage, count(*) AS texts, sum(n)::BIGINT AS mentions FROM c GROUP BY 1")
+def ood_coverage(spark, d):
+    """How far the trigrams of the catalogue cover the texts of all predictions; equal texts are judged once."""
+    grams = lambda c: F.array_distinct(char_ngrams(F.lower(c), 3))
+    seen = t(spark, d, "kb_entities").where("kb_name IS NOT NULL").select(F.explode(grams("kb_name")).alias("g")).distinct().withColumn("hit", F.lit(1))
+    n = t(spark, d, "predictions").where("text IS NOT NULL").groupBy(F.lower("text").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    c = n.select("t", "n", F.explode(grams("t")).alias("g")).join(seen, "g", "left").groupBy("t", "n").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("c"))
+    band = F.when(F.col("c") >= 0.8, "known").when(F.col("c") >= 0.5, "partly").otherwise("unknown")
+    return c.groupBy(band.alias("coverage")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("mentions"))
 
 
 @query("uncertainty_sampling", "SELECT pred_id, round(1 - confidence, 9) AS score FROM predictions WHERE confidence BETWEEN 0 AND 1 ORDER BY score DESC, pred_id LIMIT 50")

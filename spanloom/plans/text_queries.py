@@ -26,9 +26,9 @@ def clean_text(spark, d):
     return read_texts(spark, d).where("text IS NOT NULL").select("doc_id", X.clean_whitespace(F.col("text")).alias("cleaned"))
 
 
-@query("strip_zero_width", "SELECT doc_id, length(regexp_replace(text, '[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]', '', 'g')) AS n FROM documents WHERE text IS NOT NULL")
+@query("strip_zero_width", "SELECT doc_id, regexp_replace(text, '[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]', '', 'g') AS stripped FROM documents WHERE text IS NOT NULL")
 def strip_zero_width(spark, d):
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(X.strip_zero_width(F.col("text"))).cast("long").alias("n"))
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.strip_zero_width(F.col("text")).alias("stripped"))
 
 
 _COUNTS = ", ".join(f"{w} * (length(text) - length(regexp_replace(text, '{p}', '', 'g'))) AS n_{c}" for c, p, w in X.LANGUAGE_CLASSES)

@@ -51,6 +51,8 @@ def test_extract_enhance_crossdoc_eval_compare(spark, tmp_path, capsys):
     assert spark.read.json(unlinked).count() == sum(len(r.signals) for r in docs)
     v = run(spark, tmp_path, "eval", g, "--gold", e, out="v")
     assert {r["mode"]: r.f1 for r in spark.read.json(v).collect()} == dict.fromkeys(("strict", "exact", "partial", "type"), 1.0)
+    small = [json.loads(r.value) for r in spark.read.text(run(spark, tmp_path, "enhance", g, "--form", "minimal", out="m")).collect()]
+    assert {"text": "$5 million", "label": "MONEY"} in [x for r in small for x in r["entities"]]
     h = run(spark, tmp_path, "extract", f"{tmp_path}/in", "--models", "pattern_only", "--grounded", out="h")
     c = {(r.side, r.text) for r in spark.read.json(run(spark, tmp_path, "compare", g, h, out="c")).collect()}
     assert ("both", "$5 million") in c and ("only_first", "paris") in c and not any(s == "only_second" for s, _ in c)
