@@ -21,8 +21,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -184,7 +184,22 @@ def _stable(text: str, start: int, end: int) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-@lru_cache(100_000)
+def remembered(size: int, longest: int = 64) -> Callable:
+    """What a function of a word says, kept for the last `size` words of at most `longest` characters."""
+
+    def wrap(f: Callable) -> Callable:
+        kept = lru_cache(size)(f)
+
+        @wraps(f)
+        def call(word: str):
+            return kept(word) if len(word) <= longest else f(word)
+
+        return call
+
+    return wrap
+
+
+@remembered(100_000)
 def _anchors(word: str) -> frozenset[str]:
     """Scripts of the letters that have no look-alike elsewhere."""
     out = set()
@@ -201,7 +216,7 @@ def _anchors(word: str) -> frozenset[str]:
     return frozenset(out)
 
 
-@lru_cache(100_000)
+@remembered(100_000)
 def _scripts(word: str) -> frozenset[str]:
     return frozenset("L" if ord(c) < 0x250 else "G" if ord(c) < 0x400 else "C" for c in word if c.isalpha())
 
@@ -262,24 +277,33 @@ def _persian(word: str) -> bool:
     return ZWNJ in word or any(c in PERSIAN_ONLY for c in word)
 
 
+@remembered(200_000)
+def _doubtful(token: str) -> tuple[tuple[int, str], ...]:
+    """(place, word) of the words of a token whose script is to be judged: the same wherever the token stands."""
+    if token.isascii() or not _TWO_SCRIPTS.search(token):
+        return ()
+    out = []
+    for w in _LETTERS.finditer(token):
+        word = w.group()
+        # Letters of other alphabets beside it (Armenian, phonetic script): there these letters are no look-alikes.
+        if _FURTHER.search(word) and (token[w.start() - 1 : w.start()].isalpha() or token[w.end() : w.end() + 1].isalpha()):
+            continue
+        if len(_scripts(word)) < 2 and (_anchors(word) or len(word) < 2 and not _LATIN.search(token) and not (word.isupper() and "." in token)):
+            continue
+        out.append((w.start(), word))
+    return tuple(out)
+
+
 def _edits_of_look_alikes(text: str) -> list[tuple[int, int, str]]:
     out, near = [], _Neighbours(text)
     if _TWO_SCRIPTS.search(text) and (_LATIN.search(text) or any(c in RARE_CYRILLIC for c in text)):
         for m in _TOKEN.finditer(text):
             token = m.group()
-            if not _TWO_SCRIPTS.search(token):
-                continue
-            for w in _LETTERS.finditer(token):
-                word = w.group()
-                # Letters of other alphabets beside it (Armenian, phonetic script): there these letters are no look-alikes.
-                if _FURTHER.search(word) and (token[w.start() - 1 : w.start()].isalpha() or token[w.end() : w.end() + 1].isalpha()):
-                    continue
-                if len(_scripts(word)) < 2 and (_anchors(word) or len(word) < 2 and not _LATIN.search(token) and not (word.isupper() and "." in token)):
-                    continue
+            for at, word in _doubtful(token):
                 own = _own_script(word, token, near, m.start(), m.end())
                 if own:
                     fold = FOLD_TO[own]
-                    out += [(m.start() + w.start() + k, m.start() + w.start() + k + 1, fold[c]) for k, c in enumerate(word) if c in fold]
+                    out += [(m.start() + at + k, m.start() + at + k + 1, fold[c]) for k, c in enumerate(word) if c in fold]
     yeh = chr(0x6CC)
     if yeh in text:
         words = list(_ARABIC_WORD.finditer(text))
