@@ -22,7 +22,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.claims import Claims
-from .canonical_text import apply_edits, canonical_edits
+from .canonical_text import apply_edits, canonical_edits, remembered
 from .deobfuscate import Offsets, moved, plain_edits
 from .name_lexicon import ALSO_WORDS, ARABIC_GIVEN, CHINESE_SURNAMES, NICKNAMES, TITLES
 
@@ -212,11 +212,11 @@ class NameParts:
             if len(g) >= 4 and g not in ALSO_WORDS:
                 for k in {g, *(g[:i] + g[i + 1 :] for i in range(len(g)))}:
                     self._near.setdefault(k, []).append(g)
-        self.is_given_or_near = lru_cache(200_000)(self._is_given_or_near)
-        self.like_surname = lru_cache(200_000)(self._like_surname)
-        self.like_place = lru_cache(200_000)(self._like_place)
-        self.org_word = lru_cache(200_000)(self._org_word)
-        self.no_surname = lru_cache(200_000)(self._no_surname)
+        self.is_given_or_near = remembered(200_000)(self._is_given_or_near)
+        self.like_surname = remembered(200_000)(self._like_surname)
+        self.like_place = remembered(200_000)(self._like_place)
+        self.org_word = remembered(200_000)(self._org_word)
+        self.no_surname = remembered(200_000)(self._no_surname)
         self.other_words = {folded(w) for o in (*organisations, *places) for w in _TOKEN.findall(o)}
 
     def _is_given_or_near(self, word: str) -> int:
