@@ -210,6 +210,8 @@ class Occurrences:
         """(bin, place in `which`) of the chosen pieces."""
         n = self.start[which + 1] - self.start[which]
         owner = np.repeat(np.arange(len(which)), n)
+        if len(which) and which[-1] - which[0] == len(which) - 1 and (np.diff(which) == 1).all():  # neighbours: no need to gather
+            return self.bins[self.start[which[0]] : self.start[which[-1] + 1]], owner
         at = np.repeat(self.start[which] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         return self.bins[at], owner
 
@@ -230,6 +232,7 @@ class Model:
         self.idf = idf.astype(np.float32)
         self.weights = np.zeros((BINS, len(CODES)), np.float32)
         self.temperature = 1.0
+        self._scaled: tuple[np.ndarray, np.ndarray] | None = None
 
     def values(self, bins: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """The TF-IDF weight of each occurrence, of unit length in each piece."""
@@ -242,10 +245,16 @@ class Model:
         if which is None:
             which = np.arange(len(pieces) if isinstance(pieces, list) else len(found.start) - 1)
         out = np.zeros((len(which), len(CODES)), np.float32)
-        for k in range(0, len(which), 2048):
-            part = which[k : k + 2048]
+        # The weight of an occurrence is its inverse document frequency over the length of its piece: the first is put into the
+        # table once, the second divides the sums, so that the wide array is only gathered and added up.
+        if self._scaled is None or self._scaled[0] is not self.weights:
+            self._scaled = (self.weights, self.weights * self.idf[:, None])
+        scaled, squares = self._scaled[1], self.idf * self.idf
+        for k in range(0, len(which), 512):
+            part = which[k : k + 512]
             bins, owner = found.take(part)
-            out[k : k + 2048] = _sums(self.weights[bins] * self.values(bins, owner, len(part))[:, None], owner, len(part))
+            norm = np.sqrt(np.bincount(owner, squares[bins], len(part))) + 1e-9
+            out[k : k + 512] = _sums(scaled[bins], owner, len(part)) / norm[:, None]
         return softmax(out / self.temperature)
 
 
