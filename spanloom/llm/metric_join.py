@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_PIVOTS, MOST_PIVOTS = 16, 512
-PIVOT_SAMPLE, PIVOT_LENGTH = 4000, 64  # strings of the right side among which pivots are looked for, and their length
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE = 16, 1024, 6
+PIVOT_SAMPLE, PIVOT_LENGTH = 4000, 32  # strings of the right side among which pivots are looked for, and their length
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -32,15 +32,15 @@ def levenshtein(a: str, b: str) -> int:
 
 
 def to_many(one: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The distances of a string from many (rows of code points, padded)."""
-    before = np.broadcast_to(np.arange(codes.shape[1] + 1), (len(codes), codes.shape[1] + 1)).copy()
+    """The distances of a string from many (rows of code points, padded). A row of the table is made at once: what an insertion
+    costs is a running minimum over the row less its place."""
+    places = np.arange(codes.shape[1] + 1, dtype=np.int16)
+    before = np.broadcast_to(places, (len(codes), len(places)))
     for i, c in enumerate(one, 1):
-        now = np.empty_like(before)
+        now = np.empty((len(codes), len(places)), np.int16)
         now[:, 0] = i
-        step = np.minimum(before[:, 1:] + 1, before[:, :-1] + (codes != ord(c)))
-        for j in range(codes.shape[1]):
-            now[:, j + 1] = np.minimum(step[:, j], now[:, j] + 1)
-        before = now
+        np.minimum(before[:, 1:] + 1, before[:, :-1] + (codes != ord(c)), out=now[:, 1:])
+        before = np.minimum.accumulate(now - places, axis=1) + places
     return before[np.arange(len(codes)), lengths]
 
 
@@ -55,9 +55,9 @@ def choose_pivots(right: DataFrame, column: str, count: int | None = None) -> li
     if not strings:
         return [r[0] for r in distinct.limit(1).collect()]
     n = len(strings) if len(strings) < PIVOT_SAMPLE else distinct.count()
-    count = count or max(LEAST_PIVOTS, min(MOST_PIVOTS, math.ceil(1.5 * math.sqrt(n))))
+    count = count or max(LEAST_PIVOTS, min(MOST_PIVOTS, math.ceil(PIVOT_RATE * math.sqrt(n))))
     lengths = np.array([len(x) for x in strings])
-    codes = np.zeros((len(strings), max(1, lengths.max())), np.int64)
+    codes = np.zeros((len(strings), max(1, lengths.max())), np.int32)
     for k, x in enumerate(strings):
         codes[k, : len(x)] = [ord(c) for c in x]
     chosen, nearest = [0], to_many(strings[0], codes, lengths)
