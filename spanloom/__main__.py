@@ -12,7 +12,7 @@ python -m spanloom analyze PATH... --models a,b                     what several
 python -m spanloom enhance PATH...                                  grounded documents with tracks and identities
 python -m spanloom crossdoc PATH...                                 identities across grounded documents
 python -m spanloom pipeline PATH...                                 extract, tracks, identities in one go
-python -m spanloom strata PATH...                                   communities of spans that stand near each other
+python -m spanloom communities PATH...                               communities of spans that stand near each other
 python -m spanloom dataset list | load NAME PATH                    registered datasets
 python -m spanloom info                                             extractors, stacks, versions"""
 
@@ -135,7 +135,7 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = argparse.ArgumentParser(prog="spanloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    a.add_argument("command", choices="list run explain extract validate query eval compare analyze enhance crossdoc pipeline strata dataset info".split())
+    a.add_argument("command", choices="list run explain extract validate query eval compare analyze enhance crossdoc pipeline communities dataset info".split())
     a.add_argument("paths", nargs="*")
     a.add_argument("--data", help="folder with the tables")
     a.add_argument("--gold")
@@ -208,7 +208,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         df = T.cluster_filter(identities_in(with_identities(with_tracks(g), o.threshold)), o.least_tracks, o.cross_document, labels, o.most)
     elif o.command == "pipeline":
         df = _lines(with_identities(with_tracks(grounded_of(spark, o.paths, o.models, o.strategy, labels)), o.threshold))
-    elif o.command == "strata":
+    elif o.command == "communities":
         df = G.hierarchy(G.cooccurrence_edges(spans_in(read_grounded(spark, o.paths)), o.max_gap), o.levels)
     else:
         if o.paths[0] != "load" or len(o.paths) != 3:

@@ -62,7 +62,7 @@ def test_extract_enhance_crossdoc_eval_compare(spark, tmp_path, capsys):
     assert all(t.identity_id is not None for r in p for t in r.tracks)
     html = spark.read.json(run(spark, tmp_path, "extract", f"{tmp_path}/in", "--format", "html", out="html")).first().html
     assert "<mark" in html
-    assert spark.read.json(run(spark, tmp_path, "strata", g, "--levels", "2", out="s")).columns == ["level_0_community", "level_1_community", "node"]
+    assert spark.read.json(run(spark, tmp_path, "communities", g, "--levels", "2", out="s")).columns == ["level_0_community", "level_1_community", "node"]
     for words in (["list"], ["info"], ["dataset", "list"]):
         assert cli.main(words) == 0
     assert "conll" in capsys.readouterr().out
