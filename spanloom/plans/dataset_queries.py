@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import perturb as P
 from ..functions import scores as X
-from ..functions.text import canonical_label, char_bucket, label_category
+from ..functions.text import SPACE, canonical_label, char_bucket, label_category
 from ..operators import analysis as A
 from ..operators.patterns import pattern_spans
 from ..operators.vectors import cosine, euclidean
@@ -159,7 +159,7 @@ _EX = f"x AS (SELECT d.doc_id AS key, d.text, e.labels, e.n FROM documents d JOI
 _ASK = "We met the clerk of the harbour office at the depot."
 
 
-@query("demonstrations", f"WITH {_E}, {_EX}, q AS (SELECT list_distinct({_SPLIT(chr(39) + _ASK.lower() + chr(39))}) AS q), s AS (SELECT key, list_distinct({_SPLIT('lower(text)')}) AS w, labels, n * 100.0::DOUBLE / len({_SPLIT('text')}) AS density, q FROM x, q WHERE len({_SPLIT('text')}) > 0), r AS (SELECT key, round(0.4::DOUBLE * len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))) + 0.4::DOUBLE * len(list_intersect(labels, ['PER', 'ORG'])) / 2 + 0.2::DOUBLE * exp(-abs(density - 10) / 5), 9) AS score FROM s) SELECT key, score FROM r WHERE score >= 0.1 ORDER BY score DESC, key LIMIT 20")
+@query("demonstrations", f"WITH {_E}, {_EX}, q AS (SELECT list_distinct({_SPLIT(chr(39) + _ASK.lower() + chr(39))}) AS q), s AS (SELECT key, list_distinct(list_filter(regexp_split_to_array(lower(text), '[{SPACE}]+'), lambda v: v <> '')) AS w, labels, n * 100.0::DOUBLE / len({_SPLIT('text')}) AS density, q FROM x, q WHERE len({_SPLIT('text')}) > 0), r AS (SELECT key, round(0.4::DOUBLE * len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))) + 0.4::DOUBLE * len(list_intersect(labels, ['PER', 'ORG'])) / 2 + 0.2::DOUBLE * exp(-abs(density - 10) / 5), 9) AS score FROM s) SELECT key, score FROM r WHERE score >= 0.1 ORDER BY score DESC, key LIMIT 20")
 def demonstrations(spark, d):
     """A top-k report: the documents that would help most as examples for a given sentence about a person and an organisation."""
     e = _entities(spark, d).groupBy("doc_id").agg(F.collect_set("label").alias("labels"), F.count(F.lit(1)).alias("n"))

@@ -56,10 +56,10 @@ _WEIGHT = "CASE " + " ".join(f"WHEN {c} THEN {w}::DOUBLE" for c, _, w in _OF) +
     "scored_relations",
     f"""WITH x AS (SELECT *, 1 - least(1.0, abs(hm - tm) / greatest(n, 1)) AS near, (coalesce(hc, 0) + coalesce(tc, 0)) / 2 AS mean, {_TOLD} AS told, {_LIKELY} AS likely, {_WEIGHT} AS weight FROM {_both(_pairs(_LOC, 300))}),
         y AS (SELECT *, told IS NOT NULL AND (near * 0.6::DOUBLE + 0.4::DOUBLE) * mean >= 0.3 AS w FROM x), z AS (SELECT doc_id, head_id, tail_id, CASE WHEN w THEN told WHEN near > 0.3 THEN likely END AS relation, CASE WHEN w THEN (near * 0.6::DOUBLE + 0.4::DOUBLE) * mean ELSE near * weight * mean END AS c FROM y)
-        SELECT doc_id, head_id, tail_id, relation, round(c, 6) AS confidence FROM z WHERE relation IS NOT NULL AND c >= 0.3""",
+        SELECT doc_id, head_id, tail_id, relation, round(c, 9) AS confidence FROM z WHERE relation IS NOT NULL AND c >= 0.3""",
 )
 def scored_relations(spark, d):
-    return R.scored_relations(_spans(spark, d), t(spark, d, "documents")).withColumn("confidence", F.round("confidence", 6))
+    return R.scored_relations(_spans(spark, d), t(spark, d, "documents")).withColumn("confidence", F.round("confidence", 9))
 
 
 def _model_relations(model: str) -> str:
