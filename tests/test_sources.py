@@ -51,7 +51,7 @@ def test_writers(spark, tmp_path):
 
 def test_extractors():
     e = {(x[2], x[3], x[4]) for x in X.heuristic_spans("Dr. Smith joined Acme Corp. in Paris with John Doe and the Bank of England. The end.")}
-    assert {("Dr. Smith", "PER", "person_prefix_span"), ("Acme Corp", "ORG", "org_suffix"), ("Paris", "LOC", "known_location"), ("John Doe", "PER", "common_name")} <= e
+    assert {("Dr. Smith", "PER", "with a title"), ("Acme Corp", "ORG", "company ending"), ("Paris", "LOC", "listed place"), ("John Doe", "PER", "listed given name")} <= e
     text = "Ünal saw 任天堂 and Ann Lee."
     assert all(text[a:b] == s for a, b, s, *_ in X.heuristic_spans(text)) and ("任天堂", "ORG") in {(x[2], x[3]) for x in X.heuristic_spans(text)}
     r = X.rule_spans("The Acme Corporation hired Dr. Jane Roe in New York.")
@@ -61,7 +61,9 @@ def test_extractors():
     assert X.resolve_layers([[a, c], [b]], "longest") == [b]
     assert X.resolve_layers([[a, c], [(3, 12, "b", "Y", "r", 0.6)]], "confidence") == [c]
     assert X.resolve_layers([[a], [b]], "union") == [a, b]
-    v = X.event_spans("Acme did not sign the deal. Bob will meet Ann.")
+    from spanloom.operators import coreference, events
+
+    v = events.event_spans("Acme did not sign the deal. Bob will meet Ann.", events.lemmas_of(events.TRIGGERS))
     assert [(x[2], x[4], x[5]) for x in v] == [("sign", "negative", "present"), ("meet", "positive", "future")]
-    assert X.resolve_document([(1, "Ann Lee", "PER"), (2, "Lee", "PER"), (3, "Bob", "PER"), (4, "ann lee", "PER"), (5, "Lee", "ORG")]) == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)]
-    assert X.heuristic_spans("") == [] and X.rule_spans("") == [] and X.event_spans("") == []
+    assert coreference.resolve_document([(1, "Ann Lee", "PER"), (2, "Lee", "PER"), (3, "Bob", "PER"), (4, "ann lee", "PER"), (5, "Lee", "ORG")]) == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)]
+    assert X.heuristic_spans("") == [] and X.rule_spans("") == [] and events.event_spans("", {}) == []
