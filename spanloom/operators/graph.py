@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,53 +104,153 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def local_moving(edges: DataFrame, gamma: float = 1.0, max_sweeps: int = 100, least_gain: float = 1e-9) -> DataFrame:
+#: Edges of a block of nodes, which one task moves; a larger graph is as many blocks as it takes.
+BLOCK_EDGES = 3_000_000
+EDGE, OWN, NEAR, SUM = range(4)  # kinds of rows of a block: (a, b, weight), (node, community, degree) twice, (community, -, degree)
+
+
+def _moved(rows: Iterator[pd.DataFrame], rate: float, max_sweeps: int, least_gain: float, fresh: int) -> Iterator[pd.DataFrame]:
+    """(id, community, k, moved, open) of the OWN nodes of a block, moved one after another until none gains; `open` if some
+    still may after max_sweeps. A node that leaves to be alone gets a number from `fresh` downwards. Without SUM rows all
+    members of all communities are here.
+
+    After a first sweep only nodes beside one that moved are looked at; when none is left, all are looked at once more."""
+    parts = [(r["kind"].to_numpy("int8"), r["a"].to_numpy("int64"), r["b"].to_numpy("int64"), r["w"].to_numpy("float64")) for r in rows]
+    if not parts:
+        return
+    kind, a, b, w = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    placed = (kind == OWN) | (kind == NEAR)
+    order = np.argsort(a[placed], kind="stable")
+    ids, community, degree, own = a[placed][order], b[placed][order], w[placed][order], (kind[placed] == OWN)[order]
+    numbers, label = np.unique(community, return_inverse=True)
+    sums = np.bincount(label, degree, minlength=len(numbers))
+    if (kind == SUM).any():
+        sums[np.searchsorted(numbers, a[kind == SUM])] = w[kind == SUM]
+    edge = (kind == EDGE) & (a != b)
+    left, right, w = np.searchsorted(ids, a[edge]).astype("int32"), np.searchsorted(ids, b[edge]).astype("int32"), w[edge]
+    del a, b, kind, edge, placed
+    ends, near, weight = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([w, w])
+    order = np.argsort(ends, kind="stable")
+    start, near, weight = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=len(ids)))]).tolist(), near[order], weight[order]
+    del left, right, w, ends, order
+    c, s, k = label.tolist(), sums.tolist(), degree.tolist()
+    turn = np.random.default_rng(0).permutation(np.flatnonzero(own)).tolist()
+    dirty, everyone, settled = bytearray(len(ids)), True, False
+    for _ in range(max_sweeps):
+        moves = 0
+        for v in turn:
+            if not (everyone or dirty[v]):
+                continue
+            dirty[v] = 0
+            beside, links = near[start[v] : start[v + 1]].tolist(), {}
+            for u, x in zip(beside, weight[start[v] : start[v + 1]].tolist()):
+                links[c[u]] = links.get(c[u], 0.0) + x
+            # What a community is worth to a node: the links to it less what chance would give, without the node itself.
+            here, chance = c[v], rate * k[v]
+            stay = links.pop(here, 0.0) - chance * (s[here] - k[v])
+            best, most = None, stay + least_gain
+            for to, x in links.items():
+                worth = x - chance * s[to]
+                if worth > most or (worth == most and best is not None and to < best):
+                    best, most = to, worth
+            if most < 0:  # a community of its own is worth 0: a node that is better off alone leaves
+                best = len(s)
+                s.append(0.0)
+            if best is None:
+                continue
+            moves += 1
+            s[here] -= k[v]
+            s[best] += k[v]
+            c[v] = best
+            for u in beside:
+                if c[u] != best:
+                    dirty[u] = 1
+        settled = everyone and not moves
+        if settled:
+            break
+        everyone = not moves
+    now = np.array(c)
+    numbers = np.concatenate([numbers, fresh - np.arange(len(s) - len(numbers))])
+    yield pd.DataFrame({"id": ids, "community": numbers[now], "k": degree, "moved": now != label, "open": not settled})[own]
+
+
+def _settled(edges: DataFrame, gammas: list[float], max_sweeps: int, least_gain: float, block_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(node, id) and (level, id, community): communities at each resolution, as `local_moving`, over the same numbered graph. A
+    community is numbered by its smallest node; numbers follow the order of the names."""
+    scratch = Scratch(edges.sparkSession, "communities")
+    w = F.coalesce(F.sum("weight").cast("double"), F.lit(0.0)).alias("weight")
+    e = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull()).groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(w)
+    e, e_path, n_edges = scratch.write_counting(e, F.lit(True))
+    nodes, _ = scratch.write(degrees(e).withColumnRenamed("degree", "k").orderBy("node").withColumn("id", F.monotonically_increasing_id()))
+    number = nodes.select("node", "id")
+    arcs, arcs_path = scratch.write(e.join(number.withColumnsRenamed({"node": "source", "id": "a"}), "source").join(number.withColumnsRenamed({"node": "target", "id": "b"}), "target").select("a", "b", "weight"))
+    scratch.drop(e_path)
+    total = nodes.agg(F.sum("k")).first()[0] or 1.0  # twice the weight of all edges
+    n_blocks = max(1, -(-n_edges // block_edges))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
+    row = lambda df, kind, a, b, x: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(x).alias("w"))
+    start = nodes.select("id", F.col("id").alias("community"), "k")
+    state = [[start.where(block("id") == i) for i in range(n_blocks)] for _ in gammas]
+    held: list[list[str | None]] = [[None] * n_blocks for _ in gammas]  # the table that each of them reads
+
+    def rows(level: int, i: int) -> DataFrame:
+        if n_blocks == 1:
+            return row(arcs, EDGE, "a", "b", "weight").unionByName(row(state[level][0], OWN, "id", "community", "k")).coalesce(1)
+        labels = reduce(DataFrame.unionByName, state[level])
+        near_by = arcs.where((block("a") == i) | (block("b") == i))
+        beside = near_by.select(F.explode(F.array("a", "b")).alias("id")).where(block("id") != i).distinct()
+        own, near = state[level][i], labels.join(beside, "id", "left_semi")
+        sums = labels.join(own.unionByName(near).select("community").distinct(), "community", "left_semi").groupBy("community").agg(F.sum("k").alias("k"))
+        kinds = [row(near_by, EDGE, "a", "b", "weight"), row(own, OWN, "id", "community", "k"), row(near, NEAR, "id", "community", "k"), row(sums, SUM, "community", "community", "k")]
+        return reduce(DataFrame.unionByName, kinds).repartition(1)
+
+    going, job = list(range(len(gammas))), 0
+    for _ in range(max_sweeps):
+        unsettled = set()
+        for i in range(n_blocks):
+            job += 1
+            new = [rows(n, i).mapInPandas(partial(_moved, rate=gammas[n] / total, max_sweeps=max_sweeps, least_gain=least_gain, fresh=-1 - (job << 32)), "id long, community long, k double, moved boolean, open boolean").withColumn("level", F.lit(n)) for n in going]
+            # Alone, a block has settled when no node in it gains; beside others, when a whole pass moves nothing.
+            written, path, n_open = scratch.write_counting(reduce(DataFrame.unionByName, new), F.col("open") if n_blocks == 1 else F.col("open") | F.col("moved"))
+            if n_open:
+                unsettled |= {r.level for r in written.where("open OR moved").select("level").distinct().collect()}
+            before = {h[i] for h in held} - {None}
+            for n in going:
+                state[n][i], held[n][i] = written.where(F.col("level") == n).select("id", "community", "k"), path
+            for superseded in before - {h[i] for h in held}:
+                scratch.drop(superseded)
+        if not unsettled or n_blocks == 1:
+            going = sorted(unsettled)
+            break
+        going = sorted(unsettled)
+    if going:
+        raise RuntimeError(f"communities did not settle within {max_sweeps} sweeps")
+    scratch.drop(arcs_path)
+    labels = reduce(DataFrame.unionByName, [reduce(DataFrame.unionByName, s).withColumn("level", F.lit(n)) for n, s in enumerate(state)])
+    name = labels.groupBy("level", "community").agg(F.min("id").alias("name"))
+    return number, labels.join(name, ["level", "community"]).select("level", "id", F.col("name").alias("community"))
+
+
+def local_moving(edges: DataFrame, gamma: float = 1.0, max_sweeps: int = 100, least_gain: float = 1e-9, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(node, community): communities of (source, target, weight) by local moving on the modularity with resolution gamma,
     each node from a community of its own.
 
-    A sweep moves nodes at once, so two neighbours could change places for ever: of the nodes that would gain by a move, one
-    moves in a sweep only if it comes before all neighbours that want to move, in a hash order that is fresh in each sweep.
-    It settles when no node gains; to stop before that is an error, not a result. Ties go to the smallest community, and a
-    community is named by its smallest node. Self-loops count for degrees only. Hot communities are pre-aggregated."""
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "communities")
-    e = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull()).groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.sum("weight").cast("double").alias("weight"))
-    both, both_path = scratch.write(_both_ways(e, "weight"))
-    degree, degree_path = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 0.0  # twice the weight of all edges
-    labels, path = scratch.write(degree.select("node", F.col("node").alias("community"), "k"))
-    loops = both.where("a <> b")
-    for sweep in range(max_sweeps):
-        sums = labels.groupBy("community").agg(F.sum("k").alias("s"))
-        around = loops.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        own = labels.withColumnsRenamed({"node": "a", "community": "own"})
-        seen = around.join(own, "a").join(sums, "community")
-        # What a community is worth to a node: the links to it less what chance would give, without the node itself.
-        worth = F.col("w") - gamma * F.col("k") * (F.col("s") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(total or 1.0)
-        rated = seen.withColumn("worth", F.round(worth, 9)).groupBy("a", "own", "k").agg(
-            F.min_by("community", F.struct(-F.col("worth"), F.col("community"))).alias("best"), F.max("worth").alias("gain"), F.max(F.when(F.col("community") == F.col("own"), F.col("worth"))).alias("stay")
-        )
-        rated = rated.join(sums.withColumnsRenamed({"community": "own", "s": "own_sum"}), "own")
-        stay = F.coalesce("stay", -gamma * F.col("k") * (F.col("own_sum") - F.col("k")) / F.lit(total or 1.0))
-        # A community of its own is worth 0: a node that is better off alone leaves.
-        wants = rated.select("a", F.when(F.col("gain") >= 0, F.col("best")).otherwise(F.col("a")).alias("to"), (F.greatest("gain", F.lit(0.0)) - stay).alias("gained"), "own")
-        wants = wants.where((F.col("gained") > least_gain) & (F.col("to") != F.col("own"))).withColumn("h", F.xxhash64("a", F.lit(sweep)))
-        wants, wants_path, n = scratch.write_counting(wants, F.lit(True))
-        if not n:
-            scratch.drop(wants_path)
-            break
-        before = loops.join(wants.select(F.col("a").alias("b"), F.col("h").alias("hb")), "b").groupBy("a").agg(F.min("hb").alias("hb"))
-        moves = wants.join(before, "a", "left").where(F.col("hb").isNull() | (F.col("h") < F.col("hb"))).select(F.col("a").alias("node"), "to")
-        written, new_path = scratch.write(labels.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"))
-        scratch.drop(path)
-        scratch.drop(wants_path)
-        labels, path = written, new_path
-    else:
-        raise RuntimeError(f"communities did not settle within {max_sweeps} sweeps")
-    scratch.drop(both_path)
-    scratch.drop(degree_path)
-    name = labels.groupBy("community").agg(F.min("node").alias("name"))
-    return labels.join(name, "community").select("node", F.col("name").alias("community"))
+    Nodes move one after another, so every move raises the modularity and it must settle; nodes that move at once may
+    overfill the community that they join, and go back and forth for ever though none is beside another. One task moves a
+    block of nodes that have at most about block_edges edges, the other blocks standing still; a graph of several blocks
+    is gone through until a whole pass moves nothing. It settles when no node gains; to stop before that is an error, not a
+    result. Ties go to the smallest community, and a community is named by its smallest node. Self-loops count for
+    degrees only."""
+    return _named(*_settled(edges, [gamma], max_sweeps, least_gain, block_edges), ["community"])
+
+
+def _named(nodes: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+    out = labels.groupBy("id").agg(*[F.max(F.when(F.col("level") == n, F.col("community"))).alias(c) for n, c in enumerate(columns)])
+    out = out.join(nodes, "id").drop("id")
+    for c in columns:
+        out = out.join(nodes.select(F.col("id").alias(c), F.col("node").alias(f"{c}_name")), c).drop(c).withColumnRenamed(f"{c}_name", c)
+    return out.select("node", *columns)
 
 
 def hierarchy(edges: DataFrame, levels: int = 3, gamma: float = 1.0, max_sweeps: int = 100) -> DataFrame:

@@ -94,6 +94,32 @@ def test_communities_settle(spark):
     assert G.local_moving(e.limit(0)).count() == 0
 
 
+def gains(edges, label, gamma):
+    """What each node would gain by its best move, to a community beside it or to be alone."""
+    k, s, m = {}, {}, 2 * sum(w for _, _, w in edges)
+    for a, b, w in edges:
+        k[a], k[b] = k.get(a, 0) + w, k.get(b, 0) + w
+    for n, c in label.items():
+        s[c] = s.get(c, 0) + k[n]
+    out = {}
+    for n, own in label.items():
+        links = {}
+        for a, b, w in edges:
+            if n in (a, b) and a != b:
+                c = label[a if b == n else b]
+                links[c] = links.get(c, 0) + w
+        worth = {c: links.get(c, 0) - gamma * k[n] * (s[c] - k[n] * (c == own)) / m for c in {own, *links}}
+        out[n] = max(0, *worth.values()) - worth[own]
+    return out
+
+
+def test_communities_settle_where_many_want_the_same(spark):
+    """Sixty nodes between four hubs, none beside another: all at once they overfill each hub in turn."""
+    edges = [(f"hub{h}", f"n{i:02d}", 1) for i in range(60) for h in range(4)]
+    got = {r.node: r.community for r in G.local_moving(spark.createDataFrame(edges, "source string, target string, weight int"), max_sweeps=30).collect()}
+    assert len(got) == 64 and max(gains(edges, got, 1.0).values()) <= 1e-9
+
+
 def test_scratch_space_on_a_cluster():
     """Without a shared folder a cluster is refused; a folder set on the session or on its context is taken."""
     conf = SimpleNamespace(get=lambda k, d=None: {"spark.checkpoint.dir": "file:///shared"}.get(k, d))
