@@ -253,14 +253,10 @@ def _named(nodes: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame
     return out.select("node", *columns)
 
 
-def hierarchy(edges: DataFrame, levels: int = 3, gamma: float = 1.0, max_sweeps: int = 100) -> DataFrame:
+def hierarchy(edges: DataFrame, levels: int = 3, gamma: float = 1.0, max_sweeps: int = 100, least_gain: float = 1e-9, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(node, level_0_community, level_1_community, ...): communities at resolutions gamma, 2 gamma, 4 gamma, ..., each from
-    the whole graph anew."""
-    out = None
-    for n in range(levels):
-        c = local_moving(edges, gamma * 2**n, max_sweeps).withColumnRenamed("community", f"level_{n}_community")
-        out = c if out is None else out.join(c, "node")
-    return out
+    the whole graph anew; the graph is made and numbered once."""
+    return _named(*_settled(edges, [gamma * 2**n for n in range(levels)], max_sweeps, least_gain, block_edges), [f"level_{n}_community" for n in range(levels)])
 
 
 # --- exports: one row a line, so that a graph of any size is written by all tasks --------------------------

@@ -120,6 +120,25 @@ def test_communities_settle_where_many_want_the_same(spark):
     assert len(got) == 64 and max(gains(edges, got, 1.0).values()) <= 1e-9
 
 
+def test_resolutions_share_one_graph(spark):
+    """No node gains at any resolution, in one block or several; the edges are made once, not once a level."""
+    rng, made = random.Random(5), []
+    edges = sorted({(*sorted(rng.sample([f"v{i:02d}" for i in range(40)], 2)), 1 + i % 3) for i in range(90)})
+    edges = [(a, b, w) for (a, b), w in {(a, b): w for a, b, w in edges}.items()]
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda w: (seen.add(1), w)[1], "int").asNondeterministic()
+    df = spark.createDataFrame(edges, "source string, target string, weight int").withColumn("weight", count("weight"))
+    for block_edges in (1000, 40):
+        before = seen.value
+        rows = G.hierarchy(df, levels=2, block_edges=block_edges).collect()
+        made.append(seen.value - before)
+        for n in range(2):
+            label = {r.node: r[f"level_{n}_community"] for r in rows}
+            assert max(gains(edges, label, 2.0**n).values()) <= 1e-9
+            assert all(c == min(v for v in label if label[v] == c) for c in label.values())
+    assert made == [len(edges)] * 2
+
+
 def test_scratch_space_on_a_cluster():
     """Without a shared folder a cluster is refused; a folder set on the session or on its context is taken."""
     conf = SimpleNamespace(get=lambda k, d=None: {"spark.checkpoint.dir": "file:///shared"}.get(k, d))
