@@ -131,6 +131,9 @@ def _moved(rows: Iterator[pd.DataFrame], rate: float, max_sweeps: int, least_gai
     left, right, w = np.searchsorted(ids, a[edge]).astype("int32"), np.searchsorted(ids, b[edge]).astype("int32"), w[edge]
     del a, b, kind, edge, placed
     ends, near, weight = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([w, w])
+    if not own.all():
+        mine = own[ends]
+        ends, near, weight = ends[mine], near[mine], weight[mine]
     order = np.argsort(ends, kind="stable")
     start, near, weight = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=len(ids)))]).tolist(), near[order], weight[order]
     del left, right, w, ends, order
@@ -187,7 +190,7 @@ def _settled(edges: DataFrame, gammas: list[float], max_sweeps: int, least_gain:
     arcs, arcs_path = scratch.write(e.join(number.withColumnsRenamed({"node": "source", "id": "a"}), "source").join(number.withColumnsRenamed({"node": "target", "id": "b"}), "target").select("a", "b", "weight"))
     scratch.drop(e_path)
     total = nodes.agg(F.sum("k")).first()[0] or 1.0  # twice the weight of all edges
-    n_blocks = max(1, -(-n_edges // block_edges))
+    n_blocks = 1 if n_edges <= block_edges else -(-2 * n_edges // block_edges)  # an edge between two blocks is in both
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
     row = lambda df, kind, a, b, x: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(x).alias("w"))
     start = nodes.select("id", F.col("id").alias("community"), "k")
